@@ -1,10 +1,13 @@
 """The queries of this subpackage and, where SQL can say them, their SQL."""
 
-from . import exact_dedup, substring_dedup
+from . import exact_dedup, jaccard_join, packing, quality, substring_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op7_quality": quality.op7_quality,
+    "op10_packing": packing.op10_packing,
 }
 
 SQL = {**exact_dedup.SQL}
