@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]"
 #: Stands for a null identifier inside an operator, so that it can be a join key.
 NO_ID = -(2**63)
+#: Bytes of texts that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
 
 _own_dir: str | None = None
 
@@ -42,6 +44,17 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the bytes of an Arrow batch where the session has Spark's own bound.
+
+    A batch is held by the JVM and by the Python worker at once; texts make it large.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) in ("67108864b", "67108864", "64MB", "64m"):
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def id_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 

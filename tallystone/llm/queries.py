@@ -1,14 +1,16 @@
 """The queries of this subpackage and, where SQL can say them, their SQL."""
 
-from . import exact_dedup, jaccard_join, license_scan, packing, quality, substring_dedup, url_filter
+from . import exact_dedup, image_copies, jaccard_join, license_scan, lm_scoring, packing, quality, substring_dedup, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_license_scan": license_scan.op2_license_scan,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op7_quality": quality.op7_quality,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_image_copies": image_copies.op9_image_copies,
     "op10_packing": packing.op10_packing,
 }
 
