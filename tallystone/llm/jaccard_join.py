@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, id_key, mix, saved, shared_dir, shingles, words_of
+from .common import id_back, id_key, mix, saved, shared_dir, shingles, small_batches, words_of
 from .components import components
 
 #: Words in a shingle; the threshold as a fraction; trees, label length, target recall.
@@ -176,7 +176,7 @@ def jaccard_join(docs: DataFrame, trees: int = TREES, label: int = LABEL, recall
     work = shared_dir(docs.sparkSession)
     depth = prefix_length(trees, label, NUM / DEN, recall)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(id_key().alias("id"), F.hash(text).alias("tag"), text.alias("text"))
+    keyed = small_batches(docs).select(id_key().alias("id"), F.hash(text).alias("tag"), text.alias("text"))
     rows = saved(keyed.mapInArrow(_sketches(trees, label, depth), _SKETCH), f"{work}/sketches")
     reps = rows.where("size > 0").groupBy("d1", "d2", "size").agg(F.min(F.struct("id", "tag")).alias("r"), F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys"))
     reps = saved(reps.select("d1", "d2", "size", F.col("r.id").alias("id"), F.col("r.tag").alias("tag"), "weight", "keys"), f"{work}/reps")
@@ -190,7 +190,8 @@ def jaccard_join(docs: DataFrame, trees: int = TREES, label: int = LABEL, recall
     cand = saved(cand.join(reps.select("id", "tag", "weight"), "id"), f"{work}/candidates")
     total = cand.agg(F.sum("blocks").alias("n"), F.max("blocks").alias("most")).first()
     bins = max(1, (total["n"] or 0) // TASK_ROWS)
-    sets = keyed.join(cand, ["id", "tag"]).select("text", "id", "cluster", "weight", "blocks").mapInArrow(_sets(bins), _SETS)
+    # Merged by key at every size: candidates grow with the input, so that side is never broadcast.
+    sets = keyed.join(cand.hint("merge"), ["id", "tag"]).select("text", "id", "cluster", "weight", "blocks").mapInArrow(_sets(bins), _SETS)
     found = saved(sets.groupBy("bin").applyInArrow(_verify, _FOUND), f"{work}/found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     if (total["most"] or 0) > 1:
