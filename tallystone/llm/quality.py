@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, words_of
+from .common import hash_words, small_batches, words_of
 
 #: Hashed word features, rank of the interactions, most labelled rows that are learnt from
 #: (those with the smallest hashes of doc_id), passes over them, score from which a row is good.
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
     marks = labels.where(F.col("quality").isin(0, 1) & ~F.coalesce(held_out(), F.lit(True)))
     marks = marks.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     picked = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), _declared(docs)).join(F.broadcast(picked), "doc_id")
+    rows = small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"), _declared(docs)).join(F.broadcast(picked), "doc_id")
     got = rows.select("text", "declared", "quality").mapInArrow(_gather, "quality int, buckets binary, values binary, stats binary").toArrow()
     types = (np.int32, np.float32, np.float32)
     parts = [tuple(np.frombuffer(v, t) for v, t in zip(r, types, strict=True)) for r in zip(*(got[c].to_pylist() for c in ("buckets", "values", "stats")), strict=True)]

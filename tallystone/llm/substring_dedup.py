@@ -25,12 +25,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, hash_words, id_back, id_key, saved, shared_dir, words_of
+from .common import gram_hashes, hash_words, id_back, id_key, saved, shared_dir, small_batches, words_of
 from .wavelet import ContextIndex
 
 WINDOW, GRAM = 20, 5
 #: Words in a block, segments in a shard, longest run of windows in a segment.
-BLOCK_WORDS, SHARD_SEGMENTS, MAX_RUN = 2_000_000, 12_000, 200
+BLOCK_WORDS, SHARD_SEGMENTS, MAX_RUN = 1_000_000, 8_000, 200
 _BYTES = 6
 
 _OPEN = "id long, tag int, anchor long, start long, stop long"
@@ -41,7 +41,7 @@ _REMOVED = "id long, tag int, start long, stop long"
 def _keyed(docs: DataFrame) -> DataFrame:
     """id, tag (tells rows of one doc_id with different texts apart), text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(id_key().alias("id"), F.hash(text).alias("tag"), text.alias("text"))
+    return small_batches(docs).select(id_key().alias("id"), F.hash(text).alias("tag"), text.alias("text"))
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, value: np.ndarray, limit: int) -> np.ndarray:
@@ -69,27 +69,31 @@ def _block(ids: list[int], tags: list[int], hashes: list[np.ndarray], window: in
     """Settled intervals and open runs of one block, as columns of _OPEN (anchor null: settled)."""
     order = np.lexsort((np.array(tags), np.array(ids)))
     doc, start, value, anchor = [], [], [], []
+    # Rows that repeat a document are the same document: an equal window at the same place is not earlier.
+    same_as = np.zeros(len(order), np.int32)
+    last = None
     for d in order:
+        if last is None or (ids[d], tags[d]) != (ids[last], tags[last]):
+            last = d
+        same_as[d] = last
         h = hashes[d]
         if len(h) < window:
             continue
         value.append(gram_hashes(h, window, 0xD1342543DE82EF95))
         anchor.append(_sliding_min(gram_hashes(h, gram), window - gram + 1))
-        doc.append(np.full(len(value[-1]), d))
-        start.append(np.arange(len(value[-1])))
+        doc.append(np.full(len(value[-1]), d, np.int32))
+        start.append(np.arange(len(value[-1]), dtype=np.int32))
     if not doc:
         return None
     doc, start, value, anchor = map(np.concatenate, (doc, start, value, anchor))
-    by = np.argsort(value, kind="stable")
+    by = np.argsort(value, kind="stable").astype(np.int32)
+    first = np.ones(len(by), bool)
+    np.not_equal(value[by[1:]], value[by[:-1]], out=first[1:])
+    del value
+    head = by[np.maximum.accumulate(np.where(first, np.arange(len(by), dtype=np.int32), np.int32(0)))]
     later = np.zeros(len(by), bool)
-    same = value[by][1:] == value[by][:-1]
-    later[by[1:][same]] = True
-    # Rows that repeat a document are the same document: an equal window at the same place is not earlier.
-    key = np.stack([np.array(ids)[doc], np.array(tags)[doc], start])
-    head = by[np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(by)), 0))]
-    twin = np.zeros(len(by), bool)
-    twin[by] = (key[:, by] == key[:, head]).all(0)
-    later &= ~twin
+    later[by] = ~first & ((same_as[doc[by]] != same_as[doc[head]]) | (start[by] != start[head]))
+    del by, head, first
     ids, tags = np.array(ids), np.array(tags)
     out = []
     i = np.flatnonzero(later)
