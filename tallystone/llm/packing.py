@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import zlib
 from collections import deque
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -14,9 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 LENGTH, END_ID, VOCABULARY = 4096, 2, "word_bpe_49k.json"
 #: Tokens planned at once, and words whose ids a worker remembers.
-PLAN_TOKENS, CACHED_WORDS = 1_000_000, 500_000
+PLAN_TOKENS, CACHED_WORDS = 1_000_000, 300_000
 #: In tokens: the cost of a sequence, of a cut after a sentence, of a cut elsewhere; where a sentence
 #: is longer than STRIDE, cuts are also allowed each STRIDE tokens.
 SEQUENCE_COST, SENTENCE_COST, OTHER_COST, STRIDE = 8, 2, 32, 256
@@ -24,6 +28,22 @@ SEQUENCE_COST, SENTENCE_COST, OTHER_COST, STRIDE = 8, 2, 32, 256
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Words of these are cut into letters, which become lower case, and marks, just as the vocabulary's own rules cut them.
+_CUT = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)|([^\n]+))$", re.MULTILINE)
+
+
+class _Places(dict):
+    """Numbers words in the order in which they first come; new: those that came since it was last emptied."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        self.new.append(word)
+        return place
+
+
 class WordTokenizer:
     """Token ids of texts. Blanks never take part in a token of this vocabulary, so ids are looked up word by word."""
 
@@ -37,38 +57,45 @@ class WordTokenizer:
         stops = [i for t, i in vocabulary.items() if t.endswith("</w>") and t[:-4] and not t[:-4].strip(".!?")]
         self.is_stop = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_stop[stops] = True
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+    def forget(self) -> None:
+        self.place = _Places()
+        self.parts: dict[str, list[int]] = {"": []}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)  # of word k: [ends[k], ends[k + 1])
 
     def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 8192):
-            part = words[at : at + 8192]
-            ids = [e.ids for e in self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            n, used = len(self.place), self.ends[len(self.place)]
-            while n + len(ids) + 1 > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            while used + size.sum() > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.ends[n + 1 : n + 1 + len(ids)] = used + np.cumsum(size)
-            self.flat[used : used + size.sum()] = np.concatenate([np.array(i, np.uint32) for i in ids]) if size.sum() else []
-            self.place.update(zip(part, range(n, n + len(part)), strict=True))
+        """Ids of new words, in the order of their places."""
+        found = _CUT.findall(b"\n".join(words).decode("utf-8", "replace"))
+        heads = [low.lower() or other for low, _, other in found]
+        tails = [marks for _, marks, _ in found]
+        unknown = list(set(heads).union(tails).difference(self.parts))
+        for at in range(0, len(unknown), 8192):
+            chunk = unknown[at : at + 8192]
+            self.parts.update(zip(chunk, (e.ids for e in self.model.encode_batch_fast(chunk, add_special_tokens=False)), strict=True))
+        parts = self.parts
+        ids = [parts[a] + parts[b] if b else parts[a] for a, b in zip(heads, tails, strict=True)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        n, total = len(self.place) - len(words), int(size.sum())
+        used = int(self.ends[n])
+        while n + len(ids) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.ends[n + 1 : n + 1 + len(ids)] = used + np.cumsum(size)
+        self.flat[used : used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, with END_ID after each text; the number of ids of each text."""
         words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.place) > self.cached:
-            self._clear()
-        new = set()
-        for w in words:
-            new.update(w)
-        self._learn(list(new.difference(self.place)))
+            self.forget()
         counts = np.fromiter(map(len, words), np.int64, len(words))
-        index = np.fromiter((k for w in words for k in map(self.place.__getitem__, w)), np.int64, int(counts.sum()))
+        index = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        if self.place.new:
+            self._learn(self.place.new)
+            self.place.new = []
         first, size = self.ends[index], self.ends[index + 1] - self.ends[index]
         # END_ID comes after the last word of each text, as one more "word".
         sizes = np.insert(size, np.cumsum(counts), 1)
@@ -83,7 +110,7 @@ class WordTokenizer:
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process: it outlives the task, as do the words that it knows."""
+    """One for each worker process; the words that it knows go when a task ends."""
     kept = sys.modules["pyarrow"].__dict__.setdefault("_tallystone_tokenizers", {})
     if path not in kept:
         kept[path] = WordTokenizer(path)
@@ -185,6 +212,7 @@ def _pack(path: str, length: int, plan_tokens: int):
                     yield flush()
         if docs:
             yield flush()
+        words.forget()
 
     return run
 
@@ -202,7 +230,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, plan_to
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text)
     return rows.mapInArrow(_pack(path or public_tokenizers.path(VOCABULARY), length, plan_tokens), _PIECES)
 
 
