@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can say them, their SQL."""
 
-from . import exact_dedup, image_copies, jaccard_join, license_scan, lm_scoring, packing, quality, substring_dedup, url_filter
+from . import byte_bpe, exact_dedup, image_copies, jaccard_join, license_scan, lm_scoring, packing, quality, substring_dedup, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op7_quality": quality.op7_quality,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_image_copies": image_copies.op9_image_copies,
