@@ -24,7 +24,7 @@ allrows AS (SELECT id, source, url, title, property_type, is_resale, price, curr
   UNION ALL SELECT id, 'benchmark', NULL, NULL, kind, false, price, 'EGP', true, price * (0.05 + (k % 4) * 0.05), 12 * (5 + k % 6), area_m2, NULL, CASE WHEN k % 3 = 0 THEN 'semi_finished' ELSE 'finished' END, NULL,
     CAST(2002 + k % 4 AS VARCHAR) || '-06-30', compound, 'NATION_' || CAST(k % 25 AS VARCHAR) || ' Group', split_part(compound, ' ', 2), NULL, 'active', TIMESTAMP '{LATEST}', TIMESTAMP '{LATEST}' FROM launch0),
 latest AS (SELECT source, max(last_seen_at) AS source_latest FROM allrows GROUP BY source),
-el0 AS (SELECT a.*, CASE property_type WHEN 'apartments' THEN 'apartment' ELSE property_type END AS kind, CAST(installment_months AS DOUBLE) AS m, source <> 'classified' AS known_cash,
+el0 AS (SELECT a.* REPLACE (CASE WHEN contract_year BETWEEN 2000 AND 2100 THEN contract_year END AS contract_year), CASE property_type WHEN 'apartments' THEN 'apartment' ELSE property_type END AS kind, CAST(installment_months AS DOUBLE) AS m, source <> 'classified' AS known_cash,
     CASE WHEN finishing = 'semi_finished' THEN 'semi_finished' WHEN finishing IN ('lux', 'finished') THEN 'finished' ELSE 'unknown' END AS finishing_class
   FROM allrows a WHERE status = 'active' AND currency = 'EGP' AND price BETWEEN 100000 AND 200000000 AND area_m2 BETWEEN 20 AND 5000),
 el1 AS (SELECT *, CASE WHEN kind IN ('apartment', 'studio') THEN 'apartment' WHEN kind = 'chalet' THEN 'chalet' WHEN kind = 'villa' THEN 'house' END AS class,
@@ -75,7 +75,7 @@ lp AS (SELECT a.id, a.area_m2 AS area, a.cash_equivalent AS cash, a.price_per_m2
 lc AS (SELECT *, count(*) OVER (PARTITION BY id) AS n, count(*) FILTER (WHERE same) OVER (PARTITION BY id) AS ns FROM lp),
 ln5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, o_id) AS r FROM lc WHERE n >= 2 AND (ns < 2 OR same)) WHERE r <= 5),
 lg AS (SELECT id, any_value(area) AS area, any_value(cash) AS cash, any_value(own_head) AS own_head, any_value(contract_year) AS cy, count(*) AS launch_units, median(ppm) AS ppm, median(o_head) AS head,
-    round_even(median(1 - coalesce(remaining_share, 0)), 4) AS launch_down_share, round_even(median(years), 1) AS launch_plan_years, CAST(round_even(median(CAST(substr(delivery_date, 1, 4) AS DOUBLE)), 0) AS INTEGER) AS launch_delivery_year,
+    round_even(median(round((1 - coalesce(remaining_share, 0)) * 10000)), 0) / 10000 AS launch_down_share, round_even(median(years), 1) AS launch_plan_years, CAST(round_even(median(CAST(substr(delivery_date, 1, 4) AS DOUBLE)), 0) AS INTEGER) AS launch_delivery_year,
     min(o_area) AS launch_area_min, max(o_area) AS launch_area_max, bool_and(eq) AS launch_same_finishing FROM ln5 GROUP BY id),
 lch AS (SELECT *, head / own_head - 1 AS ch, date_diff('day', CAST(CAST(cy AS VARCHAR) || '-07-01' AS DATE), DATE '{LATEST}') / 365.25 AS cyears FROM lg),
 launch AS (SELECT id, launch_units, launch_down_share, launch_plan_years, launch_delivery_year, launch_area_min, launch_area_max, launch_same_finishing, round_even(greatest(cash / (ppm * area) - 1, own_head / head - 1), 4) AS launch_gap,
@@ -89,7 +89,7 @@ op0 AS (SELECT r.*, p.* EXCLUDE (id), l.* EXCLUDE (id), coalesce(l.launch_same_f
 units AS (SELECT *, CASE WHEN NOT dev AND NOT peer THEN 'unrated' WHEN (dev AND launch_gap <= -0.7) OR (peer AND (peer_gap <= -0.6 OR peer_cheapest_gap <= -0.25)) THEN 'check'
       WHEN greatest(cd, cp) <= -0.15 AND least(cd, cp) <= -0.25 THEN 'strong' WHEN greatest(cd, cp) <= -0.05 AND least(cd, cp) <= -0.1 THEN 'good'
       WHEN least(cd, cp) <= -0.1 AND greatest(dd, dp) >= 0.1 THEN 'mixed' WHEN greatest(dd, dp) >= 0.1 THEN 'pricier' ELSE 'in_line' END AS level,
-    CASE WHEN dev AND peer THEN (floor(s2 / 2.0) + CASE WHEN s2 % 2 <> 0 AND CAST(floor(s2 / 2.0) AS BIGINT) % 2 <> 0 THEN 1 ELSE 0 END) / 10000.0 ELSE coalesce(cd, cp) END AS score, CAST(dev AS INTEGER) + CAST(peer AS INTEGER) AS n_signals FROM op0),
+    CASE WHEN dev AND peer THEN round_even(s2 / 2.0, 0) / 10000 ELSE coalesce(cd, cp) END AS score, CAST(dev AS INTEGER) + CAST(peer AS INTEGER) AS n_signals FROM op0),
 resale AS (SELECT * FROM units WHERE is_resale)"""
 
 LEVEL_ORDER = "CASE level " + " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(compare.LEVELS)) + " END"
@@ -109,7 +109,7 @@ def _query(name: str, steps: str | None = None, select: str | None = None):
 
 
 def _snap(spark, sf_dir) -> snapshot.Snapshot:
-    return snapshot.of_driver_tables(spark, sf_dir)
+    return snapshot.cached(spark, sf_dir)
 
 
 def flagship(spark, sf_dir: str):
@@ -137,7 +137,7 @@ _query("unknowns_list", RESOLVED, """SELECT id, concat_ws(',', CASE WHEN terms =
     CASE WHEN delivery_bucket = 'unknown' THEN 'delivery' END, 'floor_and_view', 'legal_status', 'transfer_fee', 'maintenance_deposit') AS unknowns FROM res""")(
     lambda s, d: _snap(s, d).resolved.select("id", F.array_join("unknowns", ",").alias("unknowns"))
 )
-_query("acquisition_costs", ELIGIBLE, "SELECT id, price * 0.05 AS broker, price * 0.025 AS registration, price * 0.075 AS total FROM proj")(
+_query("acquisition_costs", ELIGIBLE, "SELECT id, price * 0.05 AS broker, price * 0.025 AS registration, price * 0.05 + price * 0.025 AS total FROM proj")(
     lambda s, d: _snap(s, d).projected.select("id", M.costs(F.col("price"), {"broker": 0.05, "registration": 0.025}).alias("c")).select("id", "c.*")
 )
 
@@ -212,9 +212,7 @@ _query("since_contract", COMPARED, "SELECT id, launch_contract_change, launch_co
     lambda s, d: _snap(s, d).records.where("launch_contract_change IS NOT NULL").select("id", "launch_contract_change", "launch_contract_annual")
 )
 _query("opportunity_levels", COMPARED, "SELECT id, level, score, n_signals FROM units")(lambda s, d: _snap(s, d).records.select("id", "level", "score", "n_signals"))
-_query("opportunity_ranking", COMPARED, f"SELECT id, row_number() OVER (ORDER BY {RANK}) - 1 AS rank FROM units QUALIFY rank < 1000")(
-    lambda s, d: _snap(s, d).records.orderBy(*compare.ranking()).limit(1000).select("id", (F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(*compare.ranking())) - 1).cast("long").alias("rank"))
-)
+_query("opportunity_ranking", COMPARED, f"SELECT id, row_number() OVER (ORDER BY {RANK}) - 1 AS rank FROM units QUALIFY rank < 1000")(lambda s, d: compare.ranked(_snap(s, d).records, 1000))
 _TOP = ["id", "compound_key", "property_type", "price", "area_m2", "level", "score", "launch_gap", "peer_gap"]
 _query("top_opportunities", COMPARED, f"SELECT id, compound_key, kind AS property_type, price, area_m2, level, score, launch_gap, peer_gap FROM resale ORDER BY {RANK} LIMIT 25")(lambda s, d: search.unit_query(_snap(s, d).records).limit(25).select(*_TOP))
 _COMPARABLES = f""", ca AS (SELECT a.id, b.id AS other_id, b.cash_equivalent / b.area_m2 AS ppm, abs(ln(b.area_m2 / a.area_m2)) AS dist, a.finishing_class = b.finishing_class AND a.finishing_class <> 'unknown' AS same
@@ -241,35 +239,35 @@ def _evaluate(s, d):
 
 _LEVELS = ", ".join(f"count(*) FILTER (WHERE level = '{v}') AS {v}" for v in compare.LEVELS)
 _PROFILE = f"""count(*) AS units, round_even(count(*) FILTER (WHERE delivery_bucket = 'ready') / nullif(count(*) FILTER (WHERE delivery_bucket <> 'unknown'), 0), 4) AS ready_share, count(*) FILTER (WHERE delivery_bucket <> 'unknown') AS delivery_known,
-    round_even(median(delivery_years) FILTER (WHERE delivery_years > 0), 1) AS median_years_to_delivery, max(CAST(substr(delivery_date, 1, 4) AS INTEGER)) AS latest_delivery_year,
-    round_even(count(*) FILTER (WHERE terms = 'plan') / nullif(count(*) FILTER (WHERE terms IN ('plan', 'cash')), 0), 4) AS plan_share, round_even(median(remaining_share) FILTER (WHERE terms = 'plan'), 4) AS median_remaining_share,
-    round_even(median(years) FILTER (WHERE terms = 'plan'), 1) AS median_plan_years, round_even(median(discount) FILTER (WHERE terms = 'plan'), 4) AS median_plan_discount, min(area_m2) AS area_min, max(area_m2) AS area_max,
+    round_even(median(round(delivery_years * 100)) FILTER (WHERE delivery_years > 0), -1) / 100 AS median_years_to_delivery, max(CAST(substr(delivery_date, 1, 4) AS INTEGER)) AS latest_delivery_year,
+    round_even(count(*) FILTER (WHERE terms = 'plan') / nullif(count(*) FILTER (WHERE terms IN ('plan', 'cash')), 0), 4) AS plan_share, round_even(median(round((remaining_share) * 10000)) FILTER (WHERE terms = 'plan'), 0) / 10000 AS median_remaining_share,
+    round_even(median(round(years * 10)) FILTER (WHERE terms = 'plan'), 0) / 10 AS median_plan_years, round_even(median(round((discount) * 10000)) FILTER (WHERE terms = 'plan'), 0) / 10000 AS median_plan_discount, min(area_m2) AS area_min, max(area_m2) AS area_max,
     count(*) FILTER (WHERE level IN ('strong', 'good')) AS good_count, {_LEVELS}"""
 _PROFILE_COLUMNS = ["units", "ready_share", "delivery_known", "median_years_to_delivery", "latest_delivery_year", "plan_share", "median_remaining_share", "median_plan_years", "median_plan_discount", "area_min", "area_max", "good_count", *compare.LEVELS]
 _query("compound_rollup", COMPARED, f"SELECT compound_key, {_PROFILE} FROM resale GROUP BY compound_key")(lambda s, d: _snap(s, d).compounds.select("compound_key", *_PROFILE_COLUMNS))
 _query("developer_rollup", COMPARED, f"SELECT developer_key, {_PROFILE} FROM resale GROUP BY developer_key")(lambda s, d: _snap(s, d).developers.select("developer_key", *_PROFILE_COLUMNS))
 _query("district_rollup", COMPARED, f"SELECT {_SLUG.format('district')} AS district_key, {_PROFILE} FROM resale GROUP BY 1")(lambda s, d: _snap(s, d).districts.select("district_key", *_PROFILE_COLUMNS))
 _CLASSES = """, pcl AS (SELECT compound_key, class, count(*) AS units, round_even(median(price_per_m2), -2) AS median_asking_ppm, round_even(median(cash_equivalent / area_m2) FILTER (WHERE cash_equivalent <> 0), -2) AS median_cash_ppm,
-  round_even(median(launch_gap) FILTER (WHERE launch_same_finishing), 4) AS median_gap, count(*) FILTER (WHERE launch_same_finishing) AS compared FROM resale WHERE class IS NOT NULL GROUP BY 1, 2),
+  round_even(median(round((launch_gap) * 10000)) FILTER (WHERE launch_same_finishing), 0) / 10000 AS median_gap, count(*) FILTER (WHERE launch_same_finishing) AS compared FROM resale WHERE class IS NOT NULL GROUP BY 1, 2),
 pdv AS (SELECT compound_key, class, round_even(median(price_per_m2), -2) AS developer_ppm FROM matched WHERE class IS NOT NULL AND compound_key IS NOT NULL GROUP BY 1, 2)
 SELECT pcl.*, pdv.developer_ppm FROM pcl LEFT JOIN pdv ON pdv.compound_key = pcl.compound_key AND pdv.class = pcl.class"""
 _query("price_classes", COMPARED, _CLASSES)(lambda s, d: (lambda z: rollup.price_classes(z.resale, z.matched.where("compound_key IS NOT NULL"), ["compound_key"]))(_snap(s, d)).select("compound_key", "class", "units", "median_asking_ppm", "median_cash_ppm", "median_gap", "compared", "developer_ppm"))
 SQL["price_classes"] = SQL["price_classes"].replace("\n, pcl AS", ", pcl AS")
 _DEVELOPER = """, du AS (SELECT compound_key, count(*) AS launch_units, round_even(median(price_per_m2), -2) AS median_headline_ppm, round_even(median(cash_equivalent / area_m2), -2) AS median_cash_ppm,
-  round_even(median(1 - coalesce(remaining_share, 0)), 4) AS median_down_share FROM matched WHERE compound_key IS NOT NULL GROUP BY 1),
-dr AS (SELECT compound_key, count(*) FILTER (WHERE launch_same_finishing) AS compared, round_even(median(launch_gap) FILTER (WHERE launch_same_finishing), 4) AS median_gap, round_even(median(launch_contract_annual), 4) AS median_since_contract FROM resale GROUP BY 1)
+  round_even(median(round((1 - coalesce(remaining_share, 0)) * 10000)), 0) / 10000 AS median_down_share FROM matched WHERE compound_key IS NOT NULL GROUP BY 1),
+dr AS (SELECT compound_key, count(*) FILTER (WHERE launch_same_finishing) AS compared, round_even(median(round((launch_gap) * 10000)) FILTER (WHERE launch_same_finishing), 0) / 10000 AS median_gap, round_even(median(round((launch_contract_annual) * 10000)), 0) / 10000 AS median_since_contract FROM resale GROUP BY 1)
 SELECT du.*, coalesce(compared, 0) AS compared, median_gap, median_since_contract FROM du LEFT JOIN dr ON dr.compound_key = du.compound_key"""
 _query("developer_prices", COMPARED, _DEVELOPER)(lambda s, d: (lambda z: rollup.developer_prices(z.matched.where("compound_key IS NOT NULL"), z.resale, ["compound_key"]))(_snap(s, d)).select("compound_key", "launch_units", "median_headline_ppm", "median_cash_ppm", "median_down_share", "compared", "median_gap", "median_since_contract"))
 SQL["developer_prices"] = SQL["developer_prices"].replace("\n, du AS", ", du AS")
 _query("source_scope", COMPARED, "SELECT compound_key, source, count(*) AS n, round_even(count(*) / sum(count(*)) OVER (PARTITION BY compound_key), 4) AS share FROM resale GROUP BY 1, 2")(lambda s, d: rollup.scope(_snap(s, d).resale, ["compound_key"]))
 _query("overview_counts", COMPARED, f"""SELECT (SELECT count(*) FROM allrows WHERE source <> 'benchmark') AS total_records, (SELECT count(*) FROM units) AS total_eligible, count(*) AS total_resale, count(*) FILTER (WHERE level <> 'unrated') AS rated_count, {_LEVELS},
-    count(*) FILTER (WHERE terms = 'plan') AS terms_plan, count(*) FILTER (WHERE terms = 'cash') AS terms_cash, count(*) FILTER (WHERE launch_same_finishing) AS compared, round_even(median(launch_gap) FILTER (WHERE launch_same_finishing), 4) AS median_gap,
-    count(peer_gap) AS ranked, round_even(median(launch_contract_annual), 4) AS since_median FROM resale""")(
+    count(*) FILTER (WHERE terms = 'plan') AS terms_plan, count(*) FILTER (WHERE terms = 'cash') AS terms_cash, count(*) FILTER (WHERE launch_same_finishing) AS compared, round_even(median(round((launch_gap) * 10000)) FILTER (WHERE launch_same_finishing), 0) / 10000 AS median_gap,
+    count(peer_gap) AS ranked, round_even(median(round((launch_contract_annual) * 10000)), 0) / 10000 AS since_median FROM resale""")(
     lambda s, d: (lambda z: rollup.overview(z.raw, z.records, z.resale, z.roles.primary))(_snap(s, d)).select("total_records", "total_eligible", "total_resale", "rated_count", *compare.LEVELS, "terms_plan", "terms_cash", "compared", "median_gap", "ranked", "since_median")
 )
 _query("source_rows", f"{COMPARED}", """SELECT a.source, a.n AS rows, coalesce(r.n, 0) AS resale_count, coalesce(r.rated, 0) AS rated_count FROM (SELECT source, count(*) AS n FROM allrows GROUP BY 1) a
     LEFT JOIN (SELECT source, count(*) AS n, count(*) FILTER (WHERE level <> 'unrated') AS rated FROM resale GROUP BY 1) r ON r.source = a.source""")(lambda s, d: (lambda z: rollup.source_rows(z.raw, z.resale, adapter.runs(s, d)))(_snap(s, d)).select("source", "rows", "resale_count", "rated_count"))
-_query("developer_gaps", COMPARED, """SELECT developer_key, count(*) FILTER (WHERE launch_same_finishing) AS compared, round_even(median(launch_gap) FILTER (WHERE launch_same_finishing), 4) AS median_gap FROM resale
+_query("developer_gaps", COMPARED, """SELECT developer_key, count(*) FILTER (WHERE launch_same_finishing) AS compared, round_even(median(round((launch_gap) * 10000)) FILTER (WHERE launch_same_finishing), 0) / 10000 AS median_gap FROM resale
     WHERE developer_key IN (SELECT i.dev FROM (SELECT compound_key, arg_min(developer_key, (""" + LEVEL_ORDER + """, -n_signals, coalesce(score, 0.0), id)) AS dev FROM resale GROUP BY 1) i JOIN matched m ON m.compound_key = i.compound_key)
     GROUP BY 1 HAVING count(*) FILTER (WHERE launch_same_finishing) >= 20""")(lambda s, d: search.entity_query(_snap(s, d).developers, "developer", sort="gap_asc").select("developer_key", "compared", "median_gap"))
 _query("delivery_changes", COMPARED, """SELECT developer_key, count(delivery_date) AS tracked_units, count(*) FILTER (WHERE id % 7 = 0) AS postponed, count(*) FILTER (WHERE id % 7 = 1) AS brought_forward FROM resale GROUP BY 1""")(
@@ -290,7 +288,7 @@ _query("units_budget", COMPARED, """SELECT id FROM resale WHERE price <= 2000000
     lambda s, d: search.unit_query(_snap(s, d).records, price_max=20_000_000, cash_max=12_000_000, signing_max=6_000_000, area_min=60, bedrooms_min=2, delivery="2003").select("id")
 )
 _query("units_search", COMPARED, "SELECT id FROM resale WHERE contains(lower(concat_ws(' ', title, district, compound, developer)), 'widget') AND contains(lower(concat_ws(' ', title, district, compound, developer)), 'asia')")(lambda s, d: search.unit_query(_snap(s, d).records, q="Widget asia").select("id"))
-_query("entities_gap_sort", COMPARED, """SELECT compound_key, count(*) FILTER (WHERE launch_same_finishing) AS compared, round_even(median(launch_gap) FILTER (WHERE launch_same_finishing), 4) AS median_gap FROM resale
+_query("entities_gap_sort", COMPARED, """SELECT compound_key, count(*) FILTER (WHERE launch_same_finishing) AS compared, round_even(median(round((launch_gap) * 10000)) FILTER (WHERE launch_same_finishing), 0) / 10000 AS median_gap FROM resale
     WHERE compound_key IN (SELECT compound_key FROM matched) GROUP BY 1 HAVING count(*) FILTER (WHERE launch_same_finishing) >= 5""")(lambda s, d: search.entity_query(_snap(s, d).compounds, "compound", sort="gap_asc").select("compound_key", "compared", "median_gap"))
 _query("entities_name_sort", COMPARED, "SELECT compound_key, count(*) AS units FROM resale GROUP BY 1 ORDER BY any_value(lower(compound_display)), units DESC, compound_key LIMIT 30")(lambda s, d: search.page_of(search.entity_query(_snap(s, d).compounds, "compound", sort="name"), 1, 30).select("compound_key", "units"))
 _query("url_lookup", RESOLVED, "SELECT min(id) AS id, 'example.com/unit/' || CAST(id - CASE WHEN id % 50 = 1 THEN 1 ELSE 0 END AS VARCHAR) AS url_key FROM res GROUP BY 2 HAVING count(*) = 1")(lambda s, d: rollup.unique_urls(_snap(s, d).resolved))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,8 +69,8 @@ def since_contract(year: Column, contract_ppm: Column, developer_ppm: Column, to
 
 def costs(price: Column, fees: dict[str, float]) -> Column:
     """Fees as shares of a price, each and in sum."""
-    parts = [(price * rate).alias(name) for name, rate in fees.items()]
-    return F.struct(*parts, (price * sum(fees.values())).alias("total"))
+    parts = [price * rate for rate in fees.values()]
+    return F.struct(*(p.alias(name) for p, name in zip(parts, fees, strict=True)), reduce(add, parts).alias("total"))
 
 
 def instalment_months(years: Column, balance: Column, instalment: Column, every: Column) -> Column:

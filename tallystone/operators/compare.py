@@ -152,7 +152,9 @@ def opportunity(df: DataFrame) -> DataFrame:
         .when((least <= GOOD_ONE) & (dear >= PRICIER), "mixed").when(dear >= PRICIER, "pricier").otherwise("in_line")
     )
     n = dev_there.cast("int") + peer_there.cast("int")
-    score = F.bround((F.coalesce(cheap_d, F.lit(0.0)) + F.coalesce(cheap_p, F.lit(0.0))) / F.nullif(n, F.lit(0)), 4)
+    # In whole units of the last digit: halves are exact there.
+    unit = lambda c: F.coalesce(F.round(c * 10_000), F.lit(0.0))
+    score = F.bround((unit(cheap_d) + unit(cheap_p)) / F.nullif(n, F.lit(0))) / 10_000
     return df.withColumns({"level": level, "score": score, "n_signals": n, "signals": F.array_join(F.array_compact(F.array(F.when(dev_there, "developer"), F.when(peer_there, "peers"))), ",")})
 
 
@@ -165,6 +167,12 @@ def ranking(id_: str = "id") -> list[Column]:
     return [level_order(), F.desc("n_signals"), F.coalesce("score", F.lit(0.0)), F.coalesce(id_, F.lit(0))]
 
 
+def ranked(records: DataFrame, most: int) -> DataFrame:
+    """id and rank (from 0) of the best units: a top-k comes first, so that only they are numbered in one task."""
+    top = records.orderBy(*ranking()).limit(most)
+    return top.select("id", (F.row_number().over(Window.orderBy(*ranking())) - 1).cast("long").alias("rank"))
+
+
 def compare(records: DataFrame, resale: DataFrame, matched: DataFrame, today: Column) -> DataFrame:
     """Records with both comparisons and the level."""
     out = records.join(launch_comparison(records, matched, today), "id", "left").join(peer_comparison(records, resale), "id", "left")

@@ -34,7 +34,7 @@ def source_health(runs: DataFrame, sources: DataFrame, now: Column) -> DataFrame
     first = good.groupBy("source").agg(F.min_by(F.struct("n", F.coalesce("finished_at", "started_at").alias("at"), "scope", "seen"), "n").alias("g"))
     same = good.join(first, "source").where(F.col("scope").eqNullSafe(F.col("g.scope"))).withColumn("k", F.row_number().over(latest))
     typical = same.where("k BETWEEN 2 AND 6").groupBy("source").agg(F.median("seen").alias("typical_seen"))
-    ended = r.where("status <> 'running'").withColumn("k", F.row_number().over(latest)).where("k <= 2").groupBy("source").agg(F.count(F.lit(1)).alias("ended"), F.count_if("status = 'failed'").alias("failed"))
+    ended = r.where("status <> 'running'").withColumn("k", F.row_number().over(latest)).where("k <= 2").groupBy("source").agg(F.count(F.lit(1)).alias("ended"), F.expr("count_if(status = 'failed')").alias("failed"))
     last = r.where("n = 1").select("source", F.col("started_at").alias("last_run"), F.col("status").alias("last_status"))
     out = sources.select("source").distinct()
     for part in (last, first.select("source", F.col("g.at").alias("last_success"), F.col("g.seen").alias("last_seen")), typical, ended):

@@ -34,7 +34,7 @@ def kept_versions(datasets: DataFrame, active: str | None, keep: int = KEEP) ->
     if keep < 2:
         raise ValueError("at least two versions must stay")
     w = Window.orderBy(F.desc("generated_at"), F.desc("version"))  # a row for each version
-    return datasets.withColumn("n", F.row_number().over(w)).where((F.col("n") <= keep) | F.col("version").eqNullSafe(F.lit(active))).drop("n")
+    return datasets.withColumn("_place", F.row_number().over(w)).where((F.col("_place") <= keep) | F.col("version").eqNullSafe(F.lit(active))).drop("_place")
 
 
 def publish(frames: dict[str, DataFrame], path: str, version: str, active_file: str = "active") -> None:

@@ -11,8 +11,14 @@ from .compare import LEVELS, cash_ppm
 HISTORY_DAYS = 56
 
 
-def median(expr: str, digits: int, where: str = "true") -> Column:
-    return F.bround(F.expr(f"median({expr}) FILTER (WHERE {where})"), digits)
+def median(expr: str, digits: int, where: str = "true", of: int | None = None) -> Column:
+    """The median of figures that are rounded to `of` digits (default: digits), itself rounded half to even.
+
+    Computed in whole units of the last digit, where halves are exact.
+    """
+    unit = 10 ** max(0, digits if of is None else of)
+    mid = F.expr(f"median(round(({expr}) * {unit})) FILTER (WHERE {where})") if unit > 1 else F.expr(f"median({expr}) FILTER (WHERE {where})")
+    return F.bround(mid, digits - len(str(unit)) + 1) / unit
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -21,13 +27,13 @@ def share(part: Column, whole: Column) -> Column:
 
 def profile(items: DataFrame, keys: list[str]) -> DataFrame:
     """Delivery, payment plans and levels of each group."""
-    known, plans = F.count_if("delivery_bucket <> 'unknown'"), F.count_if("terms = 'plan'")
+    known, plans = F.expr("count_if(delivery_bucket <> 'unknown')"), F.expr("count_if(terms = 'plan')")
     return items.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("units"), share(F.count_if("delivery_bucket = 'ready'"), known).alias("ready_share"), known.alias("delivery_known"),
-        median("delivery_years", 1, "delivery_years > 0").alias("median_years_to_delivery"), F.max(F.substring("delivery_date", 1, 4).cast("int")).alias("latest_delivery_year"),
-        share(plans, F.count_if("terms IN ('plan', 'cash')")).alias("plan_share"), median("remaining_share", 4, "terms = 'plan'").alias("median_remaining_share"),
+        F.count(F.lit(1)).alias("units"), share(F.expr("count_if(delivery_bucket = 'ready')"), known).alias("ready_share"), known.alias("delivery_known"),
+        median("delivery_years", 1, "delivery_years > 0", of=2).alias("median_years_to_delivery"), F.max(F.substring("delivery_date", 1, 4).cast("int")).alias("latest_delivery_year"),
+        share(plans, F.expr("count_if(terms IN ('plan', 'cash'))")).alias("plan_share"), median("remaining_share", 4, "terms = 'plan'").alias("median_remaining_share"),
         median("years", 1, "terms = 'plan'").alias("median_plan_years"), median("discount", 4, "terms = 'plan'").alias("median_plan_discount"),
-        F.min("area_m2").alias("area_min"), F.max("area_m2").alias("area_max"), F.count_if("level IN ('strong', 'good')").alias("good_count"), *(F.count_if(F.col("level") == v).alias(v) for v in LEVELS),
+        F.min("area_m2").alias("area_min"), F.max("area_m2").alias("area_max"), F.expr("count_if(level IN ('strong', 'good'))").alias("good_count"), *(F.count_if(F.col("level") == v).alias(v) for v in LEVELS),
     )
 
 
@@ -107,7 +113,7 @@ def delivery_changes(moves: DataFrame, resale: DataFrame) -> DataFrame:
     m = moves.withColumn("c", F.try_element_at("changed_fields", F.lit("delivery_date"))).where("c.old IS NOT NULL AND c.new IS NOT NULL")
     m = m.groupBy("property_id").agg(F.max_by(F.when(F.col("c.new") > F.col("c.old"), 1).when(F.col("c.new") < F.col("c.old"), -1).otherwise(0), "captured_at").alias("move"))
     items = resale.where("developer_key <> ''").join(m.withColumnRenamed("property_id", "id"), "id", "left")
-    return items.groupBy("developer_key").agg(F.count("delivery_date").alias("tracked_units"), F.count_if("move = 1").alias("postponed"), F.count_if("move = -1").alias("brought_forward"))
+    return items.groupBy("developer_key").agg(F.count("delivery_date").alias("tracked_units"), F.expr("count_if(move = 1)").alias("postponed"), F.expr("count_if(move = -1)").alias("brought_forward"))
 
 
 def overview(rows: DataFrame, records: DataFrame, resale: DataFrame, primary: tuple[str, ...]) -> DataFrame:
@@ -116,7 +122,7 @@ def overview(rows: DataFrame, records: DataFrame, resale: DataFrame, primary: tu
     a = rows.agg(F.count_if(~F.col("source").isin(*primary)).alias("total_records"), F.max("last_seen_at").alias("last_updated"), F.min("first_seen_at").alias("first_observed"))
     b = records.agg(F.count(F.lit(1)).alias("total_eligible"))
     c = resale.agg(
-        F.count(F.lit(1)).alias("total_resale"), F.count_if("level <> 'unrated'").alias("rated_count"), *(F.count_if(F.col("level") == v).alias(v) for v in LEVELS),
+        F.count(F.lit(1)).alias("total_resale"), F.expr("count_if(level <> 'unrated')").alias("rated_count"), *(F.count_if(F.col("level") == v).alias(v) for v in LEVELS),
         *(F.count_if(F.col("terms") == t).alias(f"terms_{t}") for t in ("plan", "cash", "partial", "unknown")), median("discount", 4, "terms = 'plan'").alias("plan_median_discount"),
         F.count_if(like).alias("compared"), median("launch_gap", 4, like).alias("median_gap"), F.count("peer_gap").alias("ranked"), F.count("launch_contract_annual").alias("since_units"),
         median("launch_contract_annual", 4).alias("since_median"),
@@ -129,7 +135,7 @@ def overview(rows: DataFrame, records: DataFrame, resale: DataFrame, primary: tu
 def source_rows(rows: DataFrame, resale: DataFrame, runs: DataFrame) -> DataFrame:
     """Of each source: rows, resale and rated units, the latest observation, the status of the last run."""
     n = rows.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.max("last_seen_at").alias("last_seen"))
-    r = resale.groupBy("source").agg(F.count(F.lit(1)).alias("resale_count"), F.count_if("level <> 'unrated'").alias("rated_count"))
+    r = resale.groupBy("source").agg(F.count(F.lit(1)).alias("resale_count"), F.expr("count_if(level <> 'unrated')").alias("rated_count"))
     s = runs.groupBy("source").agg(F.max_by("status", F.struct("started_at", "id")).alias("status"))
     out = n.join(r, "source", "left").join(s, "source", "left")
     return out.select("source", "rows", "last_seen", F.coalesce("resale_count", F.lit(0)).alias("resale_count"), F.coalesce("rated_count", F.lit(0)).alias("rated_count"), F.coalesce("status", F.lit("unknown")).alias("status"))

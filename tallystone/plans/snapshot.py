@@ -89,3 +89,27 @@ class Snapshot:
 def of_driver_tables(spark: SparkSession, sf_dir: str) -> Snapshot:
     raw = adapter.listings(spark, sf_dir).select(*adapter.COLUMNS).unionByName(adapter.launches(spark, sf_dir))
     return Snapshot(raw, F.lit(adapter.LATEST).cast("date"), save=saver(spark))
+
+
+_cache: dict[tuple, Snapshot] = {}
+
+
+def _signature(spark: SparkSession, sf_dir: str) -> tuple:
+    """Length and time of every input, as the file system has them."""
+    out = []
+    for name in ("orders", "lineitem", "part", "supplier", "customer", "nation", "region"):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        status = fs.getFileStatus(at)
+        files = list(fs.listStatus(at)) if status.isDirectory() else [status]
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+    return tuple(out)
+
+
+def cached(spark: SparkSession, sf_dir: str) -> Snapshot:
+    """The snapshot of these tables, built once for an application and as long as no input changes."""
+    key = (spark.sparkContext.applicationId, sf_dir, _signature(spark, sf_dir))
+    if key not in _cache:
+        _cache.clear()
+        _cache[key] = of_driver_tables(spark, sf_dir)
+    return _cache[key]
