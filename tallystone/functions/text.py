@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from . import lookups as L
 
@@ -35,7 +36,7 @@ def or_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape_html(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 

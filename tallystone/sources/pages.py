@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
 
@@ -119,7 +120,10 @@ class _Page(HTMLParser):
             self.found["text"].append(data.strip())
 
 
-@pandas_udf("title string, heading string, text string, n_links int, jsonld string")
+_PAGE = StructType([StructField(n, IntegerType() if n == "n_links" else StringType()) for n in ("title", "heading", "text", "n_links", "jsonld")])
+
+
+@pandas_udf(_PAGE)
 def parse_page(html: pd.Series) -> pd.DataFrame:
     """What a page says: title, heading, visible text, number of links, first JSON-LD object."""
     rows = []
