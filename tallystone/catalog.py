@@ -325,8 +325,8 @@ _query("paging_guard", None, "SELECT event_type AS run_id, count(*) AS seen, cou
 _query("canonical_types", LISTING_SQL, "SELECT CASE property_type WHEN 'apartments' THEN 'apartment' ELSE property_type END AS property_type, count(*) AS n FROM listing GROUP BY 1")(
     lambda s, d: cdc.canonical_types(adapter.listings(s, d), ("apartment", "studio", "villa", "chalet", "office")).groupBy("property_type").agg(F.count(F.lit(1)).alias("n"))
 )
-_query("backfill_fields", LISTING_SQL, "SELECT id, coalesce(down_payment, CASE WHEN price * 0.5 < price THEN price * 0.5 END) AS down_payment, true AS is_installment FROM listing WHERE id % 2 = 0")(
-    lambda s, d: (lambda x: cdc.backfill(x, x.where("id % 2 = 0").select("source", "source_listing_id", (F.col("price") * 0.5).alias("down_payment"), F.lit(True).alias("is_installment"))).where("id % 2 = 0").select("id", "down_payment", "is_installment"))(adapter.listings(s, d))
+_query("backfill_fields", LISTING_SQL, "SELECT id, CASE WHEN id % 2 = 0 THEN coalesce(down_payment, CASE WHEN price * 0.5 < price THEN price * 0.5 END) ELSE down_payment END AS down_payment, is_installment OR id % 2 = 0 AS is_installment FROM listing")(
+    lambda s, d: (lambda x: cdc.backfill(x, x.where("id % 2 = 0").select("source", "source_listing_id", (F.col("price") * 0.5).alias("down_payment"), F.lit(True).alias("is_installment"))).select("id", "down_payment", "is_installment"))(adapter.listings(s, d))
 )
 _query("content_hash", None, None)(lambda s, d: (lambda x: x.select("id", cdc.content_hash(x).alias("content_hash")))(adapter.listings(s, d)))
 
@@ -374,7 +374,7 @@ _query("model_naive_errors")(lambda s, d: model.naive(_model_units(s, d).where("
 
 # ---- text, pages ---------------------------------------------------------------------------------
 
-_query("slug_keys", None, f"SELECT doc_id, {_SLUG.format('substr(text, 1, 200)')} AS key FROM documents")(lambda s, d: adapter.table(s, d, "documents").select("doc_id", T.slug(F.substring("text", 1, 200)).alias("key")))
+_query("slug_keys", None, f"SELECT doc_id, {_SLUG.format('text')} AS key FROM documents")(lambda s, d: adapter.table(s, d, "documents").select("doc_id", T.slug(F.col("text")).alias("key")))
 _query("parse_numbers", None, r"SELECT page_id, CAST(nullif(regexp_extract(regexp_replace(url, '[,\s'']', '', 'g'), '[0-9]+(\.[0-9]+)?'), '') AS DOUBLE) AS n FROM pages")(lambda s, d: adapter.table(s, d, "pages").select("page_id", T.parse_number(F.col("url")).alias("n")))
 _query("url_keys", None, r"SELECT page_id, lower(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\.', '') || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '')) AS url_key FROM pages")(
     lambda s, d: adapter.table(s, d, "pages").select("page_id", T.url_key(F.col("url")).alias("url_key"))
