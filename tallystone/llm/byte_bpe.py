@@ -23,6 +23,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Slots of the memo: what the driver collects and every task holds, whatever the input.
 MEMO = 1 << 17
 NO_RANK = 1 << 20
+ODD1, ODD2 = 0x9E3779B1, 0x85EBCA77
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,9 +39,14 @@ def pair_slots(ranks: dict[bytes, int]) -> tuple[list[int], int]:
             a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
             if a is not None and b is not None:
                 pairs[a << 16 | b] = rank
+    return cuckoo(pairs)
+
+
+def cuckoo(pairs: dict[int, int]) -> tuple[list[int], int]:
+    """A table in which a key (below 2^32, with a value below 2^16) lies in one of two slots; its half length."""
     half = 1 << max(4, len(pairs).bit_length())
     key = np.fromiter(pairs, np.int64, len(pairs))
-    one, two = (key * _ODD1 >> 13) & (half - 1), ((key * _ODD2 >> 17) & (half - 1)) + half
+    one, two = (key * ODD1 >> 13) & (half - 1), ((key * ODD2 >> 17) & (half - 1)) + half
     places, owner = list(zip(one.tolist(), two.tolist(), strict=True)), [-1] * (2 * half)
     for j in range(len(places)):
         x, side = j, 0
@@ -56,9 +62,6 @@ def pair_slots(ranks: dict[bytes, int]) -> tuple[list[int], int]:
     return [int(key[j]) << 16 | values[j] if j >= 0 else -1 for j in owner], half
 
 
-_ODD1, _ODD2 = 0x9E3779B1, 0x85EBCA77
-
-
 def _list(values, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
@@ -86,8 +89,8 @@ class Codec:
 
     def _rank(self, slots: Column, a: Column, b: Column) -> Column:
         def by(k):
-            first = F.get(slots, F.shiftright(k * _ODD1, 13).bitwiseAND(self.half - 1).cast("int"))
-            second = F.get(slots, (F.shiftright(k * _ODD2, 17).bitwiseAND(self.half - 1) + self.half).cast("int"))
+            first = F.get(slots, F.shiftright(k * ODD1, 13).bitwiseAND(self.half - 1).cast("int"))
+            second = F.get(slots, (F.shiftright(k * ODD2, 17).bitwiseAND(self.half - 1) + self.half).cast("int"))
             rank = lambda e: e.bitwiseAND(65535).cast("int")
             return _let(first, lambda e: F.when(F.shiftright(e, 16) == k, rank(e)).otherwise(_let(second, lambda f: F.when(F.shiftright(f, 16) == k, rank(f)).otherwise(NO_RANK))))
 
