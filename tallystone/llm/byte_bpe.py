@@ -1,29 +1,35 @@
-"""Byte-level BPE encoding and decoding with higher-order functions.
-
-Every distinct word of a bounded memo is encoded once, by a fold: its bytes start as
-tokens, and each step merges the leftmost pair of least rank, until no pair has a rank.
-The ranks of pairs are a literal hash map (two arrays of slots). Documents look their
-words up in the memo, which holds, slot by slot, the most frequent word of the whole
-corpus that falls there; any other word is folded where it stands, so the memo's size
-changes only the speed. Decoding looks the ids up and concatenates their bytes.
+"""Byte-level BPE encoding and decoding.
+
+Every distinct word is encoded once, by a fold of ranked merges: its bytes start as tokens,
+and each step merges the leftmost pair of least rank, until no pair has a rank. The ranks
+of pairs are a literal hash map (two arrays of slots). Decoding concatenates the pieces of
+the ids. There are two forms with the same results:
+
+* `encode` folds in numpy, all new words of a block of documents in step. Words whose ids
+  a task knows are looked up; when it knows too many it starts anew.
+* `encode_native` folds with Spark's higher-order functions, first the most frequent words
+  of the corpus (a bounded memo), then other words where they stand. It is far slower;
+  the README has figures.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, shared_dir
+from .common import saved, shared_dir, small_batches
+from .merges import NO_RANK, ODD1, ODD2, Merges, Places, cuckoo, gather, rank_pairs
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Slots of the memo: what the driver collects and every task holds, whatever the input.
 MEMO = 1 << 17
-NO_RANK = 1 << 20
-ODD1, ODD2 = 0x9E3779B1, 0x85EBCA77
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -31,37 +37,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def pair_slots(ranks: dict[bytes, int]) -> tuple[list[int], int]:
-    """Cuckoo table of (left id, right id) → id of the merged piece, as key * 65536 + id; its half length (a power of two)."""
-    pairs = {}
-    for piece, rank in ranks.items():
-        for k in range(1, len(piece)):
-            a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
-            if a is not None and b is not None:
-                pairs[a << 16 | b] = rank
-    return cuckoo(pairs)
-
-
-def cuckoo(pairs: dict[int, int]) -> tuple[list[int], int]:
-    """A table in which a key (below 2^32, with a value below 2^16) lies in one of two slots; its half length."""
-    half = 1 << max(4, len(pairs).bit_length())
-    key = np.fromiter(pairs, np.int64, len(pairs))
-    one, two = (key * ODD1 >> 13) & (half - 1), ((key * ODD2 >> 17) & (half - 1)) + half
-    places, owner = list(zip(one.tolist(), two.tolist(), strict=True)), [-1] * (2 * half)
-    for j in range(len(places)):
-        x, side = j, 0
-        for _ in range(500):
-            slot = places[x][side]
-            x, owner[slot] = owner[slot], x
-            if x < 0:
-                break
-            side = 1 if places[x][0] == slot else 0
-        else:
-            raise RuntimeError("the pairs do not fit; take a larger table")
-    values = list(pairs.values())
-    return [int(key[j]) << 16 | values[j] if j >= 0 else -1 for j in owner], half
-
-
 def _list(values, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
@@ -78,7 +53,7 @@ class Codec:
         ranks = read_ranks(path)
         if len(ranks) >= 1 << 16 or any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("ranks of all bytes and below 65536 are needed")
-        slots, self.half = pair_slots(ranks)
+        slots, self.half = cuckoo(rank_pairs(ranks))
         self.slots = _list(slots, "long")
         self.bytes = _list([ranks[bytes([b])] for b in range(256)], "int")
         pieces = [""] * (max(ranks.values()) + 1)
@@ -154,8 +129,8 @@ def memo(texts: DataFrame, codec: Codec, pattern: str, n: int = MEMO) -> tuple[C
     return F.split(F.lit("\0".join(words)), "\0"), F.split(F.lit(",".join(ids)), ","), F.split(F.lit(",".join(back)), ",")
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, memo_slots: int = MEMO) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs (doc_id, text).
+def encode_native(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, memo_slots: int = MEMO) -> DataFrame:
+    """encode with DataFrame functions only: doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs (doc_id, text).
 
     Each match of the pattern is encoded on its own, without special tokens. A null or
     empty text has no tokens and the hash of nothing. A null doc_id stays null; repeated
@@ -183,5 +158,80 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     return out.select("doc_id", n.alias("n_tokens"), F.sha2(F.unhex("code.ids"), 256).alias("ids_sha256"), F.sha2(F.unhex("code.text"), 256).alias("decoded_sha256"))
 
 
+#: White space as the pattern means it (the property White_Space), and words that a task remembers.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+CACHED_WORDS = 400_000
+
+
+class Encoder:
+    def __init__(self, path: str, pattern: str, cached: int = CACHED_WORDS):
+        self.ranks, self.cached = read_ranks(path), cached
+        self.merges = Merges.of_ranks(self.ranks)
+        self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]"))
+        pieces = [b""] * (max(self.ranks.values()) + 1)
+        for piece, rank in self.ranks.items():
+            pieces[rank] = piece
+        self.piece_size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.piece_start, self.piece_bytes = np.cumsum(self.piece_size) - self.piece_size, np.frombuffer(b"".join(pieces), np.uint8)
+        self.forget()
+
+    def forget(self) -> None:
+        self.place, self.start, self.size, self.flat = Places(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        whole = np.fromiter((self.ranks.get(r, -1) for r in raw), np.int64, len(raw))
+        cut = np.flatnonzero(whole < 0)
+        flat, size = self.merges.encode([raw[i] for i in cut])
+        sizes = np.ones(len(raw), np.int64)
+        sizes[cut] = size
+        ids = np.repeat(whole, sizes)
+        ids[ids < 0] = flat
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.size, self.flat = np.concatenate([self.size, sizes]), np.concatenate([self.flat, ids])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.place) > self.cached:
+            self.forget()
+        words = [self.pattern.findall(t) for t in texts]
+        places = [np.fromiter(map(self.place.__getitem__, w), np.int64, len(w)) for w in words]
+        if self.place.new:
+            self._learn(self.place.new)
+            self.place.new = []
+        return [gather(self.flat, self.start[p], self.size[p]) for p in places]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return gather(self.piece_bytes, self.piece_start[ids], self.piece_size[ids]).tobytes()
+
+
+def _hashes(path: str, pattern: str):
+    def run(batches):
+        enc = Encoder(path, pattern)
+        for b in batches:
+            n, ids_sha, text_sha = [], [], []
+            for at in range(0, b.num_rows, 1024):
+                for ids in enc.encode(b["text"].slice(at, 1024).to_pylist()):
+                    n.append(len(ids))
+                    ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                    text_sha.append(hashlib.sha256(enc.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
+
+
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs (doc_id, text).
+
+    Each match of the pattern is encoded on its own, without special tokens. A null or
+    empty text has no tokens and the hash of nothing. A null doc_id stays null; repeated
+    rows give repeated rows; an empty table gives an empty result; other columns are
+    ignored. No shuffle; a task holds a block of texts and the words that it knows.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text)
+    return rows.mapInArrow(_hashes(path or public_tokenizers.path(VOCABULARY), pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))

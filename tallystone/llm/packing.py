@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import NO_RANK, ODD1, ODD2, cuckoo
 from .common import small_batches
+from .merges import Merges, Places, gather
 
 LENGTH, END_ID, VOCABULARY = 4096, 2, "word_bpe_49k.json"
 #: Tokens planned at once, and words whose ids a worker remembers.
@@ -34,88 +34,6 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _CUT = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)|([^\n]+))$", re.MULTILINE)
 
 
-class _Places(dict):
-    """Numbers words in the order in which they first come; new: those that came since it was last emptied."""
-
-    def __init__(self):
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = place = len(self)
-        self.new.append(word)
-        return place
-
-
-def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The slices [start, start + size) of flat, one after another."""
-    total = int(size.sum())
-    if not total:
-        return flat[:0]
-    return flat[np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)]
-
-
-class Merges:
-    """Ranked merges of a tokenizer file, carried out for many words at once, one merge a word in each round."""
-
-    def __init__(self, spec: dict):
-        vocabulary = spec["model"]["vocab"]
-        pairs, self.merged = {}, np.zeros(len(spec["model"]["merges"]), np.int64)
-        for rank, m in enumerate(spec["model"]["merges"]):
-            a, b = m.split(" ") if isinstance(m, str) else m
-            pairs[vocabulary[a] << 16 | vocabulary[b]] = rank
-            self.merged[rank] = vocabulary[a + b]
-        slots, self.half = cuckoo(pairs)
-        self.slots = np.array(slots, np.int64)
-        # Bytes that print stand for themselves in the file, the others for characters from 256 on, in order.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        sign = {c: chr(c) for c in plain} | {c: chr(256 + n) for n, c in enumerate(c for c in range(256) if c not in set(plain))}
-        self.inner = np.array([vocabulary[sign[c]] for c in range(256)], np.int64)
-        self.last = np.array([vocabulary[sign[c] + "</w>"] for c in range(256)], np.int64)
-
-    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        k = a << 16 | b
-        one, two = self.slots[(k * ODD1 >> 13) & (self.half - 1)], self.slots[((k * ODD2 >> 17) & (self.half - 1)) + self.half]
-        return np.where(one >> 16 == k, one & 65535, np.where(two >> 16 == k, two & 65535, NO_RANK))
-
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words (none empty) one after another, and their numbers."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        ids, ends = self.inner[raw], np.cumsum(size) - 1
-        ids[ends] = self.last[raw[ends]]
-        word = np.repeat(np.arange(len(words)), size)
-        rank = np.full(len(ids), NO_RANK)
-        if len(ids) > 1:
-            rank[:-1] = np.where(word[1:] == word[:-1], self._rank(ids[:-1], ids[1:]), NO_RANK)
-        done = []
-        while len(ids):
-            start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            least = np.minimum.reduceat(rank, start)
-            length = np.diff(np.append(start, len(ids)))
-            live = np.repeat(least < NO_RANK, length)
-            if not live.all():
-                done.append((word[~live], ids[~live]))
-                ids, word, rank = ids[live], word[live], rank[live]
-                least, length = least[least < NO_RANK], length[least < NO_RANK]
-                if not len(ids):
-                    break
-            at = np.flatnonzero(rank == np.repeat(least, length))
-            at = at[np.concatenate([[True], word[at[1:]] != word[at[:-1]]])]  # the leftmost of each word
-            ids[at] = self.merged[rank[at]]
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            ids, word, rank = ids[keep], word[keep], rank[keep]
-            at = at - np.arange(len(at))
-            for left in (at[at > 0] - 1, at):
-                right = np.minimum(left + 1, len(ids) - 1)
-                near = (word[left] == word[right]) & (left != right)
-                rank[left] = np.where(near, self._rank(ids[left], ids[right]), NO_RANK)
-        if not done:
-            return np.zeros(0, np.int64), size
-        of, flat = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
-        return flat[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
-
-
 class WordTokenizer:
     """Token ids of texts. Blanks never take part in a token of this vocabulary, so ids are looked up word by word.
 
@@ -130,7 +48,7 @@ class WordTokenizer:
         self.model, self.cached = Tokenizer.from_file(path), cached
         self.model.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            self.merges = Merges(json.load(f))
+            self.merges = Merges.of_file(json.load(f))
         vocabulary = self.model.get_vocab()
         stops = [i for t, i in vocabulary.items() if t.endswith("</w>") and t[:-4] and not t[:-4].strip(".!?")]
         self.is_stop = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -138,7 +56,7 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.place = _Places()
+        self.place = Places()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)  # of word k: [ends[k], ends[k + 1])
 
@@ -153,7 +71,7 @@ class WordTokenizer:
         flat = np.concatenate([flat, np.fromiter(chain.from_iterable(ids), np.int64, int(size[len(heads) :].sum()))])
         none, start = len(size) - 1, np.cumsum(size) - size
         part = np.fromiter((k for low, marks, other in found for k in ((heads[low.lower()], rest[marks] if marks else none) if low else (rest[other], none))), np.int64, 2 * len(found))
-        new, own = _gather(flat, start[part], size[part]), size[part].reshape(-1, 2).sum(1)
+        new, own = gather(flat, start[part], size[part]), size[part].reshape(-1, 2).sum(1)
         n, total = len(self.place) - len(words), len(new)
         used = int(self.ends[n])
         while n + len(own) + 1 > len(self.ends):
@@ -181,7 +99,7 @@ class WordTokenizer:
         slot = np.ones(len(ids), bool)
         ends = np.cumsum(counts + 1) - 1
         slot[total[ends] - 1] = False
-        ids[slot] = _gather(self.flat, first, size)
+        ids[slot] = gather(self.flat, first, size)
         return ids, np.diff(np.concatenate([[0], total[ends]]))
 
 

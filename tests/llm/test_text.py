@@ -15,14 +15,15 @@ from tallystone.llm import byte_bpe, image_copies, license_scan, lm_scoring, pac
 SF = "/root/testdata/sf0.001"
 
 
-def test_byte_bpe(docs, rows, empty):
+@pytest.mark.parametrize("form", [byte_bpe.encode, lambda d: byte_bpe.encode_native(d, memo_slots=64)])
+def test_byte_bpe(docs, rows, empty, form):
     import tiktoken
 
     ranks = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.VOCABULARY))
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     some = docs.where("doc_id IN (1, 2, 60, 140, 141, 142, 143) OR doc_id IS NULL")
     texts = {i: t or "" for i, t in rows}
-    got = byte_bpe.encode(some.union(some.where("doc_id = 1").withColumn("text", F.lit("naïve 你好's  \n\t x<|endoftext|>٣"))), memo_slots=64).collect()
+    got = form(some.union(some.where("doc_id = 1").withColumn("text", F.lit("naïve 你好's  \n\t x<|endoftext|>٣")))).collect()
     for r in got:
         t = texts[r.doc_id]
         if r.doc_id == 1 and r.decoded_sha256 != hashlib.sha256(t.encode()).hexdigest():
@@ -30,7 +31,7 @@ def test_byte_bpe(docs, rows, empty):
         ids = enc.encode_ordinary(t)
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
-    assert len(got) == 9 and byte_bpe.encode(empty, memo_slots=64).count() == 0
+    assert len(got) == 9 and form(empty).count() == 0
 
 
 def token_ids(text):
