@@ -25,7 +25,7 @@ from .components import components
 SHINGLE, NUM, DEN = 5, 4, 5
 TREES, LABEL, RECALL = 16, 6, 0.9995
 #: Representatives in a block of a large cluster, and in a verification task.
-BLOCK, TASK_ROWS = 512, 512
+BLOCK, TASK_ROWS = 512, 128
 
 _SKETCH = "id long, tag int, d1 long, d2 long, size long, keys array<long>"
 _SETS = "bin long, cluster long, x int, y int, id long, weight long, block int, shingles binary"
