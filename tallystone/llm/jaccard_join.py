@@ -89,7 +89,8 @@ def _sets(bins: int):
                 own = int(mix(np.array([i], np.int64).view(np.uint64))[0] % np.uint64(blocks))
                 for other in range(blocks):
                     x, y = min(own, other), max(own, other)
-                    where = int(mix(np.array([cluster * 1_000_003 + x * 1009 + y], np.int64).view(np.uint64))[0] % np.uint64(bins)) if bins > 1 else 0
+                    # Modulo 2^64: clusters are ids of any size, NO_ID among them.
+                    where = int(mix(np.array([(cluster * 1_000_003 + x * 1009 + y) % 2**64], np.uint64))[0] % np.uint64(bins)) if bins > 1 else 0
                     for c, v in zip(cols, (where, cluster, x, y, i, weight, own, raw), strict=True):
                         c.append(v)
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())

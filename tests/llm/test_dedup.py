@@ -104,6 +104,16 @@ def test_near_copies_in_blocks(docs, monkeypatch):
     assert sorted((key(r.doc_id), r.n_links, key(r.class_id)) for r in jaccard_join.jaccard_join(docs).collect()) == one
 
 
+def test_near_copies_of_null_and_large_ids(spark, words, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TASK_ROWS", 1)
+    ids, texts = [(None, 5), (2**62, 2**62 + 1), (-(2**62), 2**63 - 1)], []
+    for k, (a, b) in enumerate(ids):
+        base = " ".join(words[100 * k : 100 * k + 100])
+        texts += [(a, base), (b, base + " more")]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(i, pair[0], 1) for pair in ids for i in pair}
+
+
 def test_prefixes_shorten_until_recall():
     assert [jaccard_join.prefix_length(16, 6, 0.8, r) for r in (0.9, 0.995, 0.9995)] == [6, 5, 4]
 
