@@ -7,12 +7,14 @@ are zipped from shifted slices of a document's word array and hashed by generate
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE, CONTAINMENT = 5, 0.8
-#: One-row bands: at similarity s a template is retrieved with chance 1 - (1 - s) ** BANDS.
+#: One-row bands: at containment s a template is retrieved with chance 1 - (1 - s) ** BANDS.
 BANDS = 32
 #: Window lengths in shingles; a template goes to the first whose half holds it, and windows start each half.
 WINDOWS = (32, 128, 512)
@@ -76,10 +78,6 @@ def _bands(h: str, n: int):
     return [F.min(F.xxhash64(F.col(h), F.lit(k))).alias(f"b{k}") for k in range(n)]
 
 
-def _as_rows(df: DataFrame, keys: list[str], n: int) -> DataFrame:
-    return df.select(*keys, F.posexplode(F.array(*(f"b{k}" for k in range(n)))).alias("band", "value"))
-
-
 def scan(docs: DataFrame, templates: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, license_id, containment, first_word for each document and template that it contains.
 
@@ -87,8 +85,9 @@ def scan(docs: DataFrame, templates: DataFrame, settings: Settings = Settings())
     share of a template's distinct shingles that one window of a document holds;
     first_word is where the first of them starts in the first such window. Windows overlap
     by half, and a template fits into a half, so every whole occurrence lies in a window.
-    MinHash values are taken over those shingles of a window that any template of its
-    size has: the others match none, and leaving them out raises the similarity. Texts and
+    MinHash values for a template are taken over those shingles of a window that it has
+    itself, so that their similarity is the containment and a window at the threshold is
+    missed with a chance of (1 - containment) ** bands (4e-23). Texts and
     templates of fewer than five words have no shingles and match nothing, as do nulls.
     Templates of more shingles than half the longest window are an error. Repeated rows of
     a document count once; empty tables give an empty result; other columns are ignored.
@@ -106,22 +105,18 @@ def scan(docs: DataFrame, templates: DataFrame, settings: Settings = Settings())
     t = t.join(sizes, "license_id").cache()
     small = t.limit(s.broadcast_shingles + 1).count() <= s.broadcast_shingles
     hint = F.broadcast if small else (lambda df: df)
-    universe = t.select("h", "length").distinct()
     rows = shingle_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
-    rows = rows.join(hint(universe), "h")
+    rows = rows.join(hint(t), "h")
     # A shingle lies in the window that starts at its half-step and in the one before.
     step = F.floor(F.col("pos") / (F.col("length") / 2)).cast("int")
-    rows = rows.select("doc_id", "length", "h", "pos", F.explode(F.array(step, step - 1)).alias("window"))
-    marks = rows.groupBy("doc_id", "length", "window").agg(*_bands("h", s.bands))
-    marks = _as_rows(marks, ["doc_id", "length", "window"], s.bands)
-    wanted = _as_rows(t.groupBy("license_id", "length").agg(*_bands("h", s.bands)), ["license_id", "length"], s.bands)
-    found = marks.join(hint(wanted), ["length", "band", "value"]).select("doc_id", "length", "window", "license_id").distinct()
+    rows = rows.select("doc_id", "license_id", "size", "h", "pos", F.explode(F.array(step, step - 1)).alias("window"))
+    held = rows.groupBy("doc_id", "license_id", "window", "h").agg(F.min("pos").alias("pos"), F.first("size").alias("size"))
+    # A window's bands for a template are of the template's own shingles in it, whatever else stands there.
+    marks = held.groupBy("doc_id", "license_id", "window").agg(*_bands("h", s.bands), (F.count(F.lit(1)) / F.first("size")).alias("containment"), F.min("pos").alias("pos"))
+    wanted = t.groupBy("license_id").agg(*_bands("h", s.bands)).select("license_id", *(F.col(f"b{k}").alias(f"t{k}") for k in range(s.bands)))
+    same = reduce(or_, (F.col(f"b{k}") == F.col(f"t{k}") for k in range(s.bands)))
     # Exact: how many of the template's shingles the window holds.
-    held = rows.groupBy("doc_id", "length", "window", "h").agg(F.min("pos").alias("pos"))
-    held = held.join(hint(t.select("license_id", "h", "size", "length")), ["h", "length"])
-    held = held.join(found, ["doc_id", "length", "window", "license_id"])
-    held = held.groupBy("doc_id", "license_id", "window").agg((F.count(F.lit(1)) / F.first("size")).alias("containment"), F.min("pos").alias("pos"))
-    held = held.where(F.col("containment") >= s.containment)
+    held = marks.join(hint(wanted), "license_id").where(same & (F.col("containment") >= s.containment))
     best = held.groupBy("doc_id", "license_id").agg(F.max(F.struct("containment", (-F.col("pos")).alias("neg"))).alias("best"))
     return best.select("doc_id", "license_id", F.col("best.containment").alias("containment"), (-F.col("best.neg")).cast("long").alias("first_word"))
 

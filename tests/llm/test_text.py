@@ -1,6 +1,8 @@
 """Tokenizers, packing, quality, language model, licences, URL lists, images, the pipeline."""
 
 import hashlib
+import itertools
+import re
 import zlib
 
 import numpy as np
@@ -137,6 +139,28 @@ def test_licences(spark, docs, empty):
     assert joined == got and license_scan.scan(empty, t).count() == 0
 
 
+def test_licences_side_by_side(spark):
+    """Adjacent notices, in every order and at many offsets, against brute force."""
+    notices = dict(license_scan.TEMPLATES[:4])
+    orders = [o for n in (2, 3, 4) for o in itertools.permutations(notices, n)]
+    rows, want = [], set()
+    for at in range(0, 20, 2):
+        for o in orders:
+            rows.append((len(rows), " ".join(f"w{k}" for k in range(at)) + " " + " ".join(notices[x] for x in o)))
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    grams = lambda t: [tuple(w[k : k + 5]) for w in [words(t)] for k in range(len(w) - 4)]
+    for i, text in rows:
+        g = grams(text)
+        for name, notice in license_scan.TEMPLATES:
+            t = grams(notice)
+            length = next(n for n in license_scan.WINDOWS if len(t) <= n // 2)
+            share = max(len(set(t) & set(g[max(k, 0) : k + length])) / len(set(t)) for k in range(-length // 2, len(g), length // 2))
+            if share >= 0.8:
+                want.add((i, name, share))
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.templates_table(spark)).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.license_id, r.containment) for r in got} == want
+
+
 def test_url_lists(spark):
     entries = spark.createDataFrame(
         [("a", "domain", "Bad.com", "add", "2024-01-10"), ("a", "domain", "bad.com", "remove", "2024-02-01"), ("a", "domain", "bad.com", "add", "2024-03-01"), ("b", "host", "x.bad.com", "add", "2024-01-01"), ("c", "prefix", "ok.com/p", "add", "2024-01-01"), ("c", None, "z", "add", "2024-01-01")],
