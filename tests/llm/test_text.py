@@ -188,6 +188,45 @@ def test_images(spark):
     assert image_copies.image_copies(spark.createDataFrame([], "media_id long, pixels binary, width int")).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 7])
+def test_images_meet_all_of_a_bucket(spark, monkeypatch, block):
+    """Links of given descriptors against brute force; buckets mix images of three kinds and hold unrelated descriptors."""
+    monkeypatch.setattr(image_copies, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(6)
+    base, table, flat = rng.integers(-(2**63), 2**63 - 1, (3, 8, 2)), {}, []
+    for i in range(24):
+        for j in range(12):
+            d = base[i % 3, j] if j < 8 else np.array([base[rng.integers(3), rng.integers(8), 0] & 0xFFFFFF | int(rng.integers(2**38)) << 24, rng.integers(2**62)])
+            for b in rng.choice(128, rng.integers(0, 9), replace=False) if j < 8 else []:
+                d = d ^ np.array([np.uint64(1 << int(b) % 64).view(np.int64) if b // 64 == k else 0 for k in (0, 1)])
+            x, y = (20 * j + 3 * i, 15 * (j % 4) + 2 * i) if j < 8 else rng.integers(0, 300, 2)
+            flat.append((i, int(x), int(y), int(d[0]), int(d[1])))
+    for i, x, y, d0, d1 in flat:
+        table.setdefault(i, []).append((x * 8 | y * 8 << 20, d0, d1))
+
+    def given(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [(i, *r) for i in b["id"].to_pylist() for r in table[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], ["id", "geo", "d0", "d1"])
+
+    part = 128 // image_copies.TABLES
+    cells, mask = {}, (1 << 128) - 1
+    value = lambda r: (r[3] & (2**64 - 1) | (r[4] & (2**64 - 1)) << 64) & mask
+    for a, b in itertools.product(flat, flat):
+        apart = value(a) ^ value(b)
+        if a[0] < b[0] and apart.bit_count() <= image_copies.MAX_BITS and any(not apart >> k * part & (1 << part) - 1 for k in range(image_copies.TABLES)):
+            for g in (0, 0.5):
+                cell = (g, *(int(np.floor((b[c] - a[c]) / image_copies.PIXELS + g)) for c in (1, 2)))
+                cells.setdefault((a[0], b[0], cell), set()).add(a[1:3])
+    links = {k[:2] for k, v in cells.items() if len(v) >= image_copies.CONSENSUS}
+    monkeypatch.setattr(image_copies, "_features", given)
+    images = spark.createDataFrame([(i, bytes([i]), 1) for i in range(24)], "media_id long, pixels binary, width int")
+    got = {r.media_id: (r.class_id, r.n_links) for r in image_copies.image_copies(images).collect()}
+    assert len(links) > 60 and got == {i: (i % 3, sum(i in k for k in links)) for i in range(24)}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     size = docs.count()
