@@ -227,6 +227,37 @@ def test_images_meet_all_of_a_bucket(spark, monkeypatch, block):
     assert len(links) > 60 and got == {i: (i % 3, sum(i in k for k in links)) for i in range(24)}
 
 
+def test_images_strongly_edited(spark):
+    """Crops to a third, noise and rescaling of large images: found as by brute force over all pairs of descriptors."""
+    rng = np.random.default_rng(9)
+    cloud = lambda a: np.clip(128 + 45 * a / a.std(), 0, 255).astype(np.uint8)
+    base = [cloud(image_copies._box(image_copies._box(rng.normal(size=(192, 192)), 2), 2)) for _ in range(6)]
+    noisy = lambda a: np.clip(a + rng.normal(0, 3, a.shape), 0, 255).astype(np.uint8)
+    small = lambda a: np.clip(image_copies._resized(a.astype(float), 0.7), 0, 255).astype(np.uint8)
+    edits = [lambda a: a[37:148, 50:161], lambda a: noisy(a[37:148, 50:161]), noisy, small]
+    rows = [(i + 10 * k, np.ascontiguousarray(e(b))) for k, e in enumerate([lambda a: a, *edits]) for i, b in enumerate(base)]
+    f = {i: image_copies.describe(a) for i, a in rows}
+    table = lambda d: d.view(np.uint64)
+    brute = set()
+    for i, k in itertools.combinations(sorted(f), 2):
+        a, b = f[i], f[k]
+        apart = sum(np.bitwise_count(table(np.ascontiguousarray(a[d]))[:, None] ^ table(np.ascontiguousarray(b[d]))[None]).astype(int) for d in ("d0", "d1"))
+        r, c = np.nonzero(apart <= image_copies.MAX_BITS)
+        turn, zoom = (b["angle"][c] - a["angle"][r]) % (2 * np.pi), a["scale"][r] / b["scale"][c]
+        sx = b["x"][c] - zoom * (np.cos(turn) * a["x"][r] - np.sin(turn) * a["y"][r])
+        sy = b["y"][c] - zoom * (np.sin(turn) * a["x"][r] + np.cos(turn) * a["y"][r])
+        for g in (0, 0.5):
+            cell = zip(np.floor(turn * (image_copies.TURNS / 2 / np.pi) + g) % image_copies.TURNS, np.floor(np.log2(zoom) / image_copies.OCTAVE + g), np.floor(sx / image_copies.PIXELS + g), np.floor(sy / image_copies.PIXELS + g), strict=True)
+            places = {}
+            for w, x, y in zip(cell, np.round(a["x"][r]), np.round(a["y"][r]), strict=True):
+                places.setdefault(w, set()).add((x, y))
+            if any(len(v) >= max(image_copies.CONSENSUS, image_copies.SHARE * min(len(a), len(b))) for v in places.values()):
+                brute.add((i, k))
+    got = {r.media_id: (r.class_id, r.n_links) for r in image_copies.image_copies(spark.createDataFrame([(i, a.tobytes(), a.shape[1]) for i, a in rows], "media_id long, pixels binary, width int")).collect()}
+    found = sum(n for _, n in got.values()) / 2
+    assert len(brute) == 60 and found >= 0.95 * len(brute) and all(got[i][0] == i % 10 for i in f)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     size = docs.count()
