@@ -2,7 +2,8 @@
 
 A small network predicts every token from two neighbours on either side. Its symbols are
 the most frequent words of the whole corpus (counted exactly) and shape classes for all
-others. Every input partition trains a copy of the same start on all its tokens; the
+others; within its class a word has its share of the class's exact counts, of which the
+table grows with the corpus. Every input partition trains a copy of the same start on all its tokens; the
 copies are averaged by their number of tokens. A document's score is the sum of its
 tokens' conditional log-probabilities.
 """
@@ -13,14 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, small_batches, words_of
+from .common import BLANK, saved, shared_dir, small_batches, words_of
 
 #: Output classes and members of a class (their product: symbols, the shape classes being the
 #: last SHAPES of them), hidden units, tokens in a training step and its rate, streams that sum copies.
-CLASSES, SHAPES, HIDDEN, STEP, RATE, STREAMS = 16, 64, 16, 1536, 0.2, 16
+CLASSES, SHAPES, HIDDEN, STEP, RATE, STREAMS = 16, 64, 16, 512, 0.2, 16
 SYMBOLS = CLASSES * CLASSES
 OFFSETS = (-2, -1, 1, 2)
 
@@ -109,10 +110,18 @@ class Network:
             w -= RATE * g / np.sqrt(s + 1e-8)
 
 
-def vocabulary(docs: DataFrame) -> dict[bytes, int]:
+def _words(text: str) -> Column:
+    return F.explode(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), f"{BLANK}+"))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """w, n for every word of all texts."""
+    return docs.select(_words("text").alias("w")).where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> dict[bytes, int]:
     """The SYMBOLS - SHAPES most frequent words of all texts (ties: by word), numbered by rank."""
-    words = docs.select(F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), f"{BLANK}+")).alias("w")).where("w <> ''")
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(SYMBOLS - SHAPES)
+    top = (word_counts(docs) if counts is None else counts).orderBy(F.desc("n"), "w").limit(SYMBOLS - SHAPES)
     # Classes hold ranks at equal distances, so that none is rare as a whole.
     return {r.w.encode("utf-8", "surrogatepass"): k % (CLASSES - SHAPES // CLASSES) * CLASSES + k // (CLASSES - SHAPES // CLASSES) for k, r in enumerate(top.collect())}
 
@@ -188,15 +197,40 @@ def _score(words: dict, vector: np.ndarray):
                 ends = np.cumsum(counts)
                 out.append(total[ends] - total[ends - counts])
                 n.append(counts)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array(np.concatenate(out) if out else [], pa.float64())], ["doc_id", "n_tokens", "log_prob"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["t1"], b["t2"], pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array(np.concatenate(out) if out else [], pa.float64())], ["doc_id", "t1", "t2", "n_tokens", "log_prob"])
 
     return run
 
 
-def score(docs: DataFrame, network: Network, words: dict[bytes, int]) -> DataFrame:
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = rows.mapInArrow(_score(words, network.vector()), "doc_id long, n_tokens long, log_prob double")
-    return out.withColumn("mean_log_prob", F.expr("try_divide(log_prob, n_tokens)"))
+def _shapes(batches):
+    for b in batches:
+        shape = pa.array([shape_class(w.encode("utf-8", "surrogatepass")) for w in b["w"].to_pylist()], pa.int32())
+        yield pa.RecordBatch.from_arrays([b["w"], b["n"], shape], ["w", "n", "shape"])
+
+
+def in_class(counts: DataFrame, words: dict[bytes, int]) -> DataFrame:
+    """w, share for every word beyond words: the logarithm of its share of its shape class."""
+    known = [w.decode("utf-8", "surrogatepass") for w in words]
+    t = (counts.where(~F.col("w").isin(known)) if known else counts).mapInArrow(_shapes, "w string, n long, shape int")
+    totals = F.broadcast(t.groupBy("shape").agg(F.sum("n").alias("total")))  # SHAPES rows at most
+    return t.join(totals, "shape").select("w", F.log(F.col("n") / F.col("total")).alias("share"))
+
+
+def score(docs: DataFrame, network: Network, words: dict[bytes, int], counts: DataFrame | None = None) -> DataFrame:
+    """Scores of docs by symbols; with counts, the word_counts of a corpus that docs are part of, by words."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.hash(text).alias("t2"))
+    out = rows.mapInArrow(_score(words, network.vector()), "doc_id long, t1 long, t2 int, n_tokens long, log_prob double")
+    if counts is not None:
+        work, known = shared_dir(docs.sparkSession), [w.decode("utf-8", "surrogatepass") for w in words]
+        out = saved(out, f"{work}/symbols")
+        tokens = rows.select("t1", "t2", _words("text").alias("w")).where("w <> ''")
+        tokens = tokens.where(~F.col("w").isin(known)) if known else tokens
+        # Merged by key at every size: the table grows with the input. Equal texts share a key and a sum.
+        own = tokens.join(saved(in_class(counts, words), f"{work}/shares").hint("merge"), "w").groupBy("t1", "t2").agg(F.sum("share").alias("own"))
+        own = own.join(out.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies")), ["t1", "t2"]).select("t1", "t2", (F.col("own") / F.col("copies")).alias("own"))
+        out = out.join(own, ["t1", "t2"], "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("own", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "log_prob", F.expr("try_divide(log_prob, n_tokens)").alias("mean_log_prob"))
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -206,8 +240,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     stays null, repeated rows are scored alike, an empty table gives an empty result;
     other columns are ignored. The model depends a little on how the input is split.
     """
-    words = vocabulary(docs)
-    return score(docs, train(docs, words), words)
+    counts = saved(word_counts(docs), f"{shared_dir(docs.sparkSession)}/counts")
+    words = vocabulary(docs, counts)
+    return score(docs, train(docs, words), words, counts)
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -118,6 +118,13 @@ def test_language_model(spark, docs, empty):
     assert lm_scoring.lm_scores(empty).count() == 0
 
 
+def test_rare_words_have_their_own_probability(spark):
+    texts = [" ".join(f"f{k}" for k in range(250))] * 5 + ["f0 f1 zebra f2 f3"] * 4 + ["f0 f1 zqxwa f2 f3"]
+    got = lm_scoring.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    s = {r.doc_id: r.log_prob for r in got}
+    assert len(got) == 10 and s[5] == pytest.approx(s[8]) and s[5] - s[9] == pytest.approx(np.log(4), abs=1e-4)
+
+
 def test_gradient_lowers_the_loss():
     rng = np.random.default_rng(4)
     target, context = rng.integers(0, 256, 600), rng.integers(0, 257, (4, 600))
