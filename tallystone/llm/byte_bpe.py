@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, shared_dir, small_batches
+from .common import only, saved, shared_dir, small_batches
 from .merges import NO_RANK, ODD1, ODD2, Merges, Places, cuckoo, gather, rank_pairs
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -226,10 +226,11 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     Each match of the pattern is encoded on its own, without special tokens. A null or
     empty text has no tokens and the hash of nothing. A null doc_id stays null; repeated
     rows give repeated rows; an empty table gives an empty result; other columns are
-    ignored. No shuffle; a task holds a block of texts and the words that it knows.
+    ignored. No shuffle; a task holds a block of texts and the words that it knows. A word
+    of n bytes takes n log n steps, be it as long as its text.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text)
+    rows = small_batches(only(docs, "doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), text)
     return rows.mapInArrow(_hashes(path or public_tokenizers.path(VOCABULARY), pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -23,12 +23,14 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """A new folder for intermediate tables, below spark.checkpoint.dir.
 
-    Where that setting is absent (local tests) a temporary folder takes its place.
-    The folder goes when the application ends.
+    Where that setting is absent (local tests) a temporary folder takes its place; on a
+    cluster its absence is an error. The folder goes when the application ends.
     """
     global _own_dir
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         _own_dir = _own_dir or tempfile.mkdtemp(prefix="tallystone-")
         root = f"file://{_own_dir}"
     path = f"{root}/tallystone/{uuid.uuid4().hex}"
@@ -55,6 +57,25 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """df with columns named c0, c1, … by their places, so that no name of its own can clash."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def place(df: DataFrame, name: str) -> str:
+    """Under which name placed(df) has a column: the first of just this name, else of this name in another case."""
+    for same in (lambda c: c == name, lambda c: c.lower() == name.lower()):
+        for k, c in enumerate(df.columns):
+            if same(c):
+                return f"c{k}"
+    raise ValueError(f"no column {name}")
+
+
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """Just the named columns, whatever else df has."""
+    return placed(df).select(*(F.col(place(df, n)).alias(n) for n in names))
+
+
 def id_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 

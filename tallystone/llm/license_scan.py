@@ -1,5 +1,9 @@
 """License scans: MinHash bands over overlapping windows find templates, shingle containment verifies them.
 
+A document's shingles that any template has come from one scan, by a lookup in the
+templates' shingles; bands of the shingles in a window pick templates, and the share of
+a template's shingles that the window holds decides.
+
 DataFrame functions only, and none that runs lambdas over words: five neighbouring words
 are zipped from shifted slices of a document's word array and hashed by generated code.
 """
@@ -13,11 +17,14 @@ from operator import or_
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import id_back, id_key, only, saved, shared_dir
+
 SHINGLE, CONTAINMENT = 5, 0.8
 #: One-row bands: at containment s a template is retrieved with chance 1 - (1 - s) ** BANDS.
 BANDS = 32
-#: Window lengths in shingles; a template goes to the first whose half holds it, and windows start each half.
-WINDOWS = (32, 128, 512)
+#: Window lengths in shingles are FIRST, then each GROWTH times the one before; a template goes to the
+#: first whose half holds it, and windows start each half.
+FIRST, GROWTH = 32, 4
 #: Template shingles up to this number are broadcast; more are joined by hash.
 BROADCAST_SHINGLES = 200_000
 
@@ -60,7 +67,6 @@ TEMPLATES = (
 class Settings:
     containment: float = CONTAINMENT
     bands: int = BANDS
-    windows: tuple[int, ...] = WINDOWS
     broadcast_shingles: int = BROADCAST_SHINGLES
 
 
@@ -89,24 +95,20 @@ def scan(docs: DataFrame, templates: DataFrame, settings: Settings = Settings())
     itself, so that their similarity is the containment and a window at the threshold is
     missed with a chance of (1 - containment) ** bands (4e-23). Texts and
     templates of fewer than five words have no shingles and match nothing, as do nulls.
-    Templates of more shingles than half the longest window are an error. Repeated rows of
-    a document count once; empty tables give an empty result; other columns are ignored.
+    Templates may be of any length: windows grow with them. A null doc_id is one more
+    document; repeated rows of a document count once; empty tables give an empty result;
+    other columns are ignored, whatever their names.
     """
-    s = settings
-    t = shingle_rows(templates.select("license_id", "text"), ["license_id"]).select("license_id", "h").distinct()
-    sizes = t.groupBy("license_id").agg(F.count(F.lit(1)).cast("int").alias("size"))
-    long = shingle_rows(templates.select("license_id", "text"), ["license_id"]).groupBy("license_id").agg(F.max("pos").alias("last"))
-    kind = F.lit(None).cast("int")
-    for length in reversed(s.windows):
-        kind = F.when(F.col("last") < length // 2, F.lit(length)).otherwise(kind)
-    sizes = sizes.join(long, "license_id").select("license_id", "size", kind.alias("length")).withColumn(
-        "length", F.coalesce("length", F.raise_error(F.lit("a template is longer than half the longest window")).cast("int"))
-    )
-    t = t.join(sizes, "license_id").cache()
+    s, work = settings, shared_dir(docs.sparkSession)
+    t = shingle_rows(only(templates, "license_id", "text").where("license_id IS NOT NULL"), ["license_id"])
+    t = saved(t, f"{work}/shingles")
+    length = F.lit(FIRST) * F.pow(F.lit(GROWTH), F.greatest(F.lit(0.0), F.ceil(F.log(float(GROWTH), (F.max("pos") + 1) / (FIRST / 2)))))
+    sizes = t.groupBy("license_id").agg(F.count_distinct("h").cast("int").alias("size"), length.cast("int").alias("length"))
+    t = saved(t.select("license_id", "h").distinct().join(sizes, "license_id"), f"{work}/templates")
     small = t.limit(s.broadcast_shingles + 1).count() <= s.broadcast_shingles
-    hint = F.broadcast if small else (lambda df: df)
-    rows = shingle_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
-    rows = rows.join(hint(t), "h")
+    hint = F.broadcast if small else (lambda df: df.hint("merge"))
+    rows = shingle_rows(only(docs, "doc_id", "text").select(id_key().alias("doc_id"), "text"), ["doc_id"])
+    rows = saved(rows.join(hint(t), "h").select("doc_id", "license_id", "size", "length", "h", "pos"), f"{work}/hits")
     # A shingle lies in the window that starts at its half-step and in the one before.
     step = F.floor(F.col("pos") / (F.col("length") / 2)).cast("int")
     rows = rows.select("doc_id", "license_id", "size", "h", "pos", F.explode(F.array(step, step - 1)).alias("window"))
@@ -118,7 +120,7 @@ def scan(docs: DataFrame, templates: DataFrame, settings: Settings = Settings())
     # Exact: how many of the template's shingles the window holds.
     held = marks.join(hint(wanted), "license_id").where(same & (F.col("containment") >= s.containment))
     best = held.groupBy("doc_id", "license_id").agg(F.max(F.struct("containment", (-F.col("pos")).alias("neg"))).alias("best"))
-    return best.select("doc_id", "license_id", F.col("best.containment").alias("containment"), (-F.col("best.neg")).cast("long").alias("first_word"))
+    return best.select(id_back(F.col("doc_id")).alias("doc_id"), "license_id", F.col("best.containment").alias("containment"), (-F.col("best.neg")).cast("long").alias("first_word"))
 
 
 def templates_table(spark: SparkSession) -> DataFrame:
@@ -138,7 +140,7 @@ tw AS (SELECT license_id, {_WORDS} AS w FROM tt),
 tp AS (SELECT license_id, w, unnest(range(0, len(w) - 4)) AS pos FROM tw),
 ta AS (SELECT license_id, pos, array_to_string(w[pos + 1 : pos + 5], ' ') AS s FROM tp),
 tz AS (SELECT license_id, count(DISTINCT s) AS size,
-              CASE WHEN max(pos) < 16 THEN 32 WHEN max(pos) < 64 THEN 128 ELSE 512 END AS length FROM ta GROUP BY license_id),
+              CAST(32 * pow(4, greatest(0, ceil(log2((max(pos) + 1) / 16.0) / 2))) AS INTEGER) AS length FROM ta GROUP BY license_id),
 t AS (SELECT DISTINCT ta.license_id, ta.s, tz.size, tz.length FROM ta JOIN tz ON tz.license_id = ta.license_id),
 dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 dp AS (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS pos FROM dw WHERE len(w) >= 5),

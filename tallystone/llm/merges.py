@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
+#: Bytes from which a word is merged by a heap of its own, in n log n.
+LONG = 256
 NO_RANK = 1 << 20
 ODD1, ODD2 = 0x9E3779B1, 0x85EBCA77
 
@@ -66,6 +70,7 @@ class Merges:
         """pairs: left id * 65536 + right id → rank; merged: rank → id; inner and last: byte → id, inside a word and at its end."""
         slots, self.half = cuckoo(pairs)
         self.slots, self.merged, self.inner, self.last = np.array(slots, np.int64), merged, inner, last
+        self.pairs = pairs
 
     @staticmethod
     def of_file(spec: dict) -> Merges:
@@ -93,9 +98,47 @@ class Merges:
         one, two = self.slots[(k * ODD1 >> 13) & (self.half - 1)], self.slots[((k * ODD2 >> 17) & (self.half - 1)) + self.half]
         return np.where(one >> 16 == k, one & 65535, np.where(two >> 16 == k, two & 65535, NO_RANK))
 
+    def _long(self, word: bytes) -> np.ndarray:
+        """Ids of one word: a heap of ranked pairs over a linked list; stale entries are passed over."""
+        raw = np.frombuffer(word, np.uint8)
+        start = self.inner[raw]
+        start[-1] = self.last[raw[-1]]
+        n, ids, pairs, merged = len(raw), start.tolist(), self.pairs, self.merged
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        rank = np.append(self._rank(start[:-1], start[1:]), NO_RANK).tolist()
+        heap = [r * n + i for i, r in enumerate(rank) if r < NO_RANK]
+        heapq.heapify(heap)
+        while heap:
+            r, i = divmod(heapq.heappop(heap), n)
+            if rank[i] != r:
+                continue
+            ids[i], gone = int(merged[r]), right[i]
+            right[i], rank[gone], ids[gone] = right[gone], NO_RANK, -1
+            if right[i] < n:
+                left[right[i]] = i
+            for j in (left[i], i):
+                if j >= 0:
+                    k = right[j]
+                    rank[j] = pairs.get(ids[j] << 16 | ids[k], NO_RANK) if k < n else NO_RANK
+                    if rank[j] < NO_RANK:
+                        heapq.heappush(heap, rank[j] * n + j)
+        return np.array([x for x in ids if x >= 0], np.int64)
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words (none empty) one after another, and their numbers."""
+        """Ids of words (none empty) one after another, and their numbers.
+
+        Words of less than LONG bytes take a round for each merge, all in step; longer ones
+        a heap each, so that a word costs n log n steps however long it is.
+        """
         size = np.fromiter(map(len, words), np.int64, len(words))
+        if (size >= LONG).any():
+            flat, n = self.encode([w for w in words if len(w) < LONG])
+            long = [self._long(w) for w in words if len(w) >= LONG]
+            own = np.zeros(len(words), np.int64)
+            own[size < LONG], own[size >= LONG] = n, [len(x) for x in long]
+            out, is_long = np.empty(int(own.sum()), np.int64), np.repeat(size >= LONG, own)
+            out[~is_long], out[is_long] = flat, np.concatenate(long)
+            return out, own
         raw = np.frombuffer(b"".join(words), np.uint8)
         ids, ends = self.inner[raw], np.cumsum(size) - 1
         ids[ends] = self.last[raw[ends]]

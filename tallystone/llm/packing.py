@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
 import zlib
 from collections import deque
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import only, small_batches
 from .merges import Merges, Places, gather
 
 LENGTH, END_ID, VOCABULARY = 4096, 2, "word_bpe_49k.json"
@@ -46,7 +46,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model, self.cached = Tokenizer.from_file(path), cached
-        self.model.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             self.merges = Merges.of_file(json.load(f))
         vocabulary = self.model.get_vocab()
@@ -103,12 +102,10 @@ class WordTokenizer:
         return ids, np.diff(np.concatenate([[0], total[ends]]))
 
 
+@lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
     """One for each worker process; the words that it knows go when a task ends."""
-    kept = sys.modules["pyarrow"].__dict__.setdefault("_tallystone_tokenizers", {})
-    if path not in kept:
-        kept[path] = WordTokenizer(path)
-    return kept[path]
+    return WordTokenizer(path)
 
 
 def cut_points(ids: np.ndarray, counts: np.ndarray, is_stop: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
@@ -217,14 +214,16 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, plan_to
     Every input partition is packed on its own, in its order, without a shuffle: documents
     follow one another, and sequences end where dynamic programming puts the cheapest cuts
     (ends of documents or sentences, seldom elsewhere). Plans span about plan_tokens
-    tokens and whole documents. A null or empty text is END_ID alone. A null doc_id stays
+    tokens and whole documents; a plan's end and a partition's end close a sequence, which
+    pads at most length / plan_tokens (0.4 %) more. A marker of the vocabulary that stands
+    in a text becomes its own id, as the library has it. A null or empty text is END_ID alone. A null doc_id stays
     null. Repeated rows are packed as often as they occur. An empty table gives an empty
     result; other columns are ignored. sequence_id holds the partition in its upper bits.
     """
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text)
+    rows = small_batches(only(docs, "doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), text)
     return rows.mapInArrow(_pack(path or public_tokenizers.path(VOCABULARY), length, plan_tokens), _PIECES)
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, small_batches, words_of
+from .common import hash_words, only, place, placed, small_batches, words_of
 
 #: Hashed word features, rank of the interactions, most labelled rows that are learnt from
 #: (those with the smallest hashes of doc_id), passes over them, score from which a row is good.
@@ -132,8 +132,11 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def _declared(docs: DataFrame):
-    return (F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")).alias("declared")
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, declared of docs, whatever else it has."""
+    has = any(c.lower() == "n_chars" for c in docs.columns)
+    declared = F.col(place(docs, "n_chars")).cast("long") if has else F.lit(None).cast("long")
+    return placed(docs).select(F.col(place(docs, "doc_id")).cast("long").alias("doc_id"), F.col(place(docs, "text")).cast("string").alias("text"), declared.alias("declared"))
 
 
 def _gather(batches):
@@ -145,11 +148,15 @@ def _gather(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine:
-    """Learns from at most max_rows labelled rows outside the held-out quarter; a fixed bound, whatever the input."""
-    marks = labels.where(F.col("quality").isin(0, 1) & ~F.coalesce(held_out(), F.lit(True)))
+    """Learns from at most max_rows labelled rows outside the held-out quarter; a fixed bound, whatever the input.
+
+    A doc_id that occurs in several rows of docs gives one of them (the least text), so that the bound is one of rows.
+    """
+    marks = only(labels, "doc_id", "quality").where(F.col("quality").isin(0, 1) & ~F.coalesce(held_out(), F.lit(True)))
     marks = marks.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     picked = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"), _declared(docs)).join(F.broadcast(picked), "doc_id")
+    rows = _rows(small_batches(docs)).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "declared", "quality")).alias("r")).select("r.*")
     got = rows.select("text", "declared", "quality").mapInArrow(_gather, "quality int, buckets binary, values binary, stats binary").toArrow()
     types = (np.int32, np.float32, np.float32)
     parts = [tuple(np.frombuffer(v, t) for v, t in zip(r, types, strict=True)) for r in zip(*(got[c].to_pylist() for c in ("buckets", "values", "stats")), strict=True)]
@@ -181,19 +188,16 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, ma
     labels every score is near a half. An empty table gives an empty result.
     """
     machine = train(docs, labels, max_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _declared(docs))
-    out = rows.mapInArrow(_scores(machine), "doc_id long, score double")
+    out = _rows(docs).mapInArrow(_scores(machine), "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least the threshold, with their columns."""
     machine = train(docs, labels)
-    names = docs.columns
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col("text").cast("string").alias("text"), _declared(docs))
+    rows = placed(docs).withColumns({"text": F.col(place(docs, "text")).cast("string"), "declared": F.col(place(docs, "n_chars")).cast("long") if any(c.lower() == "n_chars" for c in docs.columns) else F.lit(None).cast("long")})
     schema = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes)) + ", score double"
-    out = rows.mapInArrow(_scores(machine), schema).where(F.col("score") >= threshold)
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+    return rows.mapInArrow(_scores(machine), schema).where(F.col("score") >= threshold).drop("score").toDF(*docs.columns)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

@@ -17,12 +17,22 @@ def test_exact(docs, rows):
     groups = collections.defaultdict(list)
     for i, t in rows:
         groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), key(i)))
-    got = exact_dedup.exact_dedup(docs.withColumn("id", F.lit("clash")), runs=7, fan_in=2).collect()
-    assert len(got) == len(rows)
-    by_sha = {hashlib.sha256(n.encode()).hexdigest(): v for n, v in groups.items()}
-    for r in got:
-        g = by_sha[r.text_sha256]
-        assert (key(r.keep_id), r.group_size, r.kept) == (min(g)[1], len(g), key(r.doc_id) == min(g)[1])
+    for fan_in in (2, 8):
+        got = exact_dedup.exact_dedup(docs.repartition(7).withColumns({"id": F.lit("clash"), "DIGEST": F.lit(1)}), fan_in=fan_in).collect()
+        assert len(got) == len(rows)
+        by_sha = {hashlib.sha256(n.encode()).hexdigest(): v for n, v in groups.items()}
+        for r in got:
+            g = by_sha[r.text_sha256]
+            assert (key(r.keep_id), r.group_size) == (min(g)[1], len(g)) and (not r.kept or key(r.doc_id) == min(g)[1])
+        assert sorted(r.text_sha256 for r in got if r.kept) == sorted(by_sha)
+
+
+def test_exact_keeps_one_of_rows_with_one_id(spark):
+    rows = [(1, "a b"), (1, "ab"), (2, "ab"), (2, "ab"), (None, ""), (None, None)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.text_sha256, r.doc_id, r.keep_id) for r in got if r.kept) == sorted([(hashlib.sha256(b"ab").hexdigest(), 1, 1), (hashlib.sha256(b"").hexdigest(), None, None)])
+    kept = exact_dedup.without_copies(spark.createDataFrame([(*r, k, "same") for k, r in enumerate(rows)], "DOC_ID long, text string, k_id int, _sha string"))
+    assert kept.columns == ["DOC_ID", "text", "k_id", "_sha"] and sorted((r.text or "", r._sha) for r in kept.collect()) == [("", "same"), ("a b", "same")]
 
 
 def test_exact_keeps_one_of_each(docs, rows):
@@ -114,8 +124,51 @@ def test_near_copies_of_null_and_large_ids(spark, words, monkeypatch):
     assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(i, pair[0], 1) for pair in ids for i in pair}
 
 
-def test_prefixes_shorten_until_recall():
-    assert [jaccard_join.prefix_length(16, 6, 0.8, r) for r in (0.9, 0.995, 0.9995)] == [6, 5, 4]
+def brute_links(texts):
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    return {(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+
+
+def test_links_close_to_the_threshold(spark, words, monkeypatch):
+    """Pairs at 0.80 to 0.85, among families of pages at about a half that share prefixes: links and classes by brute force."""
+    import random
+
+    rng, texts = random.Random(7), []
+    for _ in range(150):
+        base = [rng.choice(words) for _ in range(200)]
+        for k in range(2):
+            w = base.copy()
+            for at in rng.sample(range(0, 200, 20), 2 * k):  # two words changed: about 10 of 196 shingles each way
+                w[at] = f"n{rng.random()}"
+            texts.append(" ".join(w[: 200 - rng.randint(0, 12) * k]))
+    frame = [rng.choice(words) for _ in range(100)]
+    texts += [" ".join(frame + [rng.choice(words) for _ in range(50)]) for _ in range(150)]
+    want = brute_links(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in jaccard_join.jaccard_join(df).collect()}
+    links = collections.Counter(i for pair in want for i in pair)
+    assert len(want) > 100 and sum(got.values()) == 2 * len(want) and got == {i: links[i] for i in range(len(texts))}
+    # The first members' clusters hold what is linked, not the whole family.
+    work = str(jaccard_join.shared_dir(spark))
+    keyed = jaccard_join._keyed(df)
+    reps = jaccard_join.saved(keyed.mapInArrow(jaccard_join._sketches(16, 6), jaccard_join._SKETCH).withColumn("node", F.col("id")), work + "/r")
+    edges = jaccard_join.forest_edges(keyed, reps, 16, 6, 0.9995, work)
+    sizes = components.components(edges).groupBy("component").count().agg(F.max("count")).first()[0]
+    assert sizes < 150
+
+
+def test_prefixes_shorten_until_recall(spark):
+    assert [next(d for d in range(6, 0, -1) if jaccard_join.chance(d, 16, 0.8) >= r) for r in (0.9, 0.995, 0.9995)] == [6, 5, 4]
+    rows = [(i, i + 1000, 9, 10, bytes([6] * 16)) for i in range(60)] + [(i + 60, i + 2000, 9, 10, bytes([6, 1] * 8)) for i in range(20)] + [(i + 80, i + 3000, 9, 10, bytes([1, 6] * 8)) for i in range(20)]
+    known = spark.createDataFrame(rows, jaccard_join._EDGE)
+    assert abs(jaccard_join.measured_recall(known, 6) - 100 * 60 / (80 * 80)) < 1e-9 and jaccard_join.measured_recall(known, 1) == 1.0
+
+
+def test_one_of_each_class(spark, words):
+    base = " ".join(words[:100])
+    rows = [(1, base, "a"), (1, base, "b"), (1, base + " more", "c"), (2, base, "d"), (3, None, "e"), (4, " ", "f"), (1, "other text", "g"), (None, base + " x", "h")]
+    kept = jaccard_join.one_of_each_class(spark.createDataFrame(rows, "doc_id long, text string, k_id string"))
+    assert kept.columns == ["doc_id", "text", "k_id"] and sorted(r.k_id for r in kept.collect()) == ["e", "f", "g", "h"]
 
 
 def test_components(spark):
