@@ -1,11 +1,15 @@
 """Language-model scores by masked pseudo-likelihood.
 
-A small network predicts every token from two neighbours on either side. Its symbols are
-the most frequent words of the whole corpus (counted exactly) and shape classes for all
-others; within its class a word has its share of the class's exact counts, of which the
-table grows with the corpus. Every input partition trains a copy of the same start on all its tokens; the
-copies are averaged by their number of tokens. A document's score is the sum of its
-tokens' conditional log-probabilities.
+A network predicts every token from two neighbours on either side. Its symbols are the
+most frequent words of the whole corpus, counted exactly, and shape classes for all other
+words; within its shape class a word has its share of the class's exact count, from a
+table that grows with the corpus. P(symbol) is P(class of symbols) times P(member).
+
+Training is the same however the input is split: texts go by their hash to shards of
+about SHARD_TOKENS and, within a shard, stand in the order of the hash. In each of ROUNDS
+rounds every shard trains a copy of the network on its part of the round, and the copies
+and their step sizes are averaged by their numbers of tokens. Every token is learnt from
+once. A document's score is the sum of its tokens' conditional log-probabilities.
 """
 
 from __future__ import annotations
@@ -17,18 +21,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, saved, shared_dir, small_batches, words_of
+from .common import BLANK, only, saved, shared_dir, small_batches, words_of
 
-#: Output classes and members of a class (their product: symbols, the shape classes being the
-#: last SHAPES of them), hidden units, tokens in a training step and its rate, streams that sum copies.
-CLASSES, SHAPES, HIDDEN, STEP, RATE, STREAMS = 16, 64, 16, 512, 0.2, 16
-SYMBOLS = CLASSES * CLASSES
+#: Classes of symbols and members of a class; shape classes are the members of the last one. Hidden units.
+CLASSES, MEMBERS, HIDDEN = 32, 128, 16
+SYMBOLS, WORDS = CLASSES * MEMBERS, (CLASSES - 1) * MEMBERS
+#: Tokens of a step, of a shard, and of texts that are turned into windows at once; rate; rounds; streams that sum copies.
+STEP, SHARD_TOKENS, SPAN, RATE, ROUNDS, STREAMS = 1024, 1_000_000, 65_536, 0.2, 4, 4
 OFFSETS = (-2, -1, 1, 2)
 
 
 def shape_class(word: bytes) -> int:
-    """Length, first letter's case and last byte, folded into one of SHAPES."""
-    return SYMBOLS - SHAPES + (min(len(word), 15) * 31 + (3 if word[:1].isupper() else 0) + word[-1] * 7) % SHAPES
+    """Length, first letter's case and last byte, folded into one of the last class's members."""
+    return WORDS + (min(len(word), 15) * 31 + (3 if word[:1].isupper() else 0) + word[-1] * 7) % MEMBERS
 
 
 @dataclass
@@ -43,71 +48,91 @@ class Network:
     def start(seed: int = 3) -> Network:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        return Network(draw(len(OFFSETS), SYMBOLS + 1, HIDDEN), draw(HIDDEN + 1, CLASSES), draw(CLASSES, HIDDEN + 1, CLASSES))
+        return Network(draw(len(OFFSETS), SYMBOLS + 1, HIDDEN), draw(HIDDEN + 1, CLASSES), draw(CLASSES, HIDDEN + 1, MEMBERS))
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.embed, self.top, self.low
 
     def vector(self) -> np.ndarray:
-        return np.concatenate([self.embed.ravel(), self.top.ravel(), self.low.ravel()])
+        return np.concatenate([p.ravel() for p in self.parts()])
 
     @staticmethod
     def of(vector: np.ndarray) -> Network:
-        n = Network.start()
-        a, b = n.embed.size, n.embed.size + n.top.size
-        v = vector.astype(np.float32)
-        return Network(v[:a].reshape(n.embed.shape), v[a:b].reshape(n.top.shape), v[b:].reshape(n.low.shape))
+        n, at, out = Network.start(), 0, []
+        for p in n.parts():
+            out.append(vector[at : at + p.size].astype(np.float32).reshape(p.shape))
+            at += p.size
+        return Network(*out)
 
     def _hidden(self, context: np.ndarray) -> np.ndarray:
         h = np.ones((context.shape[1], HIDDEN + 1), np.float32)
         np.tanh(sum(self.embed[k][context[k]] for k in range(len(OFFSETS))), out=h[:, :HIDDEN])
         return h
 
-    @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
-        np.exp(z - z.max(1, keepdims=True), out=z)
-        z /= z.sum(1, keepdims=True)
-        return z
-
     def log_probs(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Of each target symbol, given its context (offset, token)."""
         out = np.empty(len(target))
-        order = np.argsort(target // CLASSES, kind="stable")
-        cls = target[order] // CLASSES
-        edges = np.searchsorted(cls, np.arange(CLASSES + 1))
+        order = np.argsort(target // MEMBERS, kind="stable")
+        edges = np.searchsorted(target[order] // MEMBERS, np.arange(CLASSES + 1))
         for c in range(CLASSES):
             for at in range(edges[c], edges[c + 1], 16384):
                 i = order[at : min(at + 16384, edges[c + 1])]
                 h = self._hidden(context[:, i])
-                p, q = self._softmax(h @ self.top)[:, c], self._softmax(h @ self.low[c])
-                out[i] = np.log(np.maximum(p * q[np.arange(len(i)), target[i] % CLASSES], 1e-30))
+                z, y = h @ self.top, h @ self.low[c]
+                chosen = z[:, c] + y[np.arange(len(i)), target[i] % MEMBERS]
+                for a in (z, y):
+                    a -= (m := a.max(1, keepdims=True))
+                    chosen -= m[:, 0] + np.log(np.exp(a, out=a).sum(1))
+                out[i] = chosen
         return out
 
-    def learn(self, target: np.ndarray, context: np.ndarray, state: list[np.ndarray]) -> None:
-        """One step of Adagrad on the mean loss of a batch."""
-        n = len(target)
-        h = self._hidden(context)
-        cls = target // CLASSES
-        d = self._softmax(h @ self.top)
-        d[np.arange(n), cls] -= 1
-        g_top, g_h, g_low = h.T @ d, d @ self.top.T, np.zeros_like(self.low)
+    def gradient(self, target: np.ndarray, context: np.ndarray):
+        """Of the mean loss: (symbols, rows) for each offset, the top layer's, and {class: array} of the low ones."""
+        n, rows = len(target), np.arange(len(target))
+        h, cls = self._hidden(context), target // MEMBERS
+        d = _softmax(h @ self.top)
+        d[rows, cls] -= 1
+        d /= n
+        g_top, g_h, g_low = h.T @ d, d @ self.top.T, {}
         order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             i = order[edges[c] : edges[c + 1]]
             if len(i):
-                e = self._softmax(h[i] @ self.low[c])
-                e[np.arange(len(i)), target[i] % CLASSES] -= 1
-                g_low[c] = h[i].T @ e
+                own = h[i]
+                e = _softmax(own @ self.low[c])
+                e[rows[: len(i)], target[i] % MEMBERS] -= 1
+                e /= n
+                g_low[c] = own.T @ e
                 g_h[i] += e @ self.low[c].T
         back = g_h[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
-        g_embed = np.zeros_like(self.embed)
+        g_embed = []
         for k in range(len(OFFSETS)):
             by = np.argsort(context[k], kind="stable")
             symbol = context[k][by]
             first = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
-            g_embed[k][symbol[first]] = np.add.reduceat(back[by], first)
-        for w, g, s in zip((self.embed, self.top, self.low), (g_embed, g_top, g_low), state, strict=True):
-            g /= n
-            s += g * g
-            w -= RATE * g / np.sqrt(s + 1e-8)
+            g_embed.append((symbol[first], np.add.reduceat(back[by], first)))
+        return g_embed, g_top, g_low
+
+    def learn(self, target: np.ndarray, context: np.ndarray, state: Network) -> None:
+        """One step of Adagrad on the mean loss of a batch; state has the sums of squares."""
+        g_embed, g_top, g_low = self.gradient(target, context)
+        for k, (symbol, g) in enumerate(g_embed):
+            s = state.embed[k][symbol] + g * g
+            state.embed[k][symbol] = s
+            self.embed[k][symbol] -= RATE * g / np.sqrt(s)
+        state.top += g_top * g_top
+        self.top -= RATE * g_top / np.sqrt(state.top)
+        for c, g in g_low.items():
+            state.low[c] += g * g
+            self.low[c] -= RATE * g / np.sqrt(state.low[c])
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
 
 
 def _words(text: str) -> Column:
@@ -119,11 +144,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(_words("text").alias("w")).where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
-def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> dict[bytes, int]:
-    """The SYMBOLS - SHAPES most frequent words of all texts (ties: by word), numbered by rank."""
-    top = (word_counts(docs) if counts is None else counts).orderBy(F.desc("n"), "w").limit(SYMBOLS - SHAPES)
-    # Classes hold ranks at equal distances, so that none is rare as a whole.
-    return {r.w.encode("utf-8", "surrogatepass"): k % (CLASSES - SHAPES // CLASSES) * CLASSES + k // (CLASSES - SHAPES // CLASSES) for k, r in enumerate(top.collect())}
+def vocabulary(counts: DataFrame) -> dict[bytes, int]:
+    """The WORDS most frequent words (ties: by word), numbered so that each class has frequent and rarer ones."""
+    top = counts.orderBy(F.desc("n"), "w").limit(WORDS).collect()
+    return {r.w.encode("utf-8", "surrogatepass"): k % (CLASSES - 1) * MEMBERS + k // (CLASSES - 1) for k, r in enumerate(top)}
 
 
 class _Symbols(dict):
@@ -134,35 +158,86 @@ class _Symbols(dict):
         return s
 
 
-def _tokens(texts, table: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, two marks of the edge after each and before all; the number of each text's tokens."""
-    edge = [SYMBOLS, SYMBOLS]
-    flat, counts = edge.copy(), []
-    for t in texts:
-        words = words_of(t.as_py())
-        counts.append(len(words))
-        flat.extend(map(table.__getitem__, words))
-        flat += edge
-    return np.array(flat, np.int32), np.array(counts, np.int64)
+_ENCODED = "at long, doc_id long, h long, n_tokens long, symbols binary, rare array<string>"
+
+
+def _encode(words: dict):
+    def run(batches):
+        table = _Symbols(words)
+        for b in batches:
+            n, symbols, rare = [], [], []
+            for t in b["text"]:
+                w = words_of(t.as_py())
+                s = np.fromiter(map(table.__getitem__, w), np.uint16, len(w))
+                n.append(len(w)), symbols.append(s.tobytes())
+                rare.append([w[k].decode("utf-8", "surrogatepass") for k in np.flatnonzero(s >= WORDS).tolist()])
+            cols = [b["at"], b["doc_id"], b["h"], pa.array(n, pa.int64()), pa.array(symbols, pa.binary()), pa.array(rare, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, ["at", "doc_id", "h", "n_tokens", "symbols", "rare"])
+
+    return run
+
+
+def encoded(docs: DataFrame, words: dict[bytes, int]) -> DataFrame:
+    """Each row's symbols and the words beyond the vocabulary. To be saved before it is used twice: at is a place."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = small_batches(docs).select(F.monotonically_increasing_id().alias("at"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return rows.mapInArrow(_encode(words), _ENCODED)
 
 
-def _windows(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of some texts and their contexts; two marks of the edge stand on either side of a text."""
+    edge = np.full(2, SYMBOLS, np.int32)
+    flat = np.concatenate([edge, *(x for t in texts for x in (t, edge))])
     at = np.flatnonzero(flat != SYMBOLS)
     return flat[at], np.stack([flat[at + o] for o in OFFSETS])
 
 
-def _train(words: dict):
+def _start() -> np.ndarray:
+    net = Network.start()
+    return np.concatenate([net.vector(), np.full(net.vector().size, 1e-6, np.float32)])
+
+
+def _train(vector: np.ndarray):
+    """Sums over a task's shards of (weights, squares) times tokens."""
+    half = len(vector) // 2
+
     def run(batches):
-        net, table, seen = Network.start(), _Symbols(words), 0
-        state = [np.full_like(w, 0.01) for w in (net.embed, net.top, net.low)]
+        seen, total, shard, held, size = 0, None, None, [], 0
+        net = state = None
+        tokens = 0
+
+        def step():
+            nonlocal held, size
+            target, context = windows(held)
+            for at in range(0, len(target), STEP):
+                net.learn(target[at : at + STEP], context[:, at : at + STEP], state)
+            held, size = [], 0
+
+        def close():
+            nonlocal seen, total
+            if held:
+                step()
+            if tokens:
+                part = np.concatenate([net.vector(), state.vector()]).astype(np.float64) * tokens
+                seen, total = seen + tokens, part if total is None else total + part
+
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                target, context = _windows(_tokens(b["text"].slice(lo, 512), table)[0])
-                for at in range(0, len(target), STEP):
-                    net.learn(target[at : at + STEP], context[:, at : at + STEP], state)
-                seen += len(target)
+            for s, raw in zip(b["shard"].to_pylist(), b["symbols"].to_pylist(), strict=True):
+                if s != shard:
+                    if net is not None:
+                        close()
+                    shard, held, size, tokens = s, [], 0, 0
+                    net, state = Network.of(vector[:half]), Network.of(vector[half:])
+                t = np.frombuffer(raw, np.uint16).astype(np.int32)
+                held.append(t)
+                size += len(t)
+                tokens += len(t)
+                if size >= SPAN:
+                    step()
+        if net is not None:
+            close()
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(net.vector() * np.float64(seen)).tobytes()], pa.binary())], ["n", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "w"])
 
     return run
 
@@ -177,72 +252,99 @@ def _sum(batches):
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "w"])
 
 
-def train(docs: DataFrame, words: dict[bytes, int]) -> Network:
-    texts = small_batches(docs).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    copies = texts.mapInArrow(_train(words), "n long, w binary")
-    sums = copies.repartition(STREAMS).mapInArrow(_sum, "n long, w binary").collect()  # STREAMS vectors at most
-    if not sums:
+def train(rows: DataFrame, work: str) -> Network:
+    """The network learnt from rows of encoded()."""
+    total = rows.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
+    vector = _start()
+    if not total:
         return Network.start()
-    return Network.of(sum(np.frombuffer(r.w, np.float64) for r in sums) / sum(r.n for r in sums))
-
+    shards = -(-total // SHARD_TOKENS)
+    mixed = F.xxhash64("h")
+    corpus = rows.where("n_tokens > 0").select("h", "symbols", F.pmod(mixed, F.lit(shards)).alias("shard"), F.pmod(F.shiftright(mixed, 32), F.lit(ROUNDS)).alias("round"))
+    corpus = corpus.repartitionByRange(min(shards, 10_000), "shard").sortWithinPartitions("round", "shard", "h")
+    corpus.write.mode("overwrite").option("compression", "zstd").partitionBy("round").parquet(f"{work}/corpus")
+    corpus = rows.sparkSession.read.schema("h long, symbols binary, shard long, round int").parquet(f"{work}/corpus")
+    for k in range(ROUNDS):
+        copies = corpus.where(F.col("round") == k).select("shard", "symbols").mapInArrow(_train(vector), "n long, w binary")
+        sums = copies.repartition(STREAMS).mapInArrow(_sum, "n long, w binary").collect()  # STREAMS vectors at most
+        if sums:
+            vector = (sum(np.frombuffer(r.w, np.float64) for r in sums) / sum(r.n for r in sums)).astype(np.float32)
+    return Network.of(vector[: len(vector) // 2])
 
-def _score(words: dict, vector: np.ndarray):
-    def run(batches):
-        net, table = Network.of(vector), _Symbols(words)
-        for b in batches:
-            out, n = [], []
-            for lo in range(0, b.num_rows, 512):
-                flat, counts = _tokens(b["text"].slice(lo, 512), table)
-                total = np.concatenate([[0.0], np.cumsum(net.log_probs(*_windows(flat)))])
-                ends = np.cumsum(counts)
-                out.append(total[ends] - total[ends - counts])
-                n.append(counts)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["t1"], b["t2"], pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array(np.concatenate(out) if out else [], pa.float64())], ["doc_id", "t1", "t2", "n_tokens", "log_prob"])
 
-    return run
+@dataclass
+class Model:
+    words: dict[bytes, int]
+    network: Network
+    totals: dict[int, int]  # symbol of a shape class → tokens of the corpus there, beyond the vocabulary
+    counts: DataFrame  # w, n of every word
 
 
 def _shapes(batches):
     for b in batches:
         shape = pa.array([shape_class(w.encode("utf-8", "surrogatepass")) for w in b["w"].to_pylist()], pa.int32())
-        yield pa.RecordBatch.from_arrays([b["w"], b["n"], shape], ["w", "n", "shape"])
+        yield pa.RecordBatch.from_arrays([b["n"], shape], ["n", "shape"])
 
 
-def in_class(counts: DataFrame, words: dict[bytes, int]) -> DataFrame:
-    """w, share for every word beyond words: the logarithm of its share of its shape class."""
+def shape_totals(counts: DataFrame, words: dict[bytes, int]) -> dict[int, int]:
+    """Tokens of each shape class (MEMBERS at most)."""
     known = [w.decode("utf-8", "surrogatepass") for w in words]
-    t = (counts.where(~F.col("w").isin(known)) if known else counts).mapInArrow(_shapes, "w string, n long, shape int")
-    totals = F.broadcast(t.groupBy("shape").agg(F.sum("n").alias("total")))  # SHAPES rows at most
-    return t.join(totals, "shape").select("w", F.log(F.col("n") / F.col("total")).alias("share"))
+    rare = (counts.where(~F.col("w").isin(known)) if known else counts).mapInArrow(_shapes, "n long, shape int")
+    return {r["shape"]: r["n"] for r in rare.groupBy("shape").agg(F.sum("n").alias("n")).collect()}
 
 
-def score(docs: DataFrame, network: Network, words: dict[bytes, int], counts: DataFrame | None = None) -> DataFrame:
-    """Scores of docs by symbols; with counts, the word_counts of a corpus that docs are part of, by words."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.hash(text).alias("t2"))
-    out = rows.mapInArrow(_score(words, network.vector()), "doc_id long, t1 long, t2 int, n_tokens long, log_prob double")
-    if counts is not None:
-        work, known = shared_dir(docs.sparkSession), [w.decode("utf-8", "surrogatepass") for w in words]
-        out = saved(out, f"{work}/symbols")
-        tokens = rows.select("t1", "t2", _words("text").alias("w")).where("w <> ''")
-        tokens = tokens.where(~F.col("w").isin(known)) if known else tokens
-        # Merged by key at every size: the table grows with the input. Equal texts share a key and a sum.
-        own = tokens.join(saved(in_class(counts, words), f"{work}/shares").hint("merge"), "w").groupBy("t1", "t2").agg(F.sum("share").alias("own"))
-        own = own.join(out.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies")), ["t1", "t2"]).select("t1", "t2", (F.col("own") / F.col("copies")).alias("own"))
-        out = out.join(own, ["t1", "t2"], "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("own", F.lit(0.0)))
+def _score(network: Network, totals: dict[int, int]):
+    whole = np.zeros(SYMBOLS)
+    for s, n in totals.items():
+        whole[s] = np.log(n)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for lo in range(0, b.num_rows, 512):
+                texts = [np.frombuffer(r, np.uint16).astype(np.int32) for r in b["symbols"].slice(lo, 512).to_pylist()]
+                target, context = windows(texts)
+                total = np.concatenate([[0.0], np.cumsum(network.log_probs(target, context) - whole[target])])
+                ends = np.cumsum([len(t) for t in texts])
+                out.append(total[ends] - total[ends - np.array([len(t) for t in texts])])
+            yield pa.RecordBatch.from_arrays([b["at"], b["doc_id"], b["n_tokens"], pa.array(np.concatenate(out) if out else [], pa.float64())], ["at", "doc_id", "n_tokens", "log_prob"])
+
+    return run
+
+
+def score_rows(rows: DataFrame, model: Model) -> DataFrame:
+    """Scores of saved rows of encoded(). A word that the model's corpus lacks counts as one that occurs once."""
+    out = rows.select("at", "doc_id", "n_tokens", "symbols").mapInArrow(_score(model.network, model.totals), "at long, doc_id long, n_tokens long, log_prob double")
+    # Merged by key at every size: the table of words grows with the corpus.
+    rare = rows.select("at", F.explode("rare").alias("w")).hint("merge").join(model.counts, "w", "left")
+    own = rare.groupBy("at").agg(F.sum(F.log(F.coalesce("n", F.lit(1)).cast("double"))).alias("own"))
+    out = out.hint("merge").join(own, "at", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("own", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", "log_prob", F.expr("try_divide(log_prob, n_tokens)").alias("mean_log_prob"))
 
 
+def fit(docs: DataFrame, work: str) -> tuple[Model, DataFrame]:
+    """The model of all texts, and their encoded rows."""
+    counts = saved(word_counts(docs), f"{work}/counts")
+    words = vocabulary(counts)
+    rows = saved(encoded(docs, words), f"{work}/encoded")
+    return Model(words, train(rows, work), shape_totals(counts, words), counts), rows
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """lm_scores of docs by a model of another corpus."""
+    return score_rows(saved(encoded(only(docs, "doc_id", "text"), model.words), shared_dir(docs.sparkSession) + "/other"), model)
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_prob, mean_log_prob for every row of docs (doc_id, text); whole texts, all tokens.
 
     Null and empty texts have no tokens, a log_prob of 0 and a null mean. A null doc_id
     stays null, repeated rows are scored alike, an empty table gives an empty result;
-    other columns are ignored. The model depends a little on how the input is split.
+    other columns are ignored, whatever their names. The model depends on the texts alone,
+    not on how the input is split or ordered.
     """
-    counts = saved(word_counts(docs), f"{shared_dir(docs.sparkSession)}/counts")
-    words = vocabulary(docs, counts)
-    return score(docs, train(docs, words), words, counts)
+    model, rows = fit(only(docs, "doc_id", "text"), shared_dir(docs.sparkSession))
+    return score_rows(rows, model)
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:

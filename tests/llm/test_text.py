@@ -104,35 +104,78 @@ def test_machine_identity():
 
 
 def test_language_model(spark, docs, empty):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    words = lm_scoring.vocabulary(d)
-    net = lm_scoring.train(d, words)
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model, rows = lm_scoring.fit(d, lm_scoring.shared_dir(spark))
     total = lambda t: (lambda r: r.log_prob.sum() / r.n_tokens.sum())(t.toPandas())
-    trained = total(lm_scoring.score(d, net, words))
-    assert trained > total(lm_scoring.score(d, lm_scoring.Network.start(), words)) + 0.3
+    trained = total(lm_scoring.score_rows(rows, model))
+    untrained = lm_scoring.Model(model.words, lm_scoring.Network.start(), model.totals, model.counts)
+    assert trained > total(lm_scoring.score_rows(rows, untrained)) + 1
     shuffled = d.withColumn("text", F.array_join(F.shuffle(F.split("text", " "), 3), " "))
-    assert trained > total(lm_scoring.score(shuffled, net, words))
+    assert trained > total(lm_scoring.score(shuffled, model)) + 0.05
     got = {r.doc_id: r for r in lm_scoring.lm_scores(docs).collect()}
     assert got[140].n_tokens == got[141].n_tokens == 0 and got[141].mean_log_prob is None and got[143].log_prob < 0
     assert lm_scoring.lm_scores(empty).count() == 0
 
 
-def test_rare_words_have_their_own_probability(spark):
+def test_language_model_does_not_depend_on_the_split(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 40_000)
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one, many = (lm_scoring.lm_scores(d.repartition(n)).toPandas().set_index("doc_id").mean_log_prob.sort_index() for n in (1, 16))
+    assert len(one) == d.count() and (one - many).abs().max() < 1e-3
+
+
+def test_score_is_the_pseudo_likelihood(spark):
+    """Every token's probability given two on either side, worked out one by one."""
+    texts = ["one two three two one zebra", "one two", "", "three three two one two Zulu"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, rows = lm_scoring.fit(d, lm_scoring.shared_dir(spark))
+    keep = {w: s for w, s in model.words.items() if w not in (b"zebra", b"Zulu", b"one")}
+    model = lm_scoring.Model(keep, model.network, lm_scoring.shape_totals(model.counts, keep), model.counts)
+    count = {r.w: r.n for r in model.counts.collect()}
+    net, want = model.network, {}
+    soft = lambda z: np.exp(z) / np.exp(z).sum()
+    for i, t in enumerate(texts):
+        w = t.split()
+        s = [lm_scoring.SYMBOLS] * 2 + [keep.get(x.encode(), lm_scoring.shape_class(x.encode())) for x in w] + [lm_scoring.SYMBOLS] * 2
+        want[i] = 0.0
+        for k, x in enumerate(w):
+            h = np.append(np.tanh(sum(net.embed[j][s[k + 2 + o]].astype(float) for j, o in enumerate(lm_scoring.OFFSETS))), 1)
+            c, m = divmod(s[k + 2], lm_scoring.MEMBERS)
+            p = soft(h @ net.top)[c] * soft(h @ net.low[c])[m]
+            want[i] += np.log(p) if x.encode() in keep else np.log(p * count[x] / model.totals[s[k + 2]])
+    got = {r.doc_id: r.log_prob for r in lm_scoring.score(d, model).collect()}
+    assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_rare_words_have_their_own_probability(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "WORDS", 200)
+    monkeypatch.setattr(lm_scoring, "vocabulary", lambda counts: {f"f{k}".encode(): k for k in range(200)})
     texts = [" ".join(f"f{k}" for k in range(250))] * 5 + ["f0 f1 zebra f2 f3"] * 4 + ["f0 f1 zqxwa f2 f3"]
     got = lm_scoring.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     s = {r.doc_id: r.log_prob for r in got}
     assert len(got) == 10 and s[5] == pytest.approx(s[8]) and s[5] - s[9] == pytest.approx(np.log(4), abs=1e-4)
 
 
-def test_gradient_lowers_the_loss():
+def test_gradient_by_differences():
     rng = np.random.default_rng(4)
-    target, context = rng.integers(0, 256, 600), rng.integers(0, 257, (4, 600))
+    target, context = rng.integers(0, lm_scoring.SYMBOLS, 200), rng.integers(0, lm_scoring.SYMBOLS + 1, (4, 200))
     net = lm_scoring.Network.start()
-    state = [np.full_like(w, 0.01) for w in (net.embed, net.top, net.low)]
-    before = net.log_probs(target, context).mean()
-    for _ in range(30):
-        net.learn(target, context, state)
-    assert net.log_probs(target, context).mean() > before + 0.3
+    net = lm_scoring.Network(*(p.astype(np.float64) for p in net.parts()))
+    g_embed, g_top, g_low = net.gradient(target, context)
+    loss = lambda: -net.log_probs(target, context).mean()
+
+    def slope(array, at):
+        array[at] += 1e-3
+        up = loss()
+        array[at] -= 2e-3
+        down = loss()
+        array[at] += 1e-3
+        return (up - down) / 2e-3
+
+    c = int(target[0]) // lm_scoring.MEMBERS
+    symbol, rows = g_embed[2]
+    for array, at, g in ((net.top, (3, c), g_top[3, c]), (net.low[c], (16, target[0] % lm_scoring.MEMBERS), g_low[c][16, target[0] % lm_scoring.MEMBERS]), (net.embed[2], (symbol[5], 7), rows[5, 7])):
+        assert slope(array, at) == pytest.approx(g, rel=0.02, abs=2e-6)
 
 
 def test_licences(spark, docs, empty):
