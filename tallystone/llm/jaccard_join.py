@@ -33,6 +33,8 @@ TREES, LABEL, RECALL = 16, 6, 0.9995
 BLOCK, TASK_ROWS = 256, 128
 #: How often what is not linked to a prefix's first member is taken apart; members that share a copy of it.
 PARTINGS, STAR = 2, 1024
+#: Large clusters that are broadcast; more are joined by key.
+LARGE = 100_000
 #: Links that must be at hand before their measured recall counts.
 MEASURED = 50
 
@@ -284,8 +286,11 @@ def _classified(docs: DataFrame, trees: int, label: int, recall: float) -> DataF
     reps = rows.where("size > 0").groupBy(*same).agg(F.min(F.struct("id", "tag")).alias("r"), F.count(F.lit(1)).alias("weight"), F.first("labels").alias("labels"))
     reps = saved(reps.select(F.monotonically_increasing_id().alias("node"), *same, F.col("r.id").alias("id"), F.col("r.tag").alias("tag"), "weight", "labels"), f"{work}/reps")
     clusters = saved(components(forest_edges(keyed, reps, trees, label, recall, work)).select("node", F.col("component").alias("cluster")), f"{work}/clusters")
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    cand = clusters.hint("merge").join(sizes, "cluster").select("node", "cluster", "blocks")
+    # Only clusters of several blocks need a look-up, one row for each BLOCK documents at most; small ones stay where they are.
+    large = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    large = saved(large, f"{work}/large")
+    few = large.limit(LARGE + 1).count() <= LARGE
+    cand = clusters.join(F.broadcast(large) if few else large.hint("merge"), "cluster", "left").select("node", "cluster", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     cand = saved(cand.hint("merge").join(reps.select("node", "id", "tag", "weight"), "node"), f"{work}/candidates")
     total = cand.agg(F.count(F.lit(1)).alias("n"), F.max("blocks").alias("most")).first()
     bins = max(1, total["n"] // TASK_ROWS)

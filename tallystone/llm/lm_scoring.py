@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from .common import BLANK, only, saved, shared_dir, small_batches, words_of
 
 #: Classes of symbols and members of a class; shape classes are the members of the last one. Hidden units.
-CLASSES, MEMBERS, HIDDEN = 32, 128, 16
+CLASSES, MEMBERS, HIDDEN = 64, 64, 15
 SYMBOLS, WORDS = CLASSES * MEMBERS, (CLASSES - 1) * MEMBERS
 #: Tokens of a step, of a shard, and of texts that are turned into windows at once; rate; rounds; streams that sum copies.
-STEP, SHARD_TOKENS, SPAN, RATE, ROUNDS, STREAMS = 1024, 1_000_000, 65_536, 0.2, 4, 4
+STEP, SHARD_TOKENS, SPAN, RATE, ROUNDS, STREAMS = 8192, 2_000_000, 65_536, 0.2, 4, 4
 OFFSETS = (-2, -1, 1, 2)
 
 
@@ -65,53 +65,61 @@ class Network:
         return Network(*out)
 
     def _hidden(self, context: np.ndarray) -> np.ndarray:
-        h = np.ones((context.shape[1], HIDDEN + 1), np.float32)
-        np.tanh(sum(self.embed[k][context[k]] for k in range(len(OFFSETS))), out=h[:, :HIDDEN])
+        h = np.ones((context.shape[1], HIDDEN + 1), self.top.dtype)
+        z = self.embed[0].take(context[0], 0)
+        for k in range(1, len(OFFSETS)):
+            z += self.embed[k].take(context[k], 0)
+        np.tanh(z, out=h[:, :HIDDEN])
         return h
 
+    def _by_class(self, target: np.ndarray, context: np.ndarray):
+        """Order of the targets by class, both in that order, and where each class begins."""
+        cls = (target // MEMBERS).astype(np.uint8)
+        order = np.argsort(cls, kind="stable")
+        edges = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))]).tolist()
+        return order, target[order], context[:, order], edges
+
     def log_probs(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Of each target symbol, given its context (offset, token)."""
         out = np.empty(len(target))
-        order = np.argsort(target // MEMBERS, kind="stable")
-        edges = np.searchsorted(target[order] // MEMBERS, np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            for at in range(edges[c], edges[c + 1], 16384):
-                i = order[at : min(at + 16384, edges[c + 1])]
-                h = self._hidden(context[:, i])
-                z, y = h @ self.top, h @ self.low[c]
-                chosen = z[:, c] + y[np.arange(len(i)), target[i] % MEMBERS]
-                for a in (z, y):
-                    a -= (m := a.max(1, keepdims=True))
-                    chosen -= m[:, 0] + np.log(np.exp(a, out=a).sum(1))
-                out[i] = chosen
+        for lo in range(0, len(target), 16384):
+            part = slice(lo, lo + 16384)
+            order, t, c, edges = self._by_class(target[part], context[:, part])
+            h, rows, m = self._hidden(c), np.arange(len(t)), t % MEMBERS
+            z = h @ self.top
+            chosen = z[rows, t // MEMBERS] - _log_sum(z)
+            for k in range(CLASSES):
+                a, b = edges[k], edges[k + 1]
+                if a < b:
+                    y = h[a:b] @ self.low[k]
+                    chosen[a:b] += y[rows[: b - a], m[a:b]] - _log_sum(y)
+            out[lo + order] = chosen
         return out
 
     def gradient(self, target: np.ndarray, context: np.ndarray):
         """Of the mean loss: (symbols, rows) for each offset, the top layer's, and {class: array} of the low ones."""
         n, rows = len(target), np.arange(len(target))
-        h, cls = self._hidden(context), target // MEMBERS
+        _, t, c, edges = self._by_class(target, context)
+        h, m = self._hidden(c), t % MEMBERS
         d = _softmax(h @ self.top)
-        d[rows, cls] -= 1
-        d /= n
+        d[rows, t // MEMBERS] -= 1
+        d *= 1 / n
         g_top, g_h, g_low = h.T @ d, d @ self.top.T, {}
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            i = order[edges[c] : edges[c + 1]]
-            if len(i):
-                own = h[i]
-                e = _softmax(own @ self.low[c])
-                e[rows[: len(i)], target[i] % MEMBERS] -= 1
-                e /= n
-                g_low[c] = own.T @ e
-                g_h[i] += e @ self.low[c].T
+        for k in range(CLASSES):
+            a, b = edges[k], edges[k + 1]
+            if a < b:
+                e = _softmax(h[a:b] @ self.low[k])
+                e[rows[: b - a], m[a:b]] -= 1
+                e *= 1 / n
+                g_low[k] = h[a:b].T @ e
+                g_h[a:b] += e @ self.low[k].T
         back = g_h[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
         g_embed = []
         for k in range(len(OFFSETS)):
-            by = np.argsort(context[k], kind="stable")
-            symbol = context[k][by]
+            by = np.argsort(c[k].astype(np.uint16), kind="stable")
+            symbol = c[k][by]
             first = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
-            g_embed.append((symbol[first], np.add.reduceat(back[by], first)))
+            g_embed.append((symbol[first], np.add.reduceat(back.take(by, 0), first)))
         return g_embed, g_top, g_low
 
     def learn(self, target: np.ndarray, context: np.ndarray, state: Network) -> None:
@@ -128,13 +136,31 @@ class Network:
             self.low[c] -= RATE * g / np.sqrt(state.low[c])
 
 
+def _log_sum(z: np.ndarray) -> np.ndarray:
+    most = z.max(1)
+    z -= most[:, None]
+    return most + np.log(np.exp(z, out=z).sum(1))
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z *= 1 / z.sum(1, keepdims=True)
     return z
 
 
+def _one_thread() -> None:
+    """Small products gain nothing from several threads, which would only wait for one another."""
+    import ctypes
+    import glob
+    import os
+
+    for lib in glob.glob(os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs", "lib*openblas*")):
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if f := getattr(ctypes.CDLL(lib), name, None):
+                f(1)
+
+
 def _words(text: str) -> Column:
     return F.explode(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), f"{BLANK}+"))
 
@@ -202,6 +228,7 @@ def _train(vector: np.ndarray):
     half = len(vector) // 2
 
     def run(batches):
+        _one_thread()
         seen, total, shard, held, size = 0, None, None, [], 0
         net = state = None
         tokens = 0
@@ -299,6 +326,7 @@ def _score(network: Network, totals: dict[int, int]):
         whole[s] = np.log(n)
 
     def run(batches):
+        _one_thread()
         for b in batches:
             out = []
             for lo in range(0, b.num_rows, 512):

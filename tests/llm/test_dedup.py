@@ -59,12 +59,32 @@ def brute_windows(rows, n=20):
 
 def test_substrings(docs, rows):
     want = brute_windows(rows)
-    for sizes in ({"block_words": 700, "shard_segments": 20}, {}):
+    for sizes in ({"block_words": 700, "shard_segments": 20}, {"block_words": 300, "shard_segments": 20, "hot": 3}, {}):
         got = substring_dedup.substring_dedup(docs, **sizes).collect()
         assert len(got) == len(rows)
         assert {key(r.doc_id): (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
 
 
+def test_substrings_of_hot_anchors(spark, words):
+    """One passage in all documents, and one frequent gram with ever new neighbours: both in rounds."""
+    import random
+
+    rng = random.Random(2)
+    some = lambda n: " ".join(rng.choice(words) + str(rng.randrange(50)) for _ in range(n))
+    rows = [(i, " ".join([some(25), " ".join(words[:40]), some(10), " ".join(words[200:205]), some(10)])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(df, block_words=100, hot=4, shard_segments=50).collect()}
+    assert got == brute_windows(rows)
+
+
+def test_without_repeats_leaves_other_columns(spark, words):
+    passage = " ".join(words[:30])
+    rows = [(1, passage + " a", "x", 7), (2, passage, "y", 8), (3, "b  " + passage, "z", 9), (None, None, "n", None)]
+    out = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, k_id string, N_CHARS int"))
+    assert out.columns == ["doc_id", "text", "k_id", "N_CHARS"]
+    assert {r.k_id: (r.text, r.N_CHARS) for r in out.collect()} == {"n": ("", 0), "x": (rows[0][1], len(rows[0][1])), "z": ("b", 1)}
+
+
 def test_substrings_other_window(docs, rows):
     want = brute_windows(rows, 8)
     assert {key(r.doc_id): (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(docs, window=8, block_words=900).collect()} == want
