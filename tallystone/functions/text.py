@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from . import lookups as L
 
@@ -36,40 +37,58 @@ def or_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-@pandas_udf(StringType())
-def unescape_html(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
+@pandas_udf(ArrayType(StringType()))
+def _unescaped(rows: pd.Series) -> pd.Series:
+    return rows.map(lambda r: [t if t is None else html.unescape(t) for t in r], na_action="ignore")
 
 
-def clean_text(value: Column, limit: int = 400) -> Column:
-    """Plain text of at most limit characters: no tags, control characters or mobile numbers; null when it says nothing.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with more columns (or other ones of the same name), each computed once for a row.
 
-    Entities are decoded in Python, and only in rows that have one.
+    A generator of one row holds them: conditions on them are not pushed through it, and
+    what reads them does not repeat them.
     """
-    value = F.when(F.contains(value, F.lit("&")), unescape_html(F.when(F.contains(value, F.lit("&")), value))).otherwise(value)
-    return clean_plain(value, limit)
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*(v.alias(c) for c, v in columns.items())))))
+
+
+def clean_texts(*values: Column, limit: int = 400) -> Column:
+    """An array of clean_text of each value. Entities are decoded in Python, in one call, and only in rows that have one."""
+    texts = F.array(*(v.cast("string") for v in values))
+    odd = F.coalesce(*(F.when(F.contains(v, F.lit("&")), True) for v in values), F.lit(False))
+    return F.transform(F.coalesce(_unescaped(F.when(odd, texts)), texts), lambda t: clean_plain(t, limit))
+
+
+def clean_text(value: Column, limit: int = 400) -> Column:
+    """Plain text of at most limit characters: no tags, control characters or mobile numbers; null when it says nothing."""
+    return F.get(clean_texts(value, limit=limit), F.lit(0))
 
 
 def clean_plain(value: Column, limit: int = 400) -> Column:
     """clean_text of a text without entities."""
-    t = F.regexp_replace(value, r"<[^>]*>", " ")
-    t = F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    t = squeeze(F.regexp_replace(t, _PHONE, "[contact withheld]"))
-    return F.when(~F.lower(t).isin(*L.EMPTY), F.substring(t, 1, limit))
+    bare = F.when(F.contains(value, F.lit("<")), F.regexp_replace(value, r"<[^>]*>", " ")).otherwise(value)
+    bare = F.regexp_replace(bare, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    # The long pattern is tried only where a number may begin.
+    t = let(bare, lambda x: F.when(x.rlike("1[0125]"), F.regexp_replace(x, _PHONE, "[contact withheld]")).otherwise(x))
+    return let(squeeze(t), lambda x: F.when(~F.lower(x).isin(*L.EMPTY), F.substring(x, 1, limit)))
 
 
 def number(value: Column, low, high) -> Column:
     """value as a finite number in [low, high], else null. Booleans are no numbers."""
-    x = value.try_cast("double")
-    return F.when(~F.isnan(x) & (x >= low) & (x <= high), x)
+    low, high = (v if isinstance(v, Column) else F.lit(v) for v in (low, high))
+    return let(value.try_cast("double"), lambda x: F.when(~F.isnan(x) & (x >= low) & (x <= high), x))
 
 
 def integer(value: Column, high) -> Column:
-    x = number(value, 0, high)
-    return F.when(x == F.floor(x), x.cast("int"))
+    return let(number(value, 0, high), lambda x: F.when(x == F.floor(x), x.cast("int")))
 
 
-def flag(value: Column) -> Column:
+def boolean(value: Column) -> Column:
     """True of 1, false of 0, else null."""
     return F.when(value.cast("int") == 1, True).when(value.cast("int") == 0, False)
 
@@ -145,16 +164,22 @@ def slug(text: Column) -> Column:
 def developer_key(name: Column) -> Column:
     """A key of a developer that ignores trade words, case and script variants; empty for null."""
     bare = lambda t: F.regexp_replace(t, _NOT_WORD, "")
-    low = squeeze(F.lower(name))
-    latin = F.regexp_replace(low, r"[^a-z0-9()& ]+", " ")
-    arabic = low.rlike(_ARABIC)
-    kept = F.when(latin.rlike("[a-z]{3}") & arabic, squeeze(latin)).otherwise(low)
-    native = squeeze(F.regexp_replace(kept, _ARABIC_NOISE, " "))
-    of_arabic = F.coalesce(L.lookup(L.DEVELOPERS, native), or_null(bare(native)), bare(kept))
-    tmg = F.contains(kept, F.lit("talaat moustafa")) | F.array_contains(F.split(kept, " "), "tmg")
-    of_latin = F.coalesce(or_null(bare(F.regexp_replace(kept, _NOISE, " "))), bare(kept))
-    key = F.when(kept.rlike(_ARABIC), of_arabic).when(tmg, F.lit("talaatmoustafa")).otherwise(of_latin)
-    return F.when(F.coalesce(name, F.lit("")) == "", F.lit("")).otherwise(F.coalesce(L.lookup(L.DEVELOPERS, low), key))
+
+    def of_arabic(kept):
+        native = squeeze(F.regexp_replace(kept, _ARABIC_NOISE, " "))
+        return let(native, lambda n: F.coalesce(L.lookup(L.DEVELOPERS, n), or_null(bare(n)), bare(kept)))
+
+    def of_latin(kept):
+        tmg = F.contains(kept, F.lit("talaat moustafa")) | F.array_contains(F.split(kept, " "), "tmg")
+        return F.when(tmg, F.lit("talaatmoustafa")).otherwise(F.coalesce(or_null(bare(F.regexp_replace(kept, _NOISE, " "))), bare(kept)))
+
+    def of_low(low):
+        mixed = let(F.regexp_replace(low, r"[^a-z0-9()& ]+", " "), lambda x: F.when(x.rlike("[a-z]{3}"), squeeze(x)))
+        kept = F.coalesce(F.when(low.rlike(_ARABIC), mixed), low)
+        key = let(kept, lambda k: F.when(k.rlike(_ARABIC), of_arabic(k)).otherwise(of_latin(k)))
+        return F.coalesce(L.lookup(L.DEVELOPERS, low), key)
+
+    return F.coalesce(F.when(name != "", let(squeeze(F.lower(name)), of_low)), F.lit(""))
 
 
 def fold(text: Column) -> Column:
@@ -166,12 +191,11 @@ def fold(text: Column) -> Column:
 
 def alias_key(compound: Column, developer: Column) -> Column:
     """The key of a pair of spellings; null where the compound folds to nothing."""
-    return F.when(fold(compound) != "", F.concat(fold(compound), F.lit("|"), fold(developer_key(developer))))
+    return let(fold(compound), lambda c: F.when(c != "", F.concat(c, F.lit("|"), fold(developer_key(developer)))))
 
 
 def canonical_district(name: Column) -> Column:
-    clean = squeeze(name)
-    return F.when(name != "", F.coalesce(L.lookup(L.DISTRICTS, F.lower(clean)), clean))
+    return F.when(name != "", let(squeeze(name), lambda c: F.coalesce(L.lookup(L.DISTRICTS, F.lower(c)), c)))
 
 
 def finishing_class(value: Column) -> Column:
@@ -183,7 +207,7 @@ def property_class(kind: Column) -> Column:
 
 
 def canonical_type(kind: Column) -> Column:
-    return F.coalesce(L.lookup(L.TYPE_ALIASES, F.lower(kind)), F.lower(kind))
+    return let(F.lower(kind), lambda k: F.coalesce(L.lookup(L.TYPE_ALIASES, k), k))
 
 
 def search_terms(query: str) -> list[str]:
@@ -218,16 +242,16 @@ _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[^\]]*\]|[^/?#:@]*)(?::
 
 def safe_url(value: Column) -> Column:
     """An http or https link with a host and without credentials or control characters."""
-    t = F.trim(value)
-    ok = (F.length(value) <= 4096) & ~value.rlike(r"[\x00-\x1f]") & F.lower(F.regexp_extract(t, _URL, 1)).isin("http", "https")
-    return F.when(ok & (F.regexp_extract(t, _URL, 3) != "") & (F.regexp_extract(t, _URL, 2) == ""), t)
+    ok = (F.length(value) <= 4096) & ~value.rlike(r"[\x00-\x1f]")
+    good = lambda t: F.lower(F.regexp_extract(t, _URL, 1)).isin("http", "https") & (F.regexp_extract(t, _URL, 3) != "") & (F.regexp_extract(t, _URL, 2) == "")
+    return F.when(ok, let(F.trim(value), lambda t: F.when(good(t), t)))
 
 
 def url_key(value: Column) -> Column:
     """Host without www and path without a final slash, in lower case: what two links to one page share."""
-    t = F.trim(value)
-    host = F.regexp_replace(F.lower(F.regexp_extract(t, _URL, 3)), r"^www\.", "")
-    return F.when(host != "", F.lower(F.concat(host, F.regexp_replace(F.regexp_extract(t, _URL, 4), r"/+$", ""))))
+    host = lambda t: F.regexp_replace(F.lower(F.regexp_extract(t, _URL, 3)), r"^www\.", "")
+    path = lambda t: F.regexp_replace(F.regexp_extract(t, _URL, 4), r"/+$", "")
+    return let(F.trim(value), lambda t: let(host(t), lambda h: F.when(h != "", F.lower(F.concat(h, path(t))))))
 
 
 def photo_urls(value: Column, limit: int = 12) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import money as M
@@ -29,36 +29,33 @@ def known_columns(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 
 def eligible(rows: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    """Active sales in EGP with a plausible price and area, a type and a place. Invalid optional fields become null."""
-    price, area = T.number(F.col("price"), *PRICE), T.number(F.col("area_m2"), *AREA)
-    kind = T.canonical_type(T.clean_text(F.col("property_type")))
-    district, compound = T.clean_text(F.col("district")), T.clean_text(F.col("compound"))
-    finishing, source = T.clean_text(F.col("finishing")), F.coalesce(T.clean_text(F.col("source"), 32), F.lit("unknown"))
-    year = F.col("contract_year").cast("string").substr(1, 4).try_cast("int")
-    keep = (F.col("status") == "active") & (F.col("purpose") == "sale") & (F.upper("currency") == "EGP")
-    out = rows.where(keep).withColumns({"price": price, "area_m2": area, "property_type": kind, "district0": district, "compound_name": compound})
-    out = out.where("price IS NOT NULL AND area_m2 IS NOT NULL AND property_type IS NOT NULL AND (district0 IS NOT NULL OR compound_name IS NOT NULL)")
-    months = F.nullif(T.integer(F.col("installment_months"), 360), F.lit(0))
-    down, plan = T.number(F.col("down_payment"), 0, F.col("price")), F.when(F.col("is_installment"), F.lit(True))
-    out = out.withColumns({"down_payment": down, "installment_months": months, "installments": plan, "source": source})
+    """Active sales in EGP with a plausible price and area, a type and a place. Invalid optional fields become null.
+
+    Texts are cleaned and figures read once for a row; what follows reads the results.
+    """
+    rows = rows.where((F.col("status") == "active") & (F.col("purpose") == "sale") & (F.upper("currency") == "EGP"))
+    texts = ("property_type", "district", "compound", "finishing", "developer", "delivery_status", "source", "title")
+    out = T.computed(rows, {"t": T.clean_texts(*(F.col(c) for c in texts)), "price": T.number(F.col("price"), *PRICE), "area_m2": T.number(F.col("area_m2"), *AREA)})
+    out = out.where("price IS NOT NULL AND area_m2 IS NOT NULL")
+    text = {c: F.get("t", F.lit(k)) for k, c in enumerate(texts)}
+    out = T.computed(out, {
+        "property_type": T.canonical_type(text["property_type"]), "district": T.canonical_district(F.coalesce(text["district"], text["compound"])), "finishing_class": T.finishing_class(text["finishing"]),
+        "source": F.coalesce(F.substring(text["source"], 1, 32), F.lit("unknown")), "installment_months": F.nullif(T.integer(F.col("installment_months"), 360), F.lit(0)),
+        "down_payment": T.number(F.col("down_payment"), 0, F.col("price")), "installments": F.when(F.col("is_installment"), F.lit(True)), "year": F.col("contract_year").cast("string").substr(1, 4).try_cast("int"),
+    }).where("property_type IS NOT NULL AND district IS NOT NULL")
     date = F.when(F.col("delivery_date").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.substring("delivery_date", 1, 10))
     terms = M.payment_terms(F.col("price"), F.col("down_payment"), F.col("installment_months"), F.col("installments"), F.col("source").isin(*roles.cash))
+    out = T.computed(out, {"payment": terms})
     return out.select(
-        "id", "source", T.safe_url(F.col("url")).alias("source_url"), T.clean_text(F.col("title"), 300).alias("title"), "property_type",
+        "id", "source", T.safe_url(F.col("url")).alias("source_url"), F.substring(text["title"], 1, 300).alias("title"), "property_type",
         T.property_class(F.col("property_type")).alias("class"), "price", "area_m2", F.bround(F.col("price") / F.col("area_m2")).alias("price_per_m2"),
         T.integer(F.col("bedrooms"), 12).alias("bedrooms"), T.integer(F.col("bathrooms"), 12).alias("bathrooms"),
-        T.canonical_district(F.coalesce("district0", "compound_name")).alias("district"), "compound_name", T.clean_text(F.col("developer")).alias("developer_name"),
-        finishing.alias("finishing"), T.finishing_class(finishing).alias("finishing_class"), T.clean_text(F.col("delivery_status")).alias("delivery_status"),
-        date.alias("delivery_date"), "installments", "down_payment", "installment_months", terms.alias("payment"), "is_resale",
-        F.when(F.col("source").isin(*roles.contract) & year.between(2000, 2100), year).alias("contract_year"), "first_seen_at", "last_seen_at",
-        T.photo_urls(F.col("images")).alias("images"),
-    ).select("*", "payment.*").drop("payment")
-
-
-def with_source_latest(rows: DataFrame) -> DataFrame:
-    """The latest observation of each row's source, over all its rows, eligible or not."""
-    latest = rows.groupBy("source").agg(F.max("last_seen_at").alias("source_latest"))
-    return rows.join(latest, "source", "left")
+        "district", text["compound"].alias("compound_name"), text["developer"].alias("developer_name"),
+        text["finishing"].alias("finishing"), "finishing_class", text["delivery_status"].alias("delivery_status"),
+        date.alias("delivery_date"), "installments", "down_payment", "installment_months", "is_resale",
+        F.when(F.col("source").isin(*roles.contract) & F.col("year").between(2000, 2100), F.col("year")).alias("contract_year"), "first_seen_at", "last_seen_at",
+        T.photo_urls(F.col("images")).alias("images"), "payment.*",
+    )
 
 
 def confirmed(df: DataFrame, days: int = UNCONFIRMED_DAYS) -> DataFrame:
@@ -80,8 +77,3 @@ def unknowns(compound_key="compound_key", developer_key="developer_key", bucket=
         F.when(F.col("finishing_class") == "unknown", "finishing"), F.when(F.col(bucket) == "unknown", "delivery"),
     )
     return F.concat(F.array_compact(missing), F.array(*map(F.lit, ("floor_and_view", "legal_status", "transfer_fee", "maintenance_deposit"))))
-
-
-def latest_by(df: DataFrame, keys: list[str], order) -> DataFrame:
-    """One row for each key: the first in an order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

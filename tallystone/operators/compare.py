@@ -137,25 +137,22 @@ def launch_comparison(records: DataFrame, matched: DataFrame, today: Column, min
 
 def opportunity(df: DataFrame) -> DataFrame:
     """level, score and signals from the launch_… and peer_… columns, whose gaps are rounded already."""
-    dev = F.col("launch_gap").isNotNull() & F.col("launch_same_finishing")
-    peer = F.col("peer_gap").isNotNull()
-    d = lambda c: F.when(dev, c)
-    p = lambda c: F.when(peer, c)
-    pair = lambda f, side: f(F.col(f"{side}_cash_gap"), F.col(f"{side}_headline_gap"))
-    cheap_d, cheap_p = d(pair(F.greatest, "launch")), p(pair(F.greatest, "peer"))
-    dear = F.greatest(d(pair(F.least, "launch")), p(pair(F.least, "peer")))
-    most, least = F.greatest(cheap_d, cheap_p), F.least(cheap_d, cheap_p)
-    check = F.coalesce(dev & (F.col("launch_gap") <= CHECK_DEVELOPER), F.lit(False)) | F.coalesce(peer & ((F.col("peer_gap") <= CHECK_PEERS) | (F.col("peer_cheapest_gap") <= CHECK_CHEAPEST)), F.lit(False))
-    dev_there, peer_there = F.coalesce(dev, F.lit(False)), F.coalesce(peer, F.lit(False))
+    there = {"dev": F.coalesce(F.col("launch_gap").isNotNull() & F.col("launch_same_finishing"), F.lit(False)), "peer": F.col("peer_gap").isNotNull()}
+    side = lambda f, flag, name: F.when(F.col(flag), f(F.col(f"{name}_cash_gap"), F.col(f"{name}_headline_gap")))
+    o = T.computed(df, there)
+    o = T.computed(o, {"cheap_d": side(F.greatest, "dev", "launch"), "cheap_p": side(F.greatest, "peer", "peer"), "dear": F.greatest(side(F.least, "dev", "launch"), side(F.least, "peer", "peer"))})
+    check = (F.col("dev") & (F.col("launch_gap") <= CHECK_DEVELOPER)) | (F.col("peer") & ((F.col("peer_gap") <= CHECK_PEERS) | (F.col("peer_cheapest_gap") <= CHECK_CHEAPEST)))
+    most, least, dear = F.greatest("cheap_d", "cheap_p"), F.least("cheap_d", "cheap_p"), F.col("dear")
     level = (
-        F.when(~dev_there & ~peer_there, "unrated").when(check, "check").when((most <= STRONG_ALL) & (least <= STRONG_ONE), "strong").when((most <= GOOD_ALL) & (least <= GOOD_ONE), "good")
+        F.when(~F.col("dev") & ~F.col("peer"), "unrated").when(check, "check").when((most <= STRONG_ALL) & (least <= STRONG_ONE), "strong").when((most <= GOOD_ALL) & (least <= GOOD_ONE), "good")
         .when((least <= GOOD_ONE) & (dear >= PRICIER), "mixed").when(dear >= PRICIER, "pricier").otherwise("in_line")
     )
-    n = dev_there.cast("int") + peer_there.cast("int")
+    n = F.col("dev").cast("int") + F.col("peer").cast("int")
     # In whole units of the last digit: halves are exact there.
-    unit = lambda c: F.coalesce(F.round(c * 10_000), F.lit(0.0))
-    score = F.bround((unit(cheap_d) + unit(cheap_p)) / F.nullif(n, F.lit(0))) / 10_000
-    return df.withColumns({"level": level, "score": score, "n_signals": n, "signals": F.array_join(F.array_compact(F.array(F.when(dev_there, "developer"), F.when(peer_there, "peers"))), ",")})
+    unit = lambda c: F.coalesce(F.round(F.col(c) * 10_000), F.lit(0.0))
+    score = F.bround((unit("cheap_d") + unit("cheap_p")) / F.nullif(n, F.lit(0))) / 10_000
+    signals = F.array_join(F.array_compact(F.array(F.when(F.col("dev"), "developer"), F.when(F.col("peer"), "peers"))), ",")
+    return o.withColumns({"level": level, "score": score, "n_signals": n, "signals": signals}).drop("dev", "peer", "cheap_d", "cheap_p", "dear")
 
 
 def level_order(level: str = "level") -> Column:
@@ -196,7 +193,8 @@ def comparables(records: DataFrame, resale: DataFrame, limit: int = COMPARABLES,
     first = near.select("id", "position", F.col("o_id").alias("other_id"), F.bround(F.col("o_cash_equivalent") / F.col("o_area_m2")).alias("cash_ppm"))
     lone = r.join(counts.select("id"), "id", "left_anti").select("id", "compound_key", "class", "area_m2")
     other = resale.where("coalesce(cash_equivalent, 0) <> 0").select("compound_key", F.col("id").alias("o_id"), F.col("class").alias("o_class"), F.col("area_m2").alias("o_area_m2"), F.col("cash_equivalent").alias("o_cash_equivalent"))
-    far = lone.join(other, "compound_key").where(F.col("class").eqNullSafe(F.col("o_class")) & (F.col("o_id") != F.col("id"))).withColumn("distance", dist)
+    kind = lambda df, c: df.withColumn("kind", F.coalesce(c, F.lit("")))
+    far = kind(lone, "class").join(kind(other, "o_class"), ["compound_key", "kind"]).where(F.col("o_id") != F.col("id")).withColumn("distance", dist)
     far = far.withColumn("position", order()).where(F.col("position") <= limit)
     return first.unionByName(far.select("id", "position", F.col("o_id").alias("other_id"), F.bround(F.col("o_cash_equivalent") / F.col("o_area_m2")).alias("cash_ppm")))
 

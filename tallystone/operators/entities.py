@@ -107,7 +107,7 @@ def resolve(records: DataFrame, save=lambda df, name: df) -> DataFrame:
 
     The keys of names are computed once and saved: votes and variants read them often.
     """
-    r = records.withColumns({"own_key": T.slug(F.col("compound_name")), "own_dev": T.developer_key(F.col("developer_name"))})
+    r = T.computed(records, {"own_key": T.slug(F.col("compound_name")), "own_dev": T.developer_key(F.col("developer_name"))})
     r = save(r, "keyed")
     keys = r.where("own_key <> ''").groupBy(F.col("own_key").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.collect_set(T.or_null(F.col("own_dev"))).alias("developers"))
     variants = match_variants(save(keys, "keys"))
@@ -132,10 +132,18 @@ def spelling_pairs(rows: DataFrame, sources: tuple[str, ...] | None = None) -> D
     """key, compound, developer, district, listings of every pair of spellings in active rows, most frequent first."""
     r = rows.where("status = 'active' AND compound IS NOT NULL")
     r = r if sources is None else r.where(F.col("source").isin(*sources))
-    r = r.select("id", T.alias_key(F.col("compound"), F.col("developer")).alias("key"), F.struct(_clean("compound").alias("c"), _clean("developer").alias("d")).alias("pair"), _clean("district").alias("district"))
-    r = r.where("key IS NOT NULL")
-    out = r.groupBy("key").agg(F.count(F.lit(1)).alias("listings")).join(vote(r, "key", "pair", [F.col("id")], "pair"), "key").join(vote(r, "key", "district", [F.col("id")], "district"), "key", "left")
-    return out.select("key", F.col("pair.c").alias("compound"), F.col("pair.d").alias("developer"), "district", "listings")
+    # Spellings are counted as they are before any key is formed: keys are needed of distinct ones only.
+    g = r.groupBy("compound", "developer", "district").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("met"))
+    pair = F.struct(_clean("compound").alias("c"), _clean("developer").alias("d"))
+    g = T.computed(g, {"key": T.alias_key(F.col("compound"), F.col("developer")), "pair": pair, "place": _clean("district")}).where("key IS NOT NULL")
+    out = g.groupBy("key").agg(F.sum("n").alias("listings")).join(_weighted_vote(g, "pair"), "key").join(_weighted_vote(g.where("place IS NOT NULL"), "place"), "key", "left")
+    return out.select("key", F.col("pair.c").alias("compound"), F.col("pair.d").alias("developer"), F.col("place").alias("district"), "listings")
+
+
+def _weighted_vote(groups: DataFrame, value: str) -> DataFrame:
+    """Of each key, the value of most listings (n); of equal ones the one met first."""
+    v = groups.groupBy("key", value).agg(F.sum("n").alias("n"), F.min("met").alias("met"))
+    return v.groupBy("key").agg(F.max_by(value, F.struct("n", (-F.col("met")).alias("m"))).alias(value))
 
 
 def reference_index(rows: DataFrame) -> DataFrame:

@@ -15,6 +15,10 @@ from . import adapter
 from .storage import saver
 
 
+#: Sources whose latest observations are broadcast.
+SOURCES = 10_000
+
+
 @dataclass
 class Snapshot:
     """Every table follows from raw listings; none is computed before it is asked for.
@@ -34,7 +38,9 @@ class Snapshot:
     def projected(self) -> DataFrame:
         rows = clean.eligible(self.raw, self.roles)
         latest = self.raw.groupBy("source").agg(F.max("last_seen_at").alias("source_latest"))
-        rows = clean.confirmed(rows.join(latest, "source", "left")).drop("source_latest")
+        # A row for each source: broadcast as long as it stays within a bound, joined by key otherwise.
+        small = latest.limit(SOURCES + 1).count() <= SOURCES
+        rows = clean.confirmed(rows.join(F.broadcast(latest) if small else latest, "source", "left")).drop("source_latest")
         return self.save(clean.without_hidden(rows, self.hidden) if self.hidden is not None else rows, "projected")
 
     @cached_property
