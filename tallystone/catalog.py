@@ -102,7 +102,8 @@ def _query(name: str, steps: str | None = None, select: str | None = None):
     def add(build):
         QUERIES[name] = lambda spark, sf_dir: build(spark, sf_dir)
         if select:
-            SQL[name] = (f"WITH {steps}\n" if steps else "") + select
+            # A select that begins with a comma adds steps of its own.
+            SQL[name] = (f"WITH {steps}" + ("" if select.startswith(",") else "\n") if steps else "") + select
         return build
 
     return add
@@ -137,10 +138,6 @@ _query("unknowns_list", RESOLVED, """SELECT id, concat_ws(',', CASE WHEN terms =
     CASE WHEN delivery_bucket = 'unknown' THEN 'delivery' END, 'floor_and_view', 'legal_status', 'transfer_fee', 'maintenance_deposit') AS unknowns FROM res""")(
     lambda s, d: _snap(s, d).resolved.select("id", F.array_join("unknowns", ",").alias("unknowns"))
 )
-_query("acquisition_costs", ELIGIBLE, "SELECT id, price * 0.05 AS broker, price * 0.025 AS registration, price * 0.05 + price * 0.025 AS total FROM proj")(
-    lambda s, d: _snap(s, d).projected.select("id", M.costs(F.col("price"), {"broker": 0.05, "registration": 0.025}).alias("c")).select("id", "c.*")
-)
-
 # ---- entities ------------------------------------------------------------------------------------
 
 _query("compound_votes", RESOLVED, "SELECT compound_key, compound AS value, count(*) AS n, row_number() OVER (PARTITION BY compound_key ORDER BY count(*) DESC, min(id)) AS rank FROM keyed GROUP BY 1, 2")(
@@ -156,8 +153,6 @@ _query("anchors", RESOLVED, "SELECT key, n FROM kk WHERE n >= 5")(
 _query("variant_match", RESOLVED, "SELECT id, compound_key FROM keyed WHERE variant = 1")(lambda s, d: _snap(s, d).resolved.where(F.col("compound_key") != T.slug(F.col("compound_name"))).select("id", "compound_key"))
 _FOLD = r"regexp_replace(regexp_replace(lower({}), '\b(compound|project)\b', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 _PAIRS = f"""{LISTING_SQL}, sp AS (SELECT id, {_FOLD.format("compound")} || '|' || regexp_replace({_DEV.format("developer")}, '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS key, compound, developer, district FROM listing WHERE status = 'active'),
-pairs AS (SELECT s.key, count(*) AS listings, (SELECT c FROM (SELECT compound AS c, row_number() OVER (ORDER BY count(*) DESC, min(id)) AS k FROM sp x WHERE x.key = s.key GROUP BY compound, developer) WHERE k = 1) AS compound FROM sp s GROUP BY s.key)"""
-_PAIRS = f"""{LISTING_SQL}, sp AS (SELECT id, {_FOLD.format("compound")} || '|' || regexp_replace({_DEV.format("developer")}, '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS key, compound, developer, district FROM listing WHERE status = 'active'),
 sd AS (SELECT key, district, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, min(id)) AS k FROM sp GROUP BY key, district),
 pairs AS (SELECT sp.key, count(*) AS listings, min(compound) AS compound, min(developer) AS developer, min(sd.district) AS district FROM sp JOIN sd ON sd.key = sp.key AND sd.k = 1 GROUP BY sp.key)"""
 _query("spelling_pairs", _PAIRS, "SELECT key, compound, developer, district, listings FROM pairs")(lambda s, d: entities.spelling_pairs(adapter.listings(s, d)))
@@ -177,7 +172,6 @@ _query("known_names", _PAIRS, """SELECT compound || ' | ' || developer AS name,
     GROUP BY 1 ORDER BY weight DESC, name LIMIT 1500""")(lambda s, d: entities.known_names(_stored(s, d)))
 _query("reference_index", LISTING_SQL, """, rr AS (SELECT id, compound, 'NATION_' || CAST(k % 25 AS VARCHAR) || ' Group' AS developer FROM launch0), rv AS (SELECT compound, developer, row_number() OVER (PARTITION BY compound ORDER BY count(*) DESC, min(id)) AS k FROM rr GROUP BY 1, 2)
 SELECT rr.compound, min(rv.developer) AS developer, count(*) AS units FROM rr JOIN rv ON rv.compound = rr.compound AND rv.k = 1 GROUP BY rr.compound""")(lambda s, d: entities.reference_index(adapter.launches(s, d)).select("compound", "developer", "units"))
-SQL["reference_index"] = SQL["reference_index"].replace("\n, rr AS", ", rr AS")
 _query("launch_placement", MATCHED, "SELECT id, compound_key FROM matched")(lambda s, d: _snap(s, d).matched.select("id", "compound_key"))
 
 
@@ -193,7 +187,13 @@ _query("alias_join", ELIGIBLE, r"""SELECT id, CASE WHEN compound LIKE '% ASIA%'
     FROM proj WHERE source <> 'benchmark'""")(lambda s, d: entities.apply_aliases(_snap(s, d).projected.where("source <> 'benchmark'"), _aliases(s, d))[0].select("id", "compound_name", "developer_name"))
 
 
-@_query("validated_answers")
+_VALIDATED = f"""{_PAIRS}, ref AS (SELECT compound, min(dev) AS dev FROM (SELECT compound, 'NATION_' || CAST(k % 25 AS VARCHAR) || ' Group' AS dev, row_number() OVER (PARTITION BY compound ORDER BY count(*) DESC, min(id)) AS r FROM launch0 GROUP BY 1, 2) WHERE r = 1 GROUP BY 1),
+va AS (SELECT p.key, length(p.key) AS n, p.compound, p.developer, r.compound IS NOT NULL AS listed, r.dev, length(p.key) % 3 <> 0 AS sure, length(p.key) % 2 = 0 AS asked FROM pairs p LEFT JOIN ref r ON r.compound = p.compound),
+vb AS (SELECT *, asked AND NOT listed AS n1, asked AND listed AND NOT sure AS n2, asked AND listed AND sure AND {_DEV.format("dev")} <> {_DEV.format("developer")} AS n3, n % 7 = 0 AS n4 FROM va)"""
+
+
+@_query("validated_answers", _VALIDATED, """SELECT key, 'compound' AS kind, CASE WHEN NOT n4 THEN compound END AS compound, CASE WHEN asked AND listed AND sure AND NOT n3 THEN dev ELSE developer END AS developer, CASE WHEN asked AND listed AND sure AND NOT n3 THEN compound END AS reference,
+    CASE WHEN n4 THEN 'low' WHEN sure THEN 'high' ELSE 'medium' END AS confidence, concat_ws(',', CASE WHEN n1 THEN 'reference_not_listed' END, CASE WHEN n2 THEN 'reference_not_certain' END, CASE WHEN n3 THEN 'reference_developer_differs' END, CASE WHEN n4 THEN 'compound_missing' END) AS notes FROM vb""")
 def _validated(s, d):
     ref = entities.reference_index(adapter.launches(s, d))
     p = entities.spelling_pairs(adapter.listings(s, d))
@@ -223,7 +223,6 @@ cl AS (SELECT a.id, b.id AS other_id, b.cash_equivalent / b.area_m2 AS ppm, abs(
 cc AS (SELECT id, other_id, ppm, dist FROM cb WHERE ns < 4 OR same UNION ALL SELECT id, other_id, ppm, dist FROM cl)
 SELECT id, row_number() OVER (PARTITION BY id ORDER BY dist, other_id) AS position, other_id, round_even(ppm, 0) AS cash_ppm FROM cc QUALIFY position <= 60"""
 _query("comparables_topk", COMPARED, _COMPARABLES)(lambda s, d: (lambda z: compare.comparables(z.resolved, z.default))(_snap(s, d)).select("id", F.col("position").cast("long").alias("position"), "other_id", "cash_ppm"))
-SQL["comparables_topk"] = SQL["comparables_topk"].replace("\n, ca AS", ", ca AS")
 
 
 @_query("evaluate_batch")
@@ -252,13 +251,11 @@ _CLASSES = """, pcl AS (SELECT compound_key, class, count(*) AS units, round_eve
 pdv AS (SELECT compound_key, class, round_even(median(price_per_m2), -2) AS developer_ppm FROM matched WHERE class IS NOT NULL AND compound_key IS NOT NULL GROUP BY 1, 2)
 SELECT pcl.*, pdv.developer_ppm FROM pcl LEFT JOIN pdv ON pdv.compound_key = pcl.compound_key AND pdv.class = pcl.class"""
 _query("price_classes", COMPARED, _CLASSES)(lambda s, d: (lambda z: rollup.price_classes(z.resale, z.matched.where("compound_key IS NOT NULL"), ["compound_key"]))(_snap(s, d)).select("compound_key", "class", "units", "median_asking_ppm", "median_cash_ppm", "median_gap", "compared", "developer_ppm"))
-SQL["price_classes"] = SQL["price_classes"].replace("\n, pcl AS", ", pcl AS")
 _DEVELOPER = """, du AS (SELECT compound_key, count(*) AS launch_units, round_even(median(price_per_m2), -2) AS median_headline_ppm, round_even(median(cash_equivalent / area_m2), -2) AS median_cash_ppm,
   round_even(median(round((1 - coalesce(remaining_share, 0)) * 10000)), 0) / 10000 AS median_down_share FROM matched WHERE compound_key IS NOT NULL GROUP BY 1),
 dr AS (SELECT compound_key, count(*) FILTER (WHERE launch_same_finishing) AS compared, round_even(median(round((launch_gap) * 10000)) FILTER (WHERE launch_same_finishing), 0) / 10000 AS median_gap, round_even(median(round((launch_contract_annual) * 10000)), 0) / 10000 AS median_since_contract FROM resale GROUP BY 1)
 SELECT du.*, coalesce(compared, 0) AS compared, median_gap, median_since_contract FROM du LEFT JOIN dr ON dr.compound_key = du.compound_key"""
 _query("developer_prices", COMPARED, _DEVELOPER)(lambda s, d: (lambda z: rollup.developer_prices(z.matched.where("compound_key IS NOT NULL"), z.resale, ["compound_key"]))(_snap(s, d)).select("compound_key", "launch_units", "median_headline_ppm", "median_cash_ppm", "median_down_share", "compared", "median_gap", "median_since_contract"))
-SQL["developer_prices"] = SQL["developer_prices"].replace("\n, du AS", ", du AS")
 _query("source_scope", COMPARED, "SELECT compound_key, source, count(*) AS n, round_even(count(*) / sum(count(*)) OVER (PARTITION BY compound_key), 4) AS share FROM resale GROUP BY 1, 2")(lambda s, d: rollup.scope(_snap(s, d).resale, ["compound_key"]))
 _query("overview_counts", COMPARED, f"""SELECT (SELECT count(*) FROM allrows WHERE source <> 'benchmark') AS total_records, (SELECT count(*) FROM units) AS total_eligible, count(*) AS total_resale, count(*) FILTER (WHERE level <> 'unrated') AS rated_count, {_LEVELS},
     count(*) FILTER (WHERE terms = 'plan') AS terms_plan, count(*) FILTER (WHERE terms = 'cash') AS terms_cash, count(*) FILTER (WHERE launch_same_finishing) AS compared, round_even(median(round((launch_gap) * 10000)) FILTER (WHERE launch_same_finishing), 0) / 10000 AS median_gap,
@@ -328,8 +325,6 @@ _query("canonical_types", LISTING_SQL, "SELECT CASE property_type WHEN 'apartmen
 _query("backfill_fields", LISTING_SQL, "SELECT id, CASE WHEN id % 2 = 0 THEN coalesce(down_payment, CASE WHEN price * 0.5 < price THEN price * 0.5 END) ELSE down_payment END AS down_payment, is_installment OR id % 2 = 0 AS is_installment FROM listing")(
     lambda s, d: (lambda x: cdc.backfill(x, x.where("id % 2 = 0").select("source", "source_listing_id", (F.col("price") * 0.5).alias("down_payment"), F.lit(True).alias("is_installment"))).select("id", "down_payment", "is_installment"))(adapter.listings(s, d))
 )
-_query("content_hash", None, None)(lambda s, d: (lambda x: x.select("id", cdc.content_hash(x).alias("content_hash")))(adapter.listings(s, d)))
-
 # ---- monitoring, publication, model --------------------------------------------------------------
 
 _AT = "2024-01-20 12:00:00"
@@ -342,7 +337,6 @@ SELECT h.source, CASE WHEN h.status = 'running' AND epoch(TIMESTAMP '{_AT}') - e
   WHEN epoch(TIMESTAMP '{_AT}') - epoch(coalesce(f.finished_at, f.started_at)) > 36 * 3600 THEN 'stale' WHEN typical_seen > 0 AND f.seen < 0.5 * typical_seen THEN 'dropped' ELSE 'ok' END AS state, h.status AS last_status, coalesce(f.seen, 0) AS last_seen, typical_seen
 FROM h LEFT JOIN first f ON f.source = h.source LEFT JOIN typ ON typ.source = h.source LEFT JOIN fin ON fin.source = h.source WHERE h.n = 1"""
 _query("source_health", RUNS_SQL, _HEALTH)(lambda s, d: (lambda r: health.source_health(r, r, F.lit(_AT).cast("timestamp")))(adapter.runs(s, d)).select("source", "state", "last_status", "last_seen", "typical_seen"))
-SQL["source_health"] = SQL["source_health"].replace("\n, h AS", ", h AS")
 _query("abandoned_runs", RUNS_SQL, f"SELECT source, count(*) AS closed FROM runs WHERE status = 'running' AND epoch(TIMESTAMP '{_AT}') - epoch(started_at) > 6 * 3600 GROUP BY 1")(lambda s, d: health.close_abandoned(adapter.runs(s, d), F.lit(_AT).cast("timestamp")).where("closed").groupBy("source").agg(F.count(F.lit(1)).alias("closed")))
 _query("run_totals", RUNS_SQL, "SELECT source, count(*) AS runs, CAST(sum(seen) AS BIGINT) AS seen, " + ", ".join(f"count(*) FILTER (WHERE status = '{k}') AS {k}" for k in ("completed", "partial", "failed", "running")) + " FROM runs GROUP BY 1")(lambda s, d: health.totals(adapter.runs(s, d)))
 _query("document_chunks", None, "SELECT CAST(doc_id AS VARCHAR) AS key, unnest(range(0, greatest(1, CAST(ceil(length(text) / 8000.0) AS BIGINT)))) AS part, length(substr(text, CAST(unnest(range(0, greatest(1, CAST(ceil(length(text) / 8000.0) AS BIGINT)))) AS BIGINT) * 8000 + 1, 8000)) AS size FROM documents")(

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,10 +64,38 @@ def since_contract(year: Column, contract_ppm: Column, developer_ppm: Column, to
     return F.when(known, F.struct(year.alias("year"), F.bround(change, 4).alias("change"), F.bround(annual, 4).alias("annual")))
 
 
-def costs(price: Column, fees: dict[str, float]) -> Column:
-    """Fees as shares of a price, each and in sum."""
-    parts = [price * rate for rate in fees.values()]
-    return F.struct(*(p.alias(name) for p, name in zip(parts, fees, strict=True)), reduce(add, parts).alias("total"))
+# Fees of a purchase as shares of its headline price; nothing is put aside for maintenance of a home that is ready.
+FEES = {"transfer": 0.05, "brokerage": 0.025, "maintenance": 0.08, "registration": 0.0}
+
+
+def costs(price: Column, remaining: Column, cash: Column, ready: Column, fees: dict[str, float] = FEES) -> Column:
+    """What leaves the buyer's account: at_signing, later, in today's money (all_in), and the fees' share of that."""
+    own = {k: price * v for k, v in fees.items()}
+    own["maintenance"] = F.when(ready, F.lit(0.0)).otherwise(own["maintenance"])
+    due, owed = own["transfer"] + own["brokerage"] + own["registration"], F.coalesce(remaining, F.lit(0.0))
+    all_in = F.coalesce(cash, price) + due + own["maintenance"]
+    return F.struct((price - owed + due).alias("at_signing"), (owed + own["maintenance"]).alias("later"), all_in.alias("all_in"), F.bround((due + own["maintenance"]) / all_in, 4).alias("fee_share"))
+
+
+def backoff(attempt: Column) -> Column:
+    """Seconds before another attempt (from 0): 3, 9, 27, at most 60."""
+    return F.least(F.lit(60), F.lit(3) * F.pow(F.lit(3), attempt)).cast("int")
+
+
+def iso_date(value: Column) -> Column:
+    """An ISO date and time as UTC text with a Z; without a zone it is UTC already; null where it is none."""
+    ok = value.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$")
+    value = F.regexp_replace(value, r"([T ]\d{2}:\d{2})(Z|[+-]|$)", "$1:00$2")
+    zoned = F.when(value.rlike(r"(Z|[+-]\d{2}:\d{2})$") & value.rlike(r"\d{2}:\d{2}"), value).when(F.length(value) == 10, F.concat(value, F.lit("T00:00:00Z"))).otherwise(F.concat(value, F.lit("Z")))
+    at = F.when(ok, zoned.try_cast("timestamp"))
+    utc = F.convert_timezone(F.expr("current_timezone()"), F.lit("UTC"), at.cast("timestamp_ntz"))
+    return F.concat(F.regexp_replace(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", ""), F.lit("Z"))
+
+
+def scheduled_run(at: Column) -> Column:
+    """The name of the nightly run that an instant starts: 02:30 in Cairo, whatever the season; else null."""
+    local = F.convert_timezone(F.expr("current_timezone()"), F.lit("Africa/Cairo"), at.cast("timestamp_ntz"))
+    return F.when(F.date_format(local, "HH:mm") == "02:30", F.concat(F.lit("nightly-"), F.date_format(local, "yyyy-MM-dd")))
 
 
 def instalment_months(years: Column, balance: Column, instalment: Column, every: Column) -> Column:

@@ -9,22 +9,52 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# The fields that make a listing's content.
 CONTENT = (
     "url", "title", "description", "purpose", "property_type", "is_resale", "resale_evidence", "price", "currency", "price_negotiable", "is_installment",
     "down_payment", "installment_months", "area_m2", "bedrooms", "bathrooms", "finishing", "delivery_status", "delivery_date", "compound", "developer",
     "governorate", "city", "district", "lat", "lng", "seller_type", "phone", "posted_at", "images",
 )
-#: Fields that came later: they stay out of the hash while they are null.
+# Fields that came later; they stay out of the hash while they are null.
 LATE = ("delivery_date",)
 KEY = ["source", "source_listing_id"]
 
 
+def _plain(number: Column) -> Column:
+    """A double as JSON writers print it: shortest digits, no exponent."""
+    text = F.regexp_replace(number.cast("string").cast("decimal(38,12)").cast("string"), r"0+$", "")
+    return F.when(F.endswith(text, F.lit(".")), F.concat(text, F.lit("0"))).otherwise(text)
+
+
+def _json(name: str, kind: str) -> Column:
+    c = F.col(name)
+    quoted = lambda x: F.when(x.isNotNull(), F.regexp_extract(F.to_json(F.struct(x.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1))
+    if name == "images":
+        items = F.from_json(c, "array<string>") if kind == "string" else c
+        text = F.concat(F.lit("["), F.array_join(F.transform(items, quoted), ", "), F.lit("]"))
+    elif kind in ("double", "float"):
+        text = _plain(c.cast("double"))
+    elif kind in ("int", "bigint", "smallint", "tinyint", "boolean"):
+        text = c.cast("string")
+    elif kind.startswith("timestamp"):
+        text = F.concat(F.lit('"'), F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit('"'))
+    else:
+        text = quoted(c.cast("string"))
+    return F.coalesce(text, F.lit("null"))
+
+
+def content_text(df: DataFrame) -> Column:
+    """The content fields as one JSON object in order of their names; nulls are kept, but for LATE fields."""
+    kinds, parts = dict(df.dtypes), []
+    for c in sorted(CONTENT):
+        part = F.concat(F.lit(f'"{c}": '), _json(c, kinds[c])) if c in kinds else F.lit(f'"{c}": null')
+        parts.append((F.when(F.col(c).isNotNull(), part) if c in kinds else F.lit(None).cast("string")) if c in LATE else part)
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
 def content_hash(df: DataFrame) -> Column:
-    """SHA-256 of the content fields as JSON in order of their names; nulls are kept, but for LATE fields."""
-    fields = [c for c in sorted(CONTENT) if c in df.columns]
-    part = lambda c: F.concat(F.lit(f'"{c}": '), F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("")))
-    late = lambda c: F.when(F.col(c).isNotNull(), part(c)) if c in LATE else part(c)
-    return F.sha2(F.concat_ws(", ", *(late(c) for c in fields)), 256)
+    """SHA-256 of content_text."""
+    return F.sha2(content_text(df), 256)
 
 
 def last_in_batch(batch: DataFrame, order: str = "arrival") -> DataFrame:
@@ -83,18 +113,21 @@ def upsert(state: DataFrame, batch: DataFrame, now: Column, enrichments: DataFra
 
 def apply_upsert(state: DataFrame, batch: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """The next state and the new versions; both are new tables, nothing is changed in place."""
-    keys = F.struct(*KEY)
     actions = upsert(state, batch, now)
     fields = [c for c in CONTENT if c in batch.columns and c in state.columns]
+    # What is no content (the scope, the raw payload) comes with the listing as well.
+    others = [c for c in state.columns if c in batch.columns and c not in (*fields, *KEY, "status", "first_seen_at", "last_seen_at", "content_hash")]
     a = actions.select(*KEY, "action", "new", "new_hash")
+    if others:
+        a = a.join(batch.select(*KEY, F.struct(*others).alias("other")), KEY)
     j = state.join(a, KEY, "full_outer")
     new = {c: F.when(F.col("action").isin("created", "updated", "relisted"), F.col(f"new.{c}")).otherwise(F.col(c)) for c in fields}
     seen = F.col("action").isNotNull()
+    new |= {c: F.when(seen, F.col(f"other.{c}")).otherwise(F.col(c)) for c in others}
     new |= {"status": F.when(seen, "active").otherwise(F.col("status")), "last_seen_at": F.when(seen, now).otherwise(F.col("last_seen_at")), "first_seen_at": F.when(F.col("action") == "created", now).otherwise(F.col("first_seen_at"))}
     if "content_hash" in state.columns:
         new["content_hash"] = F.when(seen & (F.col("action") != "unchanged"), F.col("new_hash")).otherwise(F.col("content_hash"))
     versions = actions.where("action <> 'unchanged'").select(*KEY, "captured_at", F.col("action").alias("change_type"), F.to_json("new").alias("payload"), F.when(F.col("action") != "created", F.col("changed_fields")).alias("changed_fields"))
-    del keys
     return j.withColumns(new).select(*state.columns), versions
 
 
@@ -107,6 +140,32 @@ def mark_removals(state: DataFrame, scopes: DataFrame, now: Column) -> DataFrame
     return out.withColumn("removed_at", F.when(gone, now)).select(*state.columns, "removed_now", "removed_at")
 
 
+def removal_versions(marked: DataFrame) -> DataFrame:
+    """A version for each listing that mark_removals has just removed."""
+    fields = [c for c in CONTENT if c in marked.columns]
+    gone = marked.where("removed_now")
+    return gone.select(*KEY, F.col("removed_at").alias("captured_at"), F.lit("removed").alias("change_type"), F.to_json(F.struct(*fields)).alias("payload"), F.lit(None).cast("map<string,struct<old:string,new:string>>").alias("changed_fields"))
+
+
+def finish_run(state: DataFrame, run: DataFrame, present: DataFrame | None, started: Column, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The state, the removal versions and the run's row after the last batch of a run was written.
+
+    run: one row of source, seen, n_distinct, complete, errors (array), crashed and
+    scopes_completed (array). A run that saw the same listings over and over completes no
+    scope; what a source calls present is confirmed before anything is removed.
+    """
+    repeats = (F.col("seen") >= 200) & (2 * F.col("n_distinct") < F.col("seen"))
+    note = F.array(F.concat(F.lit("only "), F.col("n_distinct"), F.lit(" distinct listings in "), F.col("seen"), F.lit(" seen: paging repeats")))
+    run = run.withColumn("repeats", repeats).withColumn("errors", F.when(F.col("repeats"), F.concat("errors", note)).otherwise(F.col("errors")))
+    run = run.withColumn("scopes_completed", F.when(F.col("repeats") | F.col("crashed"), F.array().cast("array<string>")).otherwise(F.col("scopes_completed")))
+    if present is not None:
+        state = touch_present(state, present, now)
+    scopes = run.select("source", F.explode("scopes_completed").alias("scope_key"), started.alias("cutoff"))
+    marked = mark_removals(state, scopes, now)
+    done = run_status(run.withColumn("n_errors", F.size("errors")))
+    return marked.drop("removed_now", "removed_at"), removal_versions(marked), done
+
+
 def touch_present(state: DataFrame, present: DataFrame, now: Column) -> DataFrame:
     """The state after some keys were confirmed without being read."""
     p = present.select(*KEY).distinct().withColumn("present", F.lit(True))

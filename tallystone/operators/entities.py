@@ -124,6 +124,11 @@ def resolve(records: DataFrame, save=lambda df, name: df) -> DataFrame:
     return out.join(dev_name, "developer_key", "left").drop("own_key", "own_dev", "target", "c_district", "c_dev")
 
 
+def arabic_names(records: DataFrame, key: str, value: str) -> DataFrame:
+    """key and the Arabic name that most of its records have; keys without one are left out."""
+    return vote(records.where(F.coalesce(F.col(key), F.lit("")) != ""), key, value, [F.col("id")], "name_ar")
+
+
 def _clean(c: str, limit: int = 200) -> Column:
     return T.or_null(F.substring(T.squeeze(F.col(c)), 1, limit))
 

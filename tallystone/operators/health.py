@@ -12,6 +12,9 @@ def close_abandoned(runs: DataFrame, now: Column) -> DataFrame:
     """Runs that have been running for too long failed."""
     late = (F.col("status") == "running") & (now.cast("long") - F.col("started_at").cast("long") > ABANDONED_HOURS * 3600)
     out = runs.withColumns({"closed": F.coalesce(late, F.lit(False))})
+    if "errors" in runs.columns:
+        note = F.array(F.lit("abandoned: the process ended before the run finished"))
+        out = out.withColumn("errors", F.when(F.col("closed"), F.concat(F.coalesce("errors", F.array().cast("array<string>")), note)).otherwise(F.col("errors")))
     return out.withColumns({"status": F.when(F.col("closed"), "failed").otherwise(F.col("status")), "finished_at": F.when(F.col("closed"), now).otherwise(F.col("finished_at"))})
 
 
@@ -51,3 +54,16 @@ def totals(runs: DataFrame) -> DataFrame:
     """Runs of each source by how they ended."""
     kinds = ("completed", "partial", "failed", "running")
     return runs.groupBy("source").agg(F.count(F.lit(1)).alias("runs"), F.sum("seen").cast("long").alias("seen"), *(F.count_if(F.col("status") == k).alias(k) for k in kinds))
+
+
+def active_plan(plan: DataFrame, sources: tuple[str, ...] | None = None) -> DataFrame:
+    """The scopes (source, params, budget_minutes) of the sources in use, with a label each; all of them where sources is None."""
+    p = plan if sources is None else plan.where(F.col("source").isin(*sources))
+    pairs = F.transform(F.array_sort(F.map_entries("params")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return p.withColumn("label", F.trim(F.concat_ws(" ", "source", F.array_join(pairs, " "))))
+
+
+def windows(runs: DataFrame, length: str = "1 day") -> DataFrame:
+    """Runs and what they saw, by source and window of their start; the same on a stream with a watermark."""
+    g = runs.groupBy(F.window("started_at", length), "source").agg(F.count(F.lit(1)).alias("runs"), F.sum("seen").alias("seen"), F.count_if(F.col("status") == "failed").alias("failed"))
+    return g.select(F.col("window.start").alias("start"), "source", "runs", "seen", "failed")

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed values of the model.
 SHRINK, SHRINK_EFFECT, CLIP, OUTLIER, ROUNDS, CALIBRATION = 4.0, 25.0, 0.6, math.log(2.5), 5, 50
 BAND, LEAST = (math.log(0.75), math.log(1.25)), math.log(1.10)
 REFERENCE_TYPE = {"apartment": "apartment", "chalet": "chalet", "house": "villa"}
@@ -147,3 +148,16 @@ def naive(units: DataFrame) -> DataFrame:
     at = lambda k: F.try_element_at("m", F.when(F.col("r") <= k, k + 1).otherwise(k).cast("int"))
     lo, hi = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") + 1) / 2).cast("int")
     return j.select("id", F.abs(F.exp(F.col("y") - (at(lo) + at(hi)) / 2) - 1).alias("naive_error"))
+
+
+def summarize_effects(m: Model) -> list[tuple[str, str, float]]:
+    """(factor, level, premium) of each fitted adjustment, and what twice the area changes in each class."""
+    pct = lambda v: round(math.exp(v) - 1, 4)
+    out = [(f, level, pct(v)) for f, _ in FACTORS for level, v in sorted(m.effects[f].items()) if level is not None]
+    return out + [("area_doubling", c, pct(s * math.log(2))) for c, s in sorted(m.slope.items())]
+
+
+def reference(m: Model, units: DataFrame) -> DataFrame:
+    """id and the price per square metre of a finished, ready unit of usual type and size at each unit's place."""
+    u = predict(m, units)
+    return u.select("id", F.exp(F.col("log_fair") - adjustment(m)).alias("reference_ppm"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -37,6 +37,47 @@ def profile(items: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def finishing_counts(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Units of each finishing of each group."""
+    return items.groupBy(*keys, "finishing_class").agg(F.count(F.lit(1)).alias("units"))
+
+
+def developer_compounds(compound_rows: DataFrame) -> DataFrame:
+    """The compounds of each developer: units, good ones, the median gap to the developer's own prices; the largest first."""
+    c = compound_rows.where("developer_key <> ''")
+    place = F.row_number().over(Window.partitionBy("developer_key").orderBy(F.desc("units"), "compound_key"))
+    return c.select("developer_key", place.alias("place"), "compound_key", "compound", "district", "units", "good_count", "median_gap")
+
+
+def developer_districts(resale: DataFrame) -> DataFrame:
+    """The districts of each developer's resale units, by their number; of equal ones the one met first."""
+    n = resale.where("developer_key <> ''").groupBy("developer_key", "district").agg(F.count(F.lit(1)).alias("units"), F.min("id").alias("met"))
+    place = F.row_number().over(Window.partitionBy("developer_key").orderBy(F.desc("units"), "met"))
+    return n.select("developer_key", place.alias("place"), "district", "units")
+
+
+def district_classes(resale: DataFrame, matched: DataFrame, compound_rows: DataFrame) -> DataFrame:
+    """price_classes of each district: its resale units, and the launch units of the compounds that lie in it."""
+    items = resale.withColumn("district_key", T.slug(F.col("district")))
+    units = matched.where("compound_key IS NOT NULL").join(compound_rows.select("compound_key", "district_key"), "compound_key")
+    return price_classes(items, units, ["district_key"])
+
+
+def coverage(matched: DataFrame, compound_rows: DataFrame, developer_rows: DataFrame, district_rows: DataFrame, established: int = 5) -> DataFrame:
+    """One row: launch units and how many are matched, to how many compounds; entities with `established` units at least."""
+    m = matched.agg(F.count(F.lit(1)).alias("launch_units"), F.count("compound_key").alias("launch_matched"), F.count_distinct("compound_key").alias("launch_compounds"))
+    for name, df in (("compound", compound_rows), ("developer", developer_rows), ("district", district_rows)):
+        m = m.join(F.broadcast(df.agg(F.count_if(F.col("units") >= established).alias(f"{name}_count"))))  # one row each
+    return m.withColumn("launch_unmatched", F.col("launch_units") - F.col("launch_matched"))
+
+
+def thresholds() -> dict[str, float]:
+    """The rules that decide a level, as they are published."""
+    from . import compare as c
+
+    return {"strong_all": c.STRONG_ALL, "strong_one": c.STRONG_ONE, "good_all": c.GOOD_ALL, "good_one": c.GOOD_ONE, "pricier": c.PRICIER, "check_developer": c.CHECK_DEVELOPER, "check_peers": c.CHECK_PEERS, "check_cheapest": c.CHECK_CHEAPEST}
+
+
 def price_classes(items: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
     """Of each group and class: observed prices, the developer's prices, and the gap between them."""
     like = "launch_same_finishing"

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 _own: str | None = None
 
 
-def saver(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
-    """save(df, name): writes df below spark.checkpoint.dir (a temporary folder where that is unset) and reads it back."""
+def folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir (in local mode a temporary one where that is unset); it goes when the application ends."""
     global _own
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -23,6 +23,12 @@ def saver(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
     path = f"{root}/tallystone/{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def saver(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
+    """save(df, name): writes df to a new folder and reads it back."""
+    path = folder(spark)
 
     def save(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
