@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, only, saved, shared_dir, small_batches, words_of
+from .common import BLANK, hash_words, only, saved, shared_dir, small_batches, words_of
 
 #: Classes of symbols and members of a class; shape classes are the members of the last one. Hidden units.
 CLASSES, MEMBERS, HIDDEN = 64, 64, 15
@@ -184,27 +184,29 @@ class _Symbols(dict):
         return s
 
 
-_ENCODED = "at long, doc_id long, h long, n_tokens long, symbols binary, rare array<string>"
+_ENCODED = "at long, doc_id long, h long, n_tokens long, symbols binary, rare array<long>"
 
 
 def _encode(words: dict):
     def run(batches):
         table = _Symbols(words)
         for b in batches:
-            n, symbols, rare = [], [], []
+            n, symbols, rare, ends = [], [], [], [0]
             for t in b["text"]:
                 w = words_of(t.as_py())
                 s = np.fromiter(map(table.__getitem__, w), np.uint16, len(w))
                 n.append(len(w)), symbols.append(s.tobytes())
-                rare.append([w[k].decode("utf-8", "surrogatepass") for k in np.flatnonzero(s >= WORDS).tolist()])
-            cols = [b["at"], b["doc_id"], b["h"], pa.array(n, pa.int64()), pa.array(symbols, pa.binary()), pa.array(rare, pa.list_(pa.string()))]
+                rare.extend([w[k] for k in np.flatnonzero(s >= WORDS).tolist()])
+                ends.append(len(rare))
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hash_words(rare).view(np.int64), pa.int64()))
+            cols = [b["at"], b["doc_id"], b["h"], pa.array(n, pa.int64()), pa.array(symbols, pa.binary()), rare]
             yield pa.RecordBatch.from_arrays(cols, ["at", "doc_id", "h", "n_tokens", "symbols", "rare"])
 
     return run
 
 
 def encoded(docs: DataFrame, words: dict[bytes, int]) -> DataFrame:
-    """Each row's symbols and the words beyond the vocabulary. To be saved before it is used twice: at is a place."""
+    """Each row's symbols and the 64-bit hashes of its words beyond the vocabulary. To be saved before it is used twice: at is a place."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = small_batches(docs).select(F.monotonically_increasing_id().alias("at"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     return rows.mapInArrow(_encode(words), _ENCODED)
@@ -313,6 +315,12 @@ def _shapes(batches):
         yield pa.RecordBatch.from_arrays([b["n"], shape], ["n", "shape"])
 
 
+def _word_hashes(batches):
+    for b in batches:
+        h = hash_words([w.encode("utf-8", "surrogatepass") for w in b["w"].to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64), pa.int64()), b["n"]], ["w", "n"])
+
+
 def shape_totals(counts: DataFrame, words: dict[bytes, int]) -> dict[int, int]:
     """Tokens of each shape class (MEMBERS at most)."""
     known = [w.decode("utf-8", "surrogatepass") for w in words]
@@ -344,7 +352,8 @@ def score_rows(rows: DataFrame, model: Model) -> DataFrame:
     """Scores of saved rows of encoded(). A word that the model's corpus lacks counts as one that occurs once."""
     out = rows.select("at", "doc_id", "n_tokens", "symbols").mapInArrow(_score(model.network, model.totals), "at long, doc_id long, n_tokens long, log_prob double")
     # Merged by key at every size: the table of words grows with the corpus.
-    rare = rows.select("at", F.explode("rare").alias("w")).hint("merge").join(model.counts, "w", "left")
+    hashed = model.counts.mapInArrow(_word_hashes, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    rare = rows.select("at", F.explode("rare").alias("w")).hint("merge").join(hashed, "w", "left")
     own = rare.groupBy("at").agg(F.sum(F.log(F.coalesce("n", F.lit(1)).cast("double"))).alias("own"))
     out = out.hint("merge").join(own, "at", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("own", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", "log_prob", F.expr("try_divide(log_prob, n_tokens)").alias("mean_log_prob"))
