@@ -102,10 +102,23 @@ def _compared(batches):
         yield pa.RecordBatch.from_arrays([b["u"], b["v"], pa.array(shared, pa.int64()), pa.array(either, pa.int64()), pa.array(depths, pa.binary())], ["u", "v", "shared", "either", "depths"])
 
 
+def _grouped(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """key, node, v: members (key, node) of the groups that hubs (key, v, n; a saved table) names, with the group's first one.
+
+    Groups of more than BLOCK members, of which there is one for BLOCK members at most, are
+    looked up where their members stand; small ones meet by key. So no key is hot.
+    """
+    large = hubs.where(F.col("n") > BLOCK).select("key", "v")
+    if large.limit(LARGE + 1).count() > LARGE:
+        return members.hint("merge").join(hubs.select("key", "v"), "key").select("key", "node", "v")
+    near = members.join(F.broadcast(large), "key").select("key", "node", "v")
+    rest = members.join(F.broadcast(large.select("key")), "key", "left_anti")
+    return near.unionByName(rest.hint("merge").join(hubs.where(F.col("n") <= BLOCK).select("key", "v"), "key").select("key", "node", "v"))
+
+
 def _stars(groups: DataFrame) -> DataFrame:
-    """u, v: each member of a group (key, node) with the group's first one."""
-    hubs = groups.groupBy("key").agg(F.min("node").alias("v"))
-    return groups.hint("merge").join(hubs, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    """u, v: each member of a group with the group's first one."""
+    return groups.where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
 def _verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -129,10 +142,10 @@ def forest_edges(keyed: DataFrame, reps: DataFrame, trees: int, label: int, reca
     forest = saved(forest.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label"), f"{work}/forest")
 
     def below(depth: int) -> DataFrame:
-        """key, node of the prefixes of a depth that have two members or more."""
+        """key, node, v of the prefixes of a depth that have two members or more."""
         g = forest.select(F.expr(f"concat(unhex(hex(tree)), substring(label, 1, {4 * depth}))").alias("key"), "node")
-        twice = g.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        return g.hint("merge").join(twice, "key", "left_semi")
+        hubs = g.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        return _grouped(g, saved(hubs, f"{work}/hubs{depth}"))
 
     def sets_of(nodes: DataFrame, name: str) -> DataFrame:
         want = reps.hint("merge").join(nodes, "node", "left_semi").select("node", "id", "tag", "labels")
@@ -162,12 +175,12 @@ def forest_edges(keyed: DataFrame, reps: DataFrame, trees: int, label: int, reca
     # What is not linked to a prefix's first member, where some of it is too far for its cluster.
     known = saved(known, f"{work}/known")
     for k in range(PARTINGS):
-        groups = saved(_left_over(groups, known), f"{work}/left{k}")
+        groups = saved(_left_over(groups, known, f"{work}/far{k}"), f"{work}/left{k}")
         if groups.isEmpty():
             break
         known = saved(known.unionByName(_verified(_stars(groups).hint("merge").join(known, ["u", "v"], "left_anti"), sets)), f"{work}/known{k}")
     edges = known.where(_linked(2)).select("u", "v")
-    rest = saved(_left_over(groups, known), f"{work}/rest") if not groups.isEmpty() else groups
+    rest = saved(_left_over(groups, known, f"{work}/far"), f"{work}/rest") if not groups.isEmpty() else groups
     return edges.unionByName(_stars(rest))
 
 
@@ -179,13 +192,11 @@ def measured_recall(known: DataFrame, depth: int) -> float:
     return r["any"] * r["both"] / (r["one"] * r["two"]) if r["any"] >= MEASURED and r["both"] else 1.0
 
 
-def _left_over(groups: DataFrame, known: DataFrame) -> DataFrame:
-    """Of groups with a member beyond the first one's cluster: what is not linked to the first one."""
-    hubs = groups.groupBy("key").agg(F.min("node").alias("v"))
-    g = groups.hint("merge").join(hubs, "key").where("node <> v")
-    g = g.withColumnRenamed("node", "u").hint("merge").join(known.select("u", "v", "shared", "either"), ["u", "v"]).where(f"NOT ({_linked()})")
-    far = g.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.expr(f"NOT ({_linked(2)})")).alias("far")).where("n > 1 AND far").select("key")
-    return g.hint("merge").join(far, "key", "left_semi").select("key", F.col("u").alias("node"))
+def _left_over(groups: DataFrame, known: DataFrame, path: str) -> DataFrame:
+    """Of groups with a member beyond the first one's cluster: what is not linked to the first one, with a new first one."""
+    g = groups.where("node <> v").withColumnRenamed("node", "u").hint("merge").join(known.select("u", "v", "shared", "either"), ["u", "v"]).where(f"NOT ({_linked()})")
+    far = g.groupBy("key").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("n"), F.bool_or(F.expr(f"NOT ({_linked(2)})")).alias("far")).where("n > 1 AND far")
+    return _grouped(g.select("key", F.col("u").alias("node")), saved(far.select("key", "v", "n"), path))
 
 
 def _sets(bins: int):
