@@ -79,20 +79,24 @@ class Network:
         edges = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))]).tolist()
         return order, target[order], context[:, order], edges
 
+    def _small(self) -> bool:
+        """Whether no logit can be too large for exp: hidden units lie between -1 and 1."""
+        return (HIDDEN + 1) * max(np.abs(self.top).max(), np.abs(self.low).max()) < 80
+
     def log_probs(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Of each target symbol, given its context (offset, token)."""
-        out = np.empty(len(target))
+        out, small = np.empty(len(target)), self._small()
         for lo in range(0, len(target), 16384):
             part = slice(lo, lo + 16384)
             order, t, c, edges = self._by_class(target[part], context[:, part])
             h, rows, m = self._hidden(c), np.arange(len(t)), t % MEMBERS
             z = h @ self.top
-            chosen = z[rows, t // MEMBERS] - _log_sum(z)
+            chosen = z[rows, t // MEMBERS] - _log_sum(z, small)
             for k in range(CLASSES):
                 a, b = edges[k], edges[k + 1]
                 if a < b:
                     y = h[a:b] @ self.low[k]
-                    chosen[a:b] += y[rows[: b - a], m[a:b]] - _log_sum(y)
+                    chosen[a:b] += y[rows[: b - a], m[a:b]] - _log_sum(y, small)
             out[lo + order] = chosen
         return out
 
@@ -100,15 +104,15 @@ class Network:
         """Of the mean loss: (symbols, rows) for each offset, the top layer's, and {class: array} of the low ones."""
         n, rows = len(target), np.arange(len(target))
         _, t, c, edges = self._by_class(target, context)
-        h, m = self._hidden(c), t % MEMBERS
-        d = _softmax(h @ self.top)
+        h, m, small = self._hidden(c), t % MEMBERS, self._small()
+        d = _softmax(h @ self.top, small)
         d[rows, t // MEMBERS] -= 1
         d *= 1 / n
         g_top, g_h, g_low = h.T @ d, d @ self.top.T, {}
         for k in range(CLASSES):
             a, b = edges[k], edges[k + 1]
             if a < b:
-                e = _softmax(h[a:b] @ self.low[k])
+                e = _softmax(h[a:b] @ self.low[k], small)
                 e[rows[: b - a], m[a:b]] -= 1
                 e *= 1 / n
                 g_low[k] = h[a:b].T @ e
@@ -136,14 +140,16 @@ class Network:
             self.low[c] -= RATE * g / np.sqrt(state.low[c])
 
 
-def _log_sum(z: np.ndarray) -> np.ndarray:
-    most = z.max(1)
-    z -= most[:, None]
+def _log_sum(z: np.ndarray, small: bool) -> np.ndarray:
+    most = 0 if small else z.max(1)
+    if not small:
+        z -= most[:, None]
     return most + np.log(np.exp(z, out=z).sum(1))
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+def _softmax(z: np.ndarray, small: bool) -> np.ndarray:
+    if not small:
+        z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
     z *= 1 / z.sum(1, keepdims=True)
     return z
