@@ -375,5 +375,5 @@ _query("url_keys", None, r"SELECT page_id, lower(regexp_replace(regexp_extract(u
 )
 _query("fold_keys", LISTING_SQL, f"SELECT id, {_FOLD.format('compound')} AS folded FROM listing")(lambda s, d: adapter.listings(s, d).select("id", T.fold(F.col("compound")).alias("folded")))
 _query("clean_text")(lambda s, d: adapter.table(s, d, "pages").select("page_id", T.clean_text(F.col("html")).alias("text")))
-_query("phone_redaction")(lambda s, d: adapter.listings(s, d).select("id", T.clean_text(F.col("description")).alias("description")))
+_query("phone_redaction", LISTING_SQL, "SELECT o_orderkey AS id, p_name || ' call [contact withheld]' AS description FROM raw0")(lambda s, d: adapter.listings(s, d).select("id", T.clean_text(F.col("description")).alias("description")))
 _query("html_listings")(lambda s, d: pages.page_listings(adapter.table(s, d, "pages")))

@@ -217,7 +217,6 @@ _query("instalment_terms", LISTING_SQL, """SELECT id, CASE WHEN id % 3 = 0 THEN
 _query("highlight_parts", LISTING_SQL, "SELECT id, bedrooms, bathrooms, CAST(floor(area_m2) AS DOUBLE) AS area_m2 FROM listing")(
     lambda s, d: adapter.listings(s, d).select("id", T.highlights(F.concat(F.col("bedrooms").cast("string"), F.lit(" Bedrooms » "), F.col("bathrooms").cast("string"), F.lit(" Bathrooms | "), F.floor("area_m2").cast("string"), F.lit(" m2"))).alias("h")).select("id", "h.*")
 )
-_query("plain_texts", LISTING_SQL, "SELECT o_orderkey AS id, p_name || ' call [contact withheld]' AS description FROM raw0")(lambda s, d: adapter.listings(s, d).select("id", T.clean_text(F.col("description")).alias("description")))
 
 # ---- pages of sources ----------------------------------------------------------------------------
 
