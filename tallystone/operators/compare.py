@@ -2,47 +2,31 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money as M
 from ..functions import text as T
+from . import bands
 from .entities import good_aliases, prefixes
 
-#: Similar units needed; ratio of areas; nearest launch units; listed comparables.
-PEER_MIN, LAUNCH_MIN, AREA_RATIO, NEIGHBOURS, COMPARABLES = 4, 2, 1.5, 5, 60
+#: Similar units needed; nearest launch units; listed comparables.
+PEER_MIN, LAUNCH_MIN, NEIGHBOURS, COMPARABLES = 4, 2, 5, 60
 #: Gaps that decide the level: every signal and one signal for strong and good, pricier, and three that call for a check.
 STRONG_ALL, STRONG_ONE, GOOD_ALL, GOOD_ONE, PRICIER = -0.15, -0.25, -0.05, -0.10, 0.10
 CHECK_DEVELOPER, CHECK_PEERS, CHECK_CHEAPEST = -0.70, -0.60, -0.25
 LEVELS = ("strong", "good", "in_line", "mixed", "pricier", "check", "unrated")
 
-_LOG = math.log(AREA_RATIO)
-
-
 def cash_ppm(cash: str = "cash_equivalent", area: str = "area_m2") -> Column:
     return F.when(F.col(cash) != 0, F.col(cash) / F.col(area))
 
 
-def similar(units: DataFrame, pool: DataFrame, prefix: str = "o_") -> DataFrame:
-    """Pairs of a unit and the pool's units of its compound and type within AREA_RATIO of its area.
-
-    Areas fall into bins as wide as the ratio, and a unit meets its own bin and the two
-    beside it: pairs out of reach are never formed. The exact test follows.
-    """
-    bin_of = F.floor(F.log(F.col("area_m2")) / _LOG).cast("int")
-    a = units.withColumn("bin", F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)))
-    b = pool.withColumn("bin", bin_of).select("bin", "compound_key", "property_type", *(F.col(c).alias(prefix + c) for c in pool.columns if c not in ("compound_key", "property_type")))
-    near = F.abs(F.log(F.col(f"{prefix}area_m2") / F.col("area_m2"))) <= _LOG
-    return a.join(b, ["compound_key", "property_type", "bin"]).where(near & ~F.col(f"{prefix}id").eqNullSafe(F.col("id"))).drop("bin")
-
+_UNIT = ("id", "compound_key", "property_type", "area_m2", "price_per_m2", "finishing_class", "cash_equivalent")
 
-def same_finishing(prefix: str = "o_") -> Column:
-    return (F.col("finishing_class") == F.col(f"{prefix}finishing_class")) & (F.col("finishing_class") != "unknown")
 
-
-_UNIT = ("id", "compound_key", "property_type", "area_m2", "price_per_m2", "finishing_class", "cash_equivalent")
+def _measured(units: DataFrame) -> DataFrame:
+    """units with their price a square metre, in cash and as asked, as doubles."""
+    return units.withColumns({"ppm": (F.col("cash_equivalent") / F.col("area_m2")).cast("double"), "head": F.col("price_per_m2").cast("double"), "area_m2": F.col("area_m2").cast("double")})
 
 
 def peer_pool(resale: DataFrame) -> DataFrame:
@@ -52,20 +36,11 @@ def peer_pool(resale: DataFrame) -> DataFrame:
 def peer_comparison(records: DataFrame, resale: DataFrame, minimum: int = PEER_MIN) -> DataFrame:
     """One row for each record with enough similar units: counts, rank, medians, minima and gaps (peer_…).
 
-    One aggregation gives the figures over all similar units and over those of the same
-    finishing; the latter count where there are enough of them.
+    Figures over all similar units and over those of the same finishing come from one
+    sorted pass over each band of areas; the latter count where there are enough of them.
     """
     units = records.where("compound_key <> '' AND coalesce(cash_equivalent, 0) <> 0").select(*_UNIT)
-    own = F.col("cash_equivalent") / F.col("area_m2")
-    pairs = similar(units, peer_pool(resale)).select(
-        "id", own.alias("own"), F.col("price_per_m2").alias("head"), (F.col("o_cash_equivalent") / F.col("o_area_m2")).alias("ppm"), F.col("o_price_per_m2").alias("o_head"),
-        same_finishing().alias("same"), (F.col("finishing_class") == F.col("o_finishing_class")).alias("equal"),
-    )
-    aggs = []
-    for name, keep in (("s", "FILTER (WHERE same)"), ("a", "")):
-        for col, e in (("n", "count(1)"), ("cheaper", "count_if(ppm < own)"), ("ppm", "median(ppm)"), ("head", "median(o_head)"), ("min", "min(ppm)"), ("minhead", "min(o_head)"), ("equal", "bool_and(equal)")):
-            aggs.append(F.expr(f"{e} {keep}").alias(f"{name}_{col}"))
-    g = pairs.groupBy("id").agg(F.first("own").alias("own"), F.first("head").alias("headline"), *aggs)
+    g = bands.peer_figures(_measured(units), _measured(peer_pool(resale))).withColumn("s_equal", F.lit(True))
     pick = lambda c: F.when(F.col("s_n") >= minimum, F.col(f"s_{c}")).otherwise(F.col(f"a_{c}"))
     g = g.select("id", "own", "headline", *(pick(c).alias(c) for c in ("n", "cheaper", "ppm", "head", "min", "minhead", "equal"))).where(F.col("n") >= minimum)
     cash_gap, head_gap = F.col("own") / F.col("ppm") - 1, F.col("headline") / F.col("head") - 1
@@ -108,13 +83,8 @@ def launch_comparison(records: DataFrame, matched: DataFrame, today: Column, min
     """One row for each record with enough launch units: figures of the nearest by area (launch_…)."""
     units = records.where("compound_key <> '' AND coalesce(cash_equivalent, 0) <> 0").select(*_UNIT, "contract_year")
     pool = matched.where("compound_key IS NOT NULL").select(*_UNIT, "remaining_share", "years", "delivery_date")
-    pairs = similar(units, pool).withColumns({"same": same_finishing(), "distance": F.abs(F.log(F.col("o_area_m2") / F.col("area_m2")))})
-    # The nearest of each kind, and how many there are: at most twice `neighbours` rows a unit go on.
-    by = Window.partitionBy("id", "same").orderBy("distance", "o_id")
-    all_of = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if("same").alias("n_same"))
-    near = pairs.withColumn("r", F.row_number().over(by)).where(F.col("r") <= neighbours).join(all_of, "id").where(F.col("n") >= minimum)
-    near = near.where((F.col("n_same") < minimum) | F.col("same"))
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("distance", "o_id"))).where(F.col("r") <= neighbours)
+    near = bands.nearest(_measured(units), _measured(pool), neighbours, minimum).where(F.col("n") >= minimum).select("id", F.col("other_id").alias("o_id"), F.col("position").alias("r"))
+    near = near.join(units, "id").join(pool.select(*(F.col(c).alias(f"o_{c}") for c in pool.columns)), "o_id")
     votes = near.groupBy("id", "o_finishing_class").agg(F.count(F.lit(1)).alias("c"), F.min("r").alias("met"))
     votes = votes.groupBy("id").agg(F.max_by("o_finishing_class", F.struct("c", (-F.col("met")).alias("m"))).alias("launch_finishing"))
     g = near.groupBy("id").agg(
@@ -195,18 +165,15 @@ def comparables(records: DataFrame, resale: DataFrame, limit: int = COMPARABLES,
     """
     r = records.where("compound_key <> ''")
     pool = peer_pool(resale)
-    pairs = similar(r.select(*_UNIT), pool).withColumn("same", same_finishing())
-    dist = F.abs(F.log(F.col("o_area_m2") / F.col("area_m2")))
-    order = lambda *keys: F.row_number().over(Window.partitionBy("id", *keys).orderBy("distance", "o_id"))
-    counts = pairs.groupBy("id").agg(F.count_if("same").alias("n_same"))
-    near = pairs.withColumn("distance", dist).withColumn("r", order("same")).where(F.col("r") <= limit).join(counts, "id").where((F.col("n_same") < minimum) | F.col("same"))
-    near = near.withColumn("position", order()).where(F.col("position") <= limit)
-    first = near.select("id", "position", F.col("o_id").alias("other_id"), F.bround(F.col("o_cash_equivalent") / F.col("o_area_m2")).alias("cash_ppm"))
-    lone = r.join(counts.select("id"), "id", "left_anti").select("id", "compound_key", "class", "area_m2")
+    near = bands.nearest(_measured(r.select(*_UNIT)), _measured(pool), limit, minimum)
+    first = near.select("id", "position", "other_id", F.bround("o_ppm").alias("cash_ppm"))
+    # Those without a similar unit are few: of one type, all but 1.5 times apart or without a price.
+    lone = r.join(near.select("id").distinct(), "id", "left_anti").select("id", "compound_key", "class", "area_m2")
     other = resale.where("coalesce(cash_equivalent, 0) <> 0").select("compound_key", F.col("id").alias("o_id"), F.col("class").alias("o_class"), F.col("area_m2").alias("o_area_m2"), F.col("cash_equivalent").alias("o_cash_equivalent"))
     kind = lambda df, c: df.withColumn("kind", F.coalesce(c, F.lit("")))
-    far = kind(lone, "class").join(kind(other, "o_class"), ["compound_key", "kind"]).where(F.col("o_id") != F.col("id")).withColumn("distance", dist)
-    far = far.withColumn("position", order()).where(F.col("position") <= limit)
+    far = kind(lone, "class").join(kind(other, "o_class"), ["compound_key", "kind"]).where(F.col("o_id") != F.col("id"))
+    far = far.withColumn("distance", F.abs(F.log(F.col("o_area_m2") / F.col("area_m2"))))
+    far = far.withColumn("position", F.row_number().over(Window.partitionBy("id").orderBy("distance", "o_id"))).where(F.col("position") <= limit)
     return first.unionByName(far.select("id", "position", F.col("o_id").alias("other_id"), F.bround(F.col("o_cash_equivalent") / F.col("o_area_m2")).alias("cash_ppm")))
 
 
