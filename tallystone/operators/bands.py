@@ -5,7 +5,7 @@ compared with go to the two cells beside it as well, so a cell holds all that it
 listings can meet. Rows that cross the network grow with the listings, not with their
 pairs. A group (many small cells, or one large one) is sorted once; a band is then a
 range of it, and its order statistics come from a wavelet matrix in logarithmic time.
-A task holds about 100 bytes for each row of its largest cell.
+A task holds about 400 bytes for each row of its largest cell (measured on 0.5 and 2 million rows).
 """
 
 from __future__ import annotations
