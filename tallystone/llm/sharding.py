@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.places import numbered
@@ -72,8 +72,7 @@ def shard_slots(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     first = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
     out = numbered(rows, ["shard", F.asc_nulls_first("doc_id"), "text_crc32", "size"], lambda df, name: saved(df, f"{work}/{name}"))
     # A row for each shard: where it begins among all.
-    a, b = first.alias("a"), first.alias("b")
-    start = a.join(b, F.col("b.shard") < F.col("a.shard"), "left").groupBy("a.shard").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("start"))
+    start = first.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("start"))
     out = out.join(F.broadcast(start), "shard")
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("place") - F.col("start")).cast("long").alias("slot"), "grown_shard")
 

@@ -9,7 +9,7 @@
    FM-index (wavelet matrix) and streams its segments through it from right to left:
    backward search keeps the match at the threshold length and gives for each window the
    earliest equal one.
-4. Anchors with more segments than a shard takes are settled in rounds: in each, their
+4. Anchors with very many segments are settled in rounds: in each, their
    segments are dealt to sub-shards at random, and what has no earlier equal in its
    sub-shard goes on. Segments of an anchor that does not shrink, because its windows
    differ, take anchors of their own, window by window.
@@ -140,7 +140,19 @@ def _open_windows(window: int, gram: int, block_words: int):
     return run
 
 
-def _segments(shards: int):
+def _merged(spans: list[dict], window: int) -> list[dict]:
+    """The spans of one document, those of one anchor joined where their windows touch: a repeated row is cut otherwise in each block. At most MAX_RUN windows each."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: (s["anchor"] is not None, s["anchor"] or 0, s["start"], s["stop"])):
+        last = out[-1] if out else None
+        if s["anchor"] is not None and last and last["anchor"] == s["anchor"] and s["start"] <= last["stop"] - window + 1 and s["stop"] - last["start"] < MAX_RUN + window:
+            last["stop"] = max(last["stop"], s["stop"])
+        else:
+            out.append(dict(s))
+    return out
+
+
+def _segments(shards: int, window: int):
     """Cuts the words of each open run out of its document; settled intervals pass."""
 
     def run(batches):
@@ -148,7 +160,7 @@ def _segments(shards: int):
             cols = [[] for _ in range(7)]
             for i, g, t, spans in zip(b["id"].to_pylist(), b["tag"].to_pylist(), b["text"], b["spans"].to_pylist(), strict=True):
                 h = hash_words(words_of(t.as_py())).view(np.uint8).reshape(-1, 8)[:, :_BYTES]
-                for s in spans:
+                for s in _merged(spans, window):
                     settled = s["anchor"] is None
                     cols[0].append(s["anchor"])
                     cols[1].append((s["start"] * 7919 + i if settled else s["anchor"]) % shards)
@@ -254,19 +266,25 @@ def _settled_in_rounds(segments: DataFrame, window: int, hot: int, work: str) ->
     """Settled intervals of hot anchors' segments, and what is left of them: at most `hot` for each anchor."""
     settled, k, single = None, 0, False
     live = saved(segments, f"{work}/hot")
+    left = live.count()
     while True:
         sizes = saved(live.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")), f"{work}/sizes{k}")
         if sizes.agg(F.max("n").alias("most")).first()["most"] <= hot:
             return settled, live
-        before, k = live.count(), k + 1
+        before, k = left, k + 1
         deal = sizes.select("anchor", F.ceil(F.col("n") / hot).cast("int").alias("subs"))
         dealt = live.join(_small(deal), "anchor").withColumn("sub", F.pmod(F.xxhash64("id", "tag", "start", F.lit(k)), "subs"))
         out = saved(dealt.select(*_names(_ROUND), "sub").groupBy("anchor", "sub").applyInArrow(_sub_shard(window), _ROUND), f"{work}/round{k}")
         done = out.where("words IS NULL").select(*_names(_REMOVED))
         settled = done if settled is None else settled.unionByName(done)
         live = out.where("words IS NOT NULL")
-        if not single and 2 * live.count() > before:
+        left = live.count()
+        if not single and 2 * left > before:
             live, single = saved(live.mapInArrow(_single_windows(window), _ROUND), f"{work}/single"), True
+            left = live.count()
+        elif single and left >= before:
+            # Windows of one anchor are equal now, and of equal windows of different places only the earliest stays.
+            raise RuntimeError(f"round {k} of hot anchors settled nothing: {left} windows")
 
 
 def _small(df: DataFrame, most: int = 100_000) -> DataFrame:
@@ -278,16 +296,20 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block
     """The keyed documents, and id, tag, start, stop (word positions) of what a window covers that also starts earlier."""
     work = shared_dir(docs.sparkSession)
     keyed = _keyed(docs)
-    opened = keyed.mapInArrow(_open_windows(window, gram, block_words), _OPEN)
-    # A window function spills; a hot anchor has at most a row for each block and run there.
-    twice = F.expr("count(1) OVER (PARTITION BY coalesce(anchor, hash(id, start)))")
-    open_rows = saved(opened.withColumn("n", twice).where("n > 1 OR anchor IS NULL"), f"{work}/open")
+    # Rows of one id and text are one document: where there are any, their windows are told apart by place, and their text is cut once.
+    twins = not keyed.groupBy("id", "tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    opened = saved(keyed.mapInArrow(_open_windows(window, gram, block_words), _OPEN), f"{work}/opened")
+    opened = opened.distinct() if twins else opened
+    again = opened.where("anchor IS NOT NULL").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    open_rows = opened.join(again, "anchor").unionByName(opened.where("anchor IS NULL").withColumn("n", F.lit(0).cast("long")))
+    open_rows = saved(open_rows.select("id", "tag", "anchor", "start", "stop", "n"), f"{work}/open")
     is_hot = F.col("anchor").isNotNull() & (F.col("n") > hot)
     total = open_rows.agg(F.count("anchor").alias("open"), F.count_if(is_hot).alias("hot")).first()
 
     def cut(rows: DataFrame, shards: int) -> DataFrame:
         spans = rows.groupBy("id", "tag").agg(F.collect_list(F.struct("anchor", "start", "stop")).alias("spans"))
-        return keyed.join(spans, ["id", "tag"]).select("id", "tag", "text", "spans").mapInArrow(_segments(shards), _SEGMENT)
+        own = keyed.join(spans, ["id", "tag"]).select("id", "tag", "text", "spans")
+        return (own.dropDuplicates(["id", "tag"]) if twins else own).mapInArrow(_segments(shards, window), _SEGMENT)
 
     shards = max(1, -(-total["open"] // shard_segments))
     segments = cut(open_rows.where(~is_hot), shards)

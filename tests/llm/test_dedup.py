@@ -77,6 +77,31 @@ def test_substrings_of_hot_anchors(spark, words):
     assert got == brute_windows(rows)
 
 
+def test_substrings_of_repeated_rows(spark, words):
+    """More rows of one document, and of one text without an id, than an anchor may have segments; other documents share a passage."""
+    one, passage = " ".join(words[:30]), " ".join(words[100:130])
+    rows = [(7, one)] * 13 + [(None, f"{passage} tail")] * 9 + [(k, f"a{k} {passage} b{k} {one}") for k in range(3, 12)] + [(5, "short")] * 3
+    want = brute_windows(rows)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), hot=3, block_words=60, shard_segments=10).collect()]
+    # Two texts have the id 7: in a fixed order, which is not that of brute force.
+    assert len(got) == len(rows) and {key(g[0]): g[1:] for g in got if g[0] != 7} == {k: v for k, v in want.items() if k != key(7)}
+    assert sum(g[0] == 7 for g in got) == 14 and len({g for g in got if g[0] == 7}) == 2
+
+
+def test_twins_alone_end(spark, words):
+    rows = [(1, " ".join(words[:30]))] * 12
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=3).collect()
+    assert len(got) == 12 and {(r.n_words, r.n_removed) for r in got} == {(30, 0)}
+
+
+def test_spans_of_repeated_rows_join():
+    span = lambda a, s, e: {"anchor": a, "start": s, "stop": e}
+    got = substring_dedup._merged([span(1, 0, 25), span(1, 3, 30), span(1, 40, 61), span(2, 5, 30), span(None, 0, 25), span(None, 3, 30), span(1, 0, 25)], 20)
+    assert got == [span(None, 0, 25), span(None, 3, 30), span(1, 0, 30), span(1, 40, 61), span(2, 5, 30)]
+    long = substring_dedup._merged([span(1, k, k + 60) for k in range(0, 600, 20)], 20)
+    assert max(s["stop"] - s["start"] for s in long) < substring_dedup.MAX_RUN + 20 and {w for s in long for w in range(s["start"], s["stop"] - 19)} == set(range(621))
+
+
 def test_without_repeats_leaves_other_columns(spark, words):
     passage = " ".join(words[:30])
     rows = [(1, passage + " a", "x", 7), (2, passage, "y", 8), (3, "b  " + passage, "z", 9), (None, None, "n", None)]
