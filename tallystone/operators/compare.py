@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import money as M
 from ..functions import text as T
+from ..plans.places import numbered
+from ..plans.storage import saver
 from . import bands
 from .entities import good_aliases, prefixes
 
@@ -143,12 +145,7 @@ def ranked(records: DataFrame, most: int) -> DataFrame:
 def all_ranks(records: DataFrame) -> DataFrame:
     """id and rank (from 0) of every unit. Ranges are sorted apart and numbered from counts: no task holds them all."""
     r = records.select("id", level_order().alias("l"), (-F.col("n_signals")).alias("s"), F.coalesce("score", F.lit(0.0)).alias("c"))
-    order = ["l", "s", "c", "id"]
-    r = r.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    r = r.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
-    before = r.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
-    return r.join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("at") - 1).cast("long").alias("rank"))
+    return numbered(r, ["l", "s", "c", "id"], saver(r.sparkSession), "ranks").select("id", F.col("place").alias("rank"))
 
 
 def compare(records: DataFrame, resale: DataFrame, matched: DataFrame, today: Column) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.places import numbered
+from ..plans.storage import saver
 
 PART, KEEP = 8000, 3
 
@@ -123,13 +125,11 @@ def staging(rows: DataFrame, size: str, order: list[str], most_bytes: int = 300_
     """rows with the batch they are sent in: consecutive rows of a stretch, of most_rows and most_bytes at most.
 
     A batch closes where the next row would not fit, row by row, which is a fold; stretches
-    of 1,000 rows are folded on their own, so that no task holds a whole table. A row
+    of 1,000 rows are folded on their own, so that no task holds a whole table; place (from 0) stays. A row
     larger than a batch is an error.
     """
-    stretch = F.floor(F.col("place") / 1000)
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1)
-    g = placed.groupBy("part", stretch.alias("stretch")).agg(F.array_sort(F.collect_list(F.struct("place", F.col(size).cast("long").alias("bytes")))).alias("rows"))
+    placed = numbered(rows, order, saver(rows.sparkSession), "staging")
+    g = placed.groupBy(F.floor(F.col("place") / 1000).alias("stretch")).agg(F.array_sort(F.collect_list(F.struct("place", F.col(size).cast("long").alias("bytes")))).alias("rows"))
     start = F.struct(F.lit(-1).alias("batch"), F.lit(0).cast("long").alias("bytes"), F.lit(most_rows).alias("n"), F.array().cast("array<int>").alias("out"))
 
     def step(a, r):
@@ -137,9 +137,9 @@ def staging(rows: DataFrame, size: str, order: list[str], most_bytes: int = 300_
         batch = a["batch"] + new.cast("int")
         return F.struct(batch.alias("batch"), (F.when(new, F.lit(0).cast("long")).otherwise(a["bytes"]) + r["bytes"] + 1).alias("bytes"), (F.when(new, 0).otherwise(a["n"]) + 1).alias("n"), F.concat(a["out"], F.array(batch)).alias("out"))
 
-    folded = g.select("part", "rows", "stretch", F.aggregate("rows", start, step)["out"].alias("batches"))
-    each = folded.select("part", "stretch", F.explode(F.arrays_zip("rows", "batches")).alias("x")).select("part", F.col("x.rows.place").alias("place"), F.struct("part", "stretch", F.col("x.batches").alias("n")).alias("batch"))
-    out = placed.join(each, ["part", "place"]).drop("part", "place")
+    folded = g.select("rows", "stretch", F.aggregate("rows", start, step)["out"].alias("batches"))
+    each = folded.select("stretch", F.explode(F.arrays_zip("rows", "batches")).alias("x")).select(F.col("x.rows.place").alias("place"), F.struct("stretch", F.col("x.batches").alias("n")).alias("batch"))
+    out = placed.join(each, "place")
     return out.withColumn("batch", F.when(F.col(size) <= most_bytes, F.col("batch")).otherwise(F.raise_error(F.lit("a row is larger than a batch"))))
 
 
@@ -151,6 +151,7 @@ def bounded(df: DataFrame, most: int = 10_000) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """A hash of a table's rows in any order."""
-    h = F.xxhash64(*df.columns)
-    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("x"), F.coalesce(F.sum((h % 1_000_003).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("s"))
+    """n and a digest of a table's rows in any order: sums of two unrelated 64-bit hashes of each row, so that repeated rows count as often as they occur."""
+    h = [F.xxhash64(*(c for c in df.columns)), F.xxhash64(F.lit("second"), *(c for c in df.columns))]
+    sums = [F.coalesce(F.sum(x.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string") for x in h]
+    return df.agg(F.count(F.lit(1)).alias("n"), *(x.alias(f"s{k}") for k, x in enumerate(sums))).select("n", F.sha2(F.concat_ws(":", "n", "s0", "s1"), 256).alias("digest"))

@@ -5,24 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.places import numbered
+from ..plans.storage import saver
 from .entities import validated
 
 BATCH = 120
 
 
 def batches(pairs: DataFrame, size: int = BATCH) -> DataFrame:
-    """pairs with batch and position: the most listed first. Places come from counts of ranges, so nothing is numbered in one task."""
-    order = [F.desc("listings"), F.asc("key")]
-    ranged = pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    ranged = ranged.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
-    before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
-    place = F.col("before") + F.col("at") - 1
-    out = ranged.join(F.broadcast(before), "part").withColumn("batch", F.floor(place / size).cast("long"))
-    return out.withColumn("position", (place % size).cast("int")).drop("part", "at", "before")
+    """pairs with batch and position: the most listed first. Saved, so that nobody who uses it twice sees two numberings."""
+    at = numbered(pairs, [F.desc("listings"), F.asc("key")], saver(pairs.sparkSession), "batches")
+    return at.withColumns({"batch": F.floor(F.col("place") / size).cast("long"), "position": (F.col("place") % size).cast("int")}).drop("place")
 
 
 def prompts(batched: DataFrame, reference: str = "", known: str = "") -> DataFrame:
