@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import money as M
 from ..operators import clean, compare, entities, rollup
 from . import adapter
+from .serving import Served
 from .storage import saver
 
 
@@ -92,12 +93,16 @@ class Snapshot:
         return rollup.districts(self.resale, self.compounds)
 
 
-def of_driver_tables(spark: SparkSession, sf_dir: str) -> Snapshot:
+def of_driver_tables(spark: SparkSession, sf_dir: str, sources: tuple[str, ...] | None = None) -> Snapshot:
+    """The snapshot of these tables, or of some of its sources only: rows of others are not projected at all."""
     raw = adapter.listings(spark, sf_dir).select(*adapter.COLUMNS).unionByName(adapter.launches(spark, sf_dir))
+    if sources is not None:
+        raw = raw.where(F.col("source").isin(*sources))
     return Snapshot(raw, F.lit(adapter.LATEST).cast("date"), save=saver(spark))
 
 
-_cache: dict[tuple, Snapshot] = {}
+#: Snapshots of an application, by folder: each served until a newer one is there.
+_served: dict[tuple, Served[Snapshot]] = {}
 
 
 def _signature(spark: SparkSession, sf_dir: str) -> tuple:
@@ -112,10 +117,21 @@ def _signature(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(out)
 
 
-def cached(spark: SparkSession, sf_dir: str) -> Snapshot:
-    """The snapshot of these tables, built once for an application and as long as no input changes."""
-    key = (spark.sparkContext.applicationId, sf_dir, _signature(spark, sf_dir))
-    if key not in _cache:
-        _cache.clear()
-        _cache[key] = of_driver_tables(spark, sf_dir)
-    return _cache[key]
+def cached(spark: SparkSession, sf_dir: str, seconds: float = 0) -> Snapshot:
+    """The snapshot of these tables, built once for an application and as long as no input changes.
+
+    With seconds, inputs are looked at that often, and a snapshot that they no longer fit
+    is served while the next one is made.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, seconds)
+    for old in [k for k in _served if k[0] != key[0]]:
+        del _served[old]
+    if key not in _served:
+        _served[key] = Served(lambda: _warm(of_driver_tables(spark, sf_dir)) if seconds else of_driver_tables(spark, sf_dir), lambda: _signature(spark, sf_dir), seconds)
+    return _served[key].get()
+
+
+def _warm(s: Snapshot) -> Snapshot:
+    """With the tables that most others read, so that no reader waits for them."""
+    s.records, s.compounds  # noqa: B018
+    return s
