@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 @dataclass
@@ -106,30 +103,4 @@ def _inventory(spark: SparkSession, path: str, details: str, budget: int = 200,
     return Run(offers(spark.read.parquet(details).join(ids, "source_listing_id", "left_semi")), present=entries.select(F.col("id").alias("source_listing_id")))
 
 
-class ListingSource(DataSource):
-    """spark.read.format("listing_pages").option("path", …): stored pages (JSON lines of page_id, html) as listings by Spark's own data source interface."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "listing_pages"
-
-    def schema(self) -> str:
-        return "page_id long, html string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _PageReader(self.options["path"])
-
-
-class _PageReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self) -> list[InputPartition]:
-        names = sorted(n for n in os.listdir(self.path) if n.endswith(".jsonl"))
-        return [InputPartition(os.path.join(self.path, n)) for n in names]
-
-    def read(self, partition: InputPartition):
-        with open(partition.value, encoding="utf-8") as f:
-            for line in f:
-                page = json.loads(line)
-                yield page.get("page_id"), page.get("html")
+from .stored import ListingSource  # noqa: E402, F401  (the stored-page format is part of this registry)
