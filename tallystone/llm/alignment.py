@@ -35,12 +35,15 @@ from .merges import Places, gather
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Groups of a block from which it is closed, pieces that a task remembers, pieces encoded at once.
-BLOCK_GROUPS, CACHED_PIECES, AT_ONCE = 500_000, 300_000, 4096
+BLOCK_GROUPS, CACHED_PIECES, AT_ONCE = 500_000, 300_000, 2048
+#: Characters of a string of pieces, texts and characters that are cut before new pieces are learnt.
+STRING, TEXTS, CHARS = 4096, 512, 1 << 20
 #: Pairs of a group from which its documents' pairs are told apart id by id; bytes up to which a group's ids are its key.
 BIG, SHORT = 1 << 14, 32
 
 #: A space after a sign that is no white space under any definition starts a piece: no token of A or B holds both.
 _CUT = re.compile("(?<=[!-~¡-ɏ]) (?!\\Z)")
+_CUTTABLE = re.compile("[!-~¡-ɏ]\\Z")
 _SPACE = "▁"
 
 
@@ -79,69 +82,132 @@ class Pieces:
         self.forget()
 
     def forget(self) -> None:
-        self.place, self.keys = Places(), {}
-        self.ids: list[tuple[tuple[int, ...], tuple[int, ...]]] = []  # of each group
+        self.place, self.keys, self.singles = Places(), {}, {}
+        # Of each group: its ids, how it is written, its distinct pairs (None: very many), its numbers of A and B tokens.
+        self.ids: list[tuple[tuple[int, ...], tuple[int, ...]]] = []
+        self.written: list[str] = []
+        self.pairs: list[list[int] | None] = []
         self.names: list[str] = []  # of each piece: its groups, written out
         self.size = np.zeros((0, 3), np.int64)  # of each piece: tokens of A, of B (-1: its bytes differ), groups
         self.start, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the groups of each piece
 
-    def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), AT_ONCE):
-            self._learn_some(pieces[at : at + AT_ONCE])
-
-    def _learn_some(self, pieces: list[str]) -> None:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
-        b = self.b.encode(pieces, num_threads=1)
-        raw = [b" " + p.encode("utf-8", "surrogatepass") for p in pieces]
-        n = np.array([list(map(len, a)), list(map(len, b)), list(map(len, raw))], np.int64)
-        flat = [np.fromiter(chain.from_iterable(x), np.int64, int(k)) for x, k in ((a, n[0].sum()), (b, n[1].sum()))]
-        # A piece counts if both joins give its bytes.
-        same, text = np.ones(len(pieces), bool), np.frombuffer(b"".join(raw), np.uint8)
-        first = np.cumsum(n[2]) - n[2]
+    def _encoded(self, strings: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of A and of B, and how many each string has. Strings lack the space that stands before them."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in strings], add_special_tokens=False)]
+        b = self.b.encode(strings, num_threads=1)
+        n = [np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b)]
+        return [np.fromiter(chain.from_iterable(x), np.int64, int(k.sum())) for x, k in zip((a, b), n, strict=True)], n
+
+    def _whole(self, flat: list[np.ndarray], n: list[np.ndarray], raw: list[bytes]) -> np.ndarray:
+        """Whether the tokens of each string join to its bytes, by A and by B."""
+        size, text = np.fromiter(map(len, raw), np.int64, len(raw)), np.frombuffer(b"".join(raw), np.uint8)
+        same, first = np.ones(len(raw), bool), np.cumsum(size) - size
         for k, (length, start, entries) in enumerate(self.bytes):
-            piece = np.repeat(np.arange(len(pieces)), n[k])
-            total = np.bincount(piece, length[flat[k]], len(pieces)).astype(np.int64)
-            even = total == n[2]
-            tokens = flat[k][even[piece]]
-            joined = gather(entries, start[tokens], length[tokens])
-            wanted = gather(text, first[even], n[2][even])
+            of = np.repeat(np.arange(len(raw)), n[k])
+            even = np.bincount(of, length[flat[k]], len(raw)).astype(np.int64) == size
+            tokens = flat[k][even[of]]
+            joined, wanted = gather(entries, start[tokens], length[tokens]), gather(text, first[even], size[even])
             same &= even
             if len(joined):
-                wrong = np.add.reduceat((joined != wanted).astype(np.int64), np.cumsum(n[2][even]) - n[2][even])
+                wrong = np.add.reduceat((joined != wanted).astype(np.int64), np.cumsum(size[even]) - size[even])
                 same[np.flatnonzero(even)[wrong > 0]] = False
-        ids, ends = [], []
-        for k, (length, _, _) in enumerate(self.bytes):
-            ids.append(flat[k][same[np.repeat(np.arange(len(pieces)), n[k])]])
-            ends.append(np.cumsum(length[ids[k]]))
+        return same
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Pieces that end where texts can be cut go through the libraries many in one string, as they would stand in a text; the others alone."""
+        joinable = [bool(_CUTTABLE.search(p)) and _SPACE not in p and not self.whole for p in pieces]
+        easy, hard = ([k for k, j in enumerate(joinable) if j is want] for want in (True, False))
+        strings, members, held, size = [], [], [], 0
+        for k in easy:
+            held.append(k)
+            size += len(pieces[k])
+            if size >= STRING:
+                strings.append(" ".join(pieces[i] for i in held)), members.append(held)
+                held, size = [], 0
+        if held:
+            strings.append(" ".join(pieces[i] for i in held)), members.append(held)
+        strings += [pieces[k] for k in hard]
+        members += [[k] for k in hard]
+        again: list[int] = []
+        for at in range(0, len(strings), AT_ONCE):
+            again += self._learn_some(strings[at : at + AT_ONCE], members[at : at + AT_ONCE], pieces)
+        for at in range(0, len(again), AT_ONCE):  # members of a string that did not come back whole
+            part = again[at : at + AT_ONCE]
+            self._learn_some([pieces[k] for k in part], [[k] for k in part], pieces)
+
+    def _learn_some(self, strings: list[str], members: list[list[int]], pieces: list[str]) -> list[int]:
+        flat, n = self._encoded(strings)
+        same = self._whole(flat, n, [b" " + s.encode("utf-8", "surrogatepass") for s in strings])
+        again = [k for ok, m in zip(same.tolist(), members, strict=True) if not ok and len(m) > 1 for k in m]
+        order = np.array([k for ok, m in zip(same.tolist(), members, strict=True) if ok for k in m], np.int64)
+        bad = [m[0] for ok, m in zip(same.tolist(), members, strict=True) if not ok and len(m) == 1]
+        ids = [x[same[np.repeat(np.arange(len(strings)), k)]] for x, k in zip(flat, n, strict=True)]
+        ends = [np.cumsum(length[x]) for x, (length, _, _) in zip(ids, self.bytes, strict=True)]
         cuts = np.intersect1d(ends[0], ends[1], assume_unique=True)
         edge = [np.concatenate([[0], np.searchsorted(e, cuts) + 1]) for e in ends]
-        ids_a, ids_b = (x.tolist() for x in ids)
-        groups = np.empty(len(cuts), np.int64)
-        edge_a, edge_b, names = edge[0].tolist(), edge[1].tolist(), []
-        for g in range(len(cuts)):
-            key = (tuple(ids_a[edge_a[g] : edge_a[g + 1]]), tuple(ids_b[edge_b[g] : edge_b[g + 1]]))
-            groups[g] = at = self.keys.setdefault(key, len(self.ids))
-            if at == len(self.ids):
-                self.ids.append(key)
-            names.append(f"{','.join(map(str, key[0]))}|{','.join(map(str, key[1]))}")
-        own = np.searchsorted(cuts, np.cumsum(np.where(same, n[2], 0)), side="right")
-        count = np.diff(np.concatenate([[0], own]))
-        at = own - count
-        self.names += [";".join(names[s:e]) for s, e in zip(at.tolist(), own.tolist(), strict=True)]
-        self.start = np.concatenate([self.start, len(self.flat) + at])
+        groups = self._interned(ids, edge)
+        # Pieces end at cuts: their groups, and their tokens by the edges of these.
+        size = np.fromiter((len(pieces[k].encode("utf-8", "surrogatepass")) + 1 for k in order.tolist()), np.int64, len(order))
+        own = np.searchsorted(cuts, np.cumsum(size), side="right")
+        first = np.concatenate([[0], own[:-1]]) if len(own) else own
+        self._extend(max([*order.tolist(), *bad, *again], default=-1) + 1 + self._base)
+        at = order + self._base
+        self.start[at], self.size[at, 2] = len(self.flat) + first, own - first
+        for k in range(2):
+            self.size[at, k] = edge[k][own] - edge[k][first]
+        self.size[np.array(bad, np.int64) + self._base, 1] = -1
         self.flat = np.concatenate([self.flat, groups])
-        self.size = np.concatenate([self.size, np.stack([n[0], np.where(same, n[1], -1), count], 1)])
-
-    def of(self, text: str) -> np.ndarray | None:
-        """The pieces of a text by number; None where it has no tokens."""
-        if not text:
-            return None
-        parts = [text] if self.whole else _CUT.split(text)
-        index = np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
+        said = [self.written[g] for g in groups.tolist()]
+        for i, s, e in zip(at.tolist(), first.tolist(), own.tolist(), strict=True):
+            self.names[i] = ";".join(said[s:e])
+        return again
+
+    def _extend(self, n: int) -> None:
+        more = n - len(self.names)
+        if more > 0:
+            self.names += [""] * more
+            self.start = np.concatenate([self.start, np.zeros(more, np.int64)])
+            self.size = np.concatenate([self.size, np.zeros((more, 3), np.int64)])
+
+    def _interned(self, ids: list[np.ndarray], edge: list[np.ndarray]) -> np.ndarray:
+        """The number of each group."""
+        n = [np.diff(e) for e in edge]
+        groups, single = np.empty(len(n[0]), np.int64), (n[0] == 1) & (n[1] == 1)
+        codes, of = np.unique(ids[0][edge[0][:-1][single]] << 16 | ids[1][edge[1][:-1][single]], return_inverse=True)
+        known = np.empty(len(codes), np.int64)
+        for k, code in enumerate(codes.tolist()):
+            g = self.singles.get(code)
+            if g is None:
+                g = self.singles[code] = self._new((code >> 16,), (code & 65535,))
+            known[k] = g
+        groups[single] = known[of]
+        raw = [x.astype("<u2").tobytes() for x in ids]
+        many = np.flatnonzero(~single)
+        spans = [[(2 * e[many]).tolist(), (2 * e[many + 1]).tolist()] for e in edge]
+        for g, s, e, t, f in zip(many.tolist(), *spans[0], *spans[1], strict=True):
+            key = (raw[0][s:e], raw[1][t:f])
+            known_as = self.keys.get(key)
+            if known_as is None:
+                known_as = self.keys[key] = self._new(*(tuple(np.frombuffer(x, "<u2").tolist()) for x in key))
+            groups[g] = known_as
+        return groups
+
+    def _new(self, a: tuple[int, ...], b: tuple[int, ...]) -> int:
+        self.ids.append((a, b))
+        self.written.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
+        ua, ub = set(a), set(b)
+        self.pairs.append(None if len(ua) * len(ub) > BIG else [x << 16 | y for x in ua for y in ub])
+        return len(self.ids) - 1
+
+    def of(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The pieces of texts by number; None for a text that has no tokens. New pieces of all of them are learnt together."""
+        parts = [([t] if self.whole else _CUT.split(t)) if t else [] for t in texts]
+        index = [np.fromiter(map(self.place.__getitem__, p), np.int64, len(p)) for p in parts]
         if self.place.new:
+            self._base = len(self.place) - len(self.place.new)
             self._learn(self.place.new)
             self.place.new = []
-        return None if (self.size[index, 1] < 0).any() else index
+        return [i if len(i) and not (self.size[i, 1] < 0).any() else None for i in index]
 
     def groups(self, index: np.ndarray) -> np.ndarray:
         return gather(self.flat, self.start[index], self.size[index, 2])
@@ -226,14 +292,14 @@ def _block(block: int, docs: list[tuple[int | None, np.ndarray | None]], words:
         part = slice(s, s + (1 << 14))
         yield _record(len(raw[part]), kind=np.full(len(raw[part]), _GROUP), block=np.full(len(raw[part]), block), key=key[part], ids=[None if len(r) <= SHORT else r for r in raw[part]], at=np.arange(s, s + len(raw[part])))
     # How many documents hold each pair.
-    big = np.fromiter((len(set(a)) * len(set(b)) > BIG for a, b in ids), bool, len(ids))
+    big = np.fromiter((words.pairs[g] is None for g in known.tolist()), bool, len(ids))
     slow = np.unique(code_doc[big[code_at]])
     for d in slow.tolist():
         for pairs in _big_pairs([ids[g] for g in code_at[code_doc == d].tolist()]):
             yield _record(len(pairs), kind=np.full(len(pairs), _PAIR), pair=pairs, docs=np.ones(len(pairs), np.int64))
-    own = [next(links(a, b))[0] if not is_big else np.zeros(0, np.int64) for (a, b), is_big in zip(ids, big.tolist(), strict=True)]
+    own = [words.pairs[g] or [] for g in known.tolist()]
     n_own = np.fromiter(map(len, own), np.int64, len(own))
-    pair, pair_at = np.unique(np.concatenate(own) if own else np.zeros(0, np.int64), return_inverse=True)
+    pair, pair_at = np.unique(np.fromiter(chain.from_iterable(own), np.int64, int(n_own.sum())), return_inverse=True)
     fast = ~np.isin(code_doc, slow)
     d, g = code_doc[fast], code_at[fast]
     start, held = np.cumsum(n_own) - n_own, np.zeros(len(pair), np.int64)
@@ -260,20 +326,38 @@ def _stretches(doc: np.ndarray, weight: np.ndarray, most: int):
         start = end
 
 
+def _portions(batch: pa.RecordBatch):
+    """Ids and texts of some rows at a time: of TEXTS rows, and of about CHARS characters, at most."""
+    ids, texts, size = [], [], 0
+    for i, t in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+        t = t.as_py()
+        ids.append(i), texts.append(t)
+        size += len(t)
+        if len(ids) >= TEXTS or size >= CHARS:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def _blocks(a_path: str, b_path: str, block_groups: int):
     def run(batches):
         words, block = _pieces(a_path, b_path), TaskContext.get().partitionId() << 32
         docs, held = [], 0
         for b in batches:
-            for i, t in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
-                index = words.of(t.as_py())
-                docs.append((i, index))
-                held += 1 + (0 if index is None else int(words.size[index, 2].sum()))
-                if held >= block_groups:
-                    yield from _block(block, docs, words)
-                    docs, held, block = [], 0, block + 1
-                    if len(words.place) > words.cached:
-                        words.forget()
+            for rows in _portions(b):
+                for i, index in zip(rows[0], words.of(rows[1]), strict=True):
+                    docs.append((i, index))
+                    held += 1 + (0 if index is None else int(words.size[index, 2].sum()))
+                    if held >= block_groups:
+                        yield from _block(block, docs, words)
+                        docs, held, block = [], 0, block + 1
+                # Numbers of pieces must not outlive the pieces.
+                if len(words.place) > words.cached:
+                    if docs:
+                        yield from _block(block, docs, words)
+                        docs, held, block = [], 0, block + 1
+                    words.forget()
         if docs:
             yield from _block(block, docs, words)
         words.forget()

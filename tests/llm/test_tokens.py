@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallystone.llm import alignment, fill_middle, sharding
+from tallystone.llm.common import only
 
 ODD = [
     "  two  spaces\n\n  and\ttabs \n", " x", "x ", "\n", "a\n b\n\n  c", "don't <|endoftext|> <s> </s> <0x0A> <unk>", "naïve 你好 😀 é x  y  z", "a▁b c", "\x00 \x01a", "٣ ٤ '‏s",
@@ -103,7 +104,7 @@ def test_pieces_are_cut_where_neither_tokenizer_joins():
         parts = alignment._CUT.split(t)
         assert [i for p in parts for i in a.encode(" " + p, add_special_tokens=False).ids] == a.encode(" " + t, add_special_tokens=False).ids, repr(t)
         assert [i for p in parts for i in b.encode(p)] == b.encode(t), repr(t)
-        index = words.of(t)
+        index = words.of([t])[0]
         assert index is None or words.size[index, :2].sum(0).tolist() == [len(a.encode(" " + t, add_special_tokens=False).ids), len(b.encode(t))]
 
 
@@ -131,7 +132,8 @@ def test_big_groups_in_a_block(monkeypatch):
     """Blocks with the limit at a few pairs give the same rows as without it."""
     paths = [public_tokenizers.path(f) for f in (alignment.A_FILE, alignment.B_FILE)]
     words = alignment.Pieces(*paths)
-    docs = [(k, words.of(t)) for k, t in enumerate([*ODD[:19], ODD[5] * 3, "", "plain words here", "plain words here"])]
+    texts = [*ODD[:19], ODD[5] * 3, "", "plain words here", "plain words here"]
+    docs = list(enumerate(words.of(texts)))
 
     def counts():
         out = Counter()
@@ -143,6 +145,8 @@ def test_big_groups_in_a_block(monkeypatch):
 
     plain = counts()
     monkeypatch.setattr(alignment, "BIG", 2)
+    words.forget()
+    docs = list(enumerate(words.of(texts)))
     assert counts() == plain and max(plain.values()) > 1
 
 
@@ -235,7 +239,7 @@ def test_sharding(mixed, empty):
 
 def test_files_of_shards_grow(spark, mixed, tmp_path):
     df, rows = mixed
-    df = df.drop("TEXT", "Doc_Id")
+    df = only(df, "doc_id", "text")
     sharding.write_shards(df, f"{tmp_path}/old", 5)
     stay = sharding.grow(spark, f"{tmp_path}/old", f"{tmp_path}/new", 5).collect()
     moved = spark.read.parquet(f"{tmp_path}/new").collect()
