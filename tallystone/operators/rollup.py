@@ -25,16 +25,36 @@ def share(part: Column, whole: Column) -> Column:
     return F.bround(F.try_divide(part, whole), 4)
 
 
-def profile(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Delivery, payment plans and levels of each group."""
+def figures() -> list[Column]:
+    """What is said of any group of units: delivery, payment plans and levels."""
     known, plans = F.expr("count_if(delivery_bucket <> 'unknown')"), F.expr("count_if(terms = 'plan')")
-    return items.groupBy(*keys).agg(
+    return [
         F.count(F.lit(1)).alias("units"), share(F.expr("count_if(delivery_bucket = 'ready')"), known).alias("ready_share"), known.alias("delivery_known"),
         median("delivery_years", 1, "delivery_years > 0", of=2).alias("median_years_to_delivery"), F.max(F.substring("delivery_date", 1, 4).cast("int")).alias("latest_delivery_year"),
         share(plans, F.expr("count_if(terms IN ('plan', 'cash'))")).alias("plan_share"), median("remaining_share", 4, "terms = 'plan'").alias("median_remaining_share"),
         median("years", 1, "terms = 'plan'").alias("median_plan_years"), median("discount", 4, "terms = 'plan'").alias("median_plan_discount"),
         F.min("area_m2").alias("area_min"), F.max("area_m2").alias("area_max"), F.expr("count_if(level IN ('strong', 'good'))").alias("good_count"), *(F.count_if(F.col("level") == v).alias(v) for v in LEVELS),
-    )
+    ]
+
+
+def profile(items: DataFrame, keys: list[str]) -> DataFrame:
+    """The figures of each group."""
+    return items.groupBy(*keys).agg(*figures())
+
+
+def all_levels(resale: DataFrame) -> DataFrame:
+    """level, key and the figures of each compound, developer and district, and of all: one scan, one Expand, one exchange.
+
+    The rows of a level are those that `profile` gives for it alone: units without a
+    compound or developer count for the other levels only. A key is null for all.
+    """
+    keys = ["compound_key", "developer_key", "district_key"]
+    items = resale.withColumn("district_key", T.slug(F.col("district")))
+    named = items.withColumns({k: F.when(F.col(k) != "", F.col(k)) for k in keys[:2]})
+    rows = named.groupingSets([[F.col(k)] for k in keys] + [[]], *(F.col(k) for k in keys)).agg(*figures(), *(F.grouping(k).alias(f"_{k}") for k in keys))
+    level = F.when(F.col("_compound_key") == 0, "compound").when(F.col("_developer_key") == 0, "developer").when(F.col("_district_key") == 0, "district").otherwise("all")
+    out = rows.select(level.alias("level"), F.coalesce(*keys).alias("key"), *[c for c in rows.columns if c not in keys and not c.startswith("_")])
+    return out.where("level IN ('all', 'district') OR key IS NOT NULL")
 
 
 def finishing_counts(items: DataFrame, keys: list[str]) -> DataFrame:
