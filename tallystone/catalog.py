@@ -364,7 +364,12 @@ def _fit(s, d):
 
 _query("model_backtest")(lambda s, d: model.backtest(_fit(s, d)))
 _query("model_predictions")(lambda s, d: model.predict(_m := _fit(s, d), _m.units, exclude=True).select("id", "grade", F.bround("log_fair", 6).alias("log_fair")))
-_query("model_naive_errors")(lambda s, d: model.naive(_model_units(s, d).where("cls IS NOT NULL")))
+_NAIVE = """, mu AS (SELECT id, class AS cls, lower(district) AS dk, ln(cash_equivalent / area_m2) AS y FROM res WHERE coalesce(cash_equivalent, 0) <> 0 AND class IS NOT NULL),
+mr AS (SELECT *, row_number() OVER (PARTITION BY cls, dk ORDER BY y, id) AS r, count(*) OVER (PARTITION BY cls, dk) AS n FROM mu),
+ml AS (SELECT cls, dk, list(y ORDER BY y, id) AS ys FROM mu GROUP BY 1, 2),
+mx AS (SELECT mr.*, ys, n // 2 AS lo, (n + 1) // 2 AS hi FROM mr JOIN ml USING (cls, dk) WHERE n >= 6)
+SELECT id, round(abs(exp(y - (ys[CASE WHEN r <= lo THEN lo + 1 ELSE lo END] + ys[CASE WHEN r <= hi THEN hi + 1 ELSE hi END]) / 2) - 1), 6) AS naive_error FROM mx"""
+_query("model_naive_errors", COMPARED, _NAIVE)(lambda s, d: model.naive(_model_units(s, d).where("cls IS NOT NULL")).withColumn("naive_error", F.round("naive_error", 6)))
 
 # ---- text, pages ---------------------------------------------------------------------------------
 
@@ -374,6 +379,9 @@ _query("url_keys", None, r"SELECT page_id, lower(regexp_replace(regexp_extract(u
     lambda s, d: adapter.table(s, d, "pages").select("page_id", T.url_key(F.col("url")).alias("url_key"))
 )
 _query("fold_keys", LISTING_SQL, f"SELECT id, {_FOLD.format('compound')} AS folded FROM listing")(lambda s, d: adapter.listings(s, d).select("id", T.fold(F.col("compound")).alias("folded")))
-_query("clean_text")(lambda s, d: adapter.table(s, d, "pages").select("page_id", T.clean_text(F.col("html")).alias("text")))
+_PLAIN = r"""WITH a AS (SELECT page_id, replace(replace(replace(replace(html, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS t FROM pages),
+b AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[\s\x{a0}\x{85}]+', ' ', 'g')) AS t FROM a)
+SELECT page_id, substr(t, 1, 400) AS text FROM b"""
+_query("clean_text", None, _PLAIN)(lambda s, d: adapter.table(s, d, "pages").select("page_id", T.clean_text(F.col("html")).alias("text")))
 _query("phone_redaction", LISTING_SQL, "SELECT o_orderkey AS id, p_name || ' call [contact withheld]' AS description FROM raw0")(lambda s, d: adapter.listings(s, d).select("id", T.clean_text(F.col("description")).alias("description")))
 _query("html_listings")(lambda s, d: pages.page_listings(adapter.table(s, d, "pages")))

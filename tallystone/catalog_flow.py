@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import _PROFILE, _PROFILE_COLUMNS, _SLUG, COMPARED, _query, _snap
+from .catalog import _PROFILE, _PROFILE_COLUMNS, _SLUG, COMPARED, ELIGIBLE, _aliases, _query, _snap
 from .functions import text as T
-from .operators import clean, publish, replay, resolution, rollup, survival, term_index, trends
+from .operators import clean, compare, entities, publish, replay, resolution, rollup, survival, term_index, trends
 from .plans import adapter, checkpoints, incremental
 from .plans.adapter import LATEST, LISTING_SQL, table
-from .plans.storage import folder
+from .plans.storage import folder, saver
 from .sources import paging
 
 _NOW = "2001-08-02"
@@ -121,6 +121,25 @@ _query("paged_runs", None, _RUNS)(
     lambda s, d: paging.closed(_attempts(s, d)).select("run_id", "pages_fetched", "seen", F.col("end").cast("long").alias("end"), "kind", "complete", F.array_join("errors", ", ").alias("errors"))
 )
 
+# ---- names in Arabic -------------------------------------------------------------------------------
+
+
+def _asked_in_arabic(s, d):
+    """Units described by a compound's Arabic name, which aliases brought and records voted for."""
+    aliases = _aliases(s, d).withColumns({"compound_ar": F.concat(F.lit("آسيا "), F.regexp_extract("compound", r"(\d+)", 1)), "developer_ar": F.lit("أراضي آسيا")})
+    applied, _ = entities.apply_aliases(_snap(s, d).projected.where("source <> 'benchmark'"), aliases)
+    rows = entities.resolve(applied, saver(s))
+    c = rows.where("compound_key <> ''").groupBy(F.col("compound_key").alias("key")).agg(F.max("compound").alias("name"), F.max("developer_key").alias("developer_key"), F.max("compound_ar").alias("name_ar"), F.max("developer_ar").alias("developer_ar"), F.count(F.lit(1)).alias("position"))
+    ask = c.where("name_ar IS NOT NULL").select(F.abs(F.hash("key")).cast("long").alias("request_id"), F.lit("villa").alias("property_type"), F.lit(100.0).alias("area_m2"), F.lit(1e6).alias("price"), F.concat(F.lit(" "), "name_ar").alias("compound"),
+        F.lit(None).cast("double").alias("down_payment"), F.lit(None).cast("double").alias("installment_years"), F.lit("ready").alias("delivery"), F.lit("finished").alias("finishing"))
+    snap = _snap(s, d)
+    got = compare.evaluate(ask, c, snap.default, snap.matched, snap.today)
+    return got.join(c, F.col("compound_key") == F.col("key")).select("compound_key", "status", "name_ar", "developer_ar")
+
+
+_query("arabic_lookup", ELIGIBLE, r"""SELECT DISTINCT 'asia-' || regexp_extract(compound, '^Brand#(\d+)', 1) AS compound_key, 'compared' AS status, 'آسيا ' || regexp_extract(compound, '^Brand#(\d+)', 1) AS name_ar, 'أراضي آسيا' AS developer_ar
+  FROM proj WHERE source <> 'benchmark' AND compound LIKE '% ASIA%'""")(_asked_in_arabic)
+
 # ---- time on the market ----------------------------------------------------------------------------
 
 

@@ -179,14 +179,18 @@ def evaluate(requests: DataFrame, compounds: DataFrame, resale: DataFrame, match
 
     requests: request_id, property_type, area_m2, price, compound, down_payment,
     installment_years, delivery ("", "ready", year or month), finishing. compounds: key,
-    name, developer_key and position. An incomplete plan counts as cash; a compound that
-    is not known gives the status compound_not_found.
+    name, developer_key, position and, where there are any, name_ar: a compound is found by
+    its key, else by its name in either script. An incomplete plan counts as cash; a
+    compound that is not known gives the status compound_not_found.
     """
     months = F.nullif(F.bround(F.col("installment_years") * 12).cast("int"), F.lit(0))
     plan = F.col("down_payment").isNotNull() & months.isNotNull()
     r = requests.withColumns({"months": F.when(plan, months), "down": F.when(plan, F.col("down_payment")), "property_type": T.canonical_type(F.trim("property_type")), "wanted": F.lower(F.trim("compound")), "want_key": T.slug(F.col("compound"))})
     by_key = compounds.select(F.col("key").alias("want_key"), F.col("key").alias("k1"))
-    by_name = compounds.groupBy(F.lower("name").alias("wanted")).agg(F.min_by("key", "position").alias("k2"))
+    named = compounds.select(F.lower("name").alias("wanted"), "key", "position")
+    if "name_ar" in compounds.columns:
+        named = named.unionByName(compounds.where("coalesce(name_ar, '') <> ''").select(F.lower("name_ar").alias("wanted"), "key", "position"))
+    by_name = named.groupBy("wanted").agg(F.min_by("key", F.struct("position", "key")).alias("k2"))
     r = r.join(by_key, "want_key", "left").join(by_name, "wanted", "left").withColumn("compound_key", F.coalesce("k1", "k2", F.lit("")))
     r = r.select("*", M.payment_terms(F.col("price"), F.col("down"), F.col("months"), F.when(plan, F.lit(True)), F.lit(True)).alias("payment")).select("*", "payment.*").drop("payment")
     date = F.when(F.col("delivery").rlike("^[0-9]{4}$"), F.concat("delivery", F.lit("-06-30"))).when(F.col("delivery").rlike("^[0-9]{4}-[0-9]{2}$"), F.concat("delivery", F.lit("-01")))

@@ -121,7 +121,13 @@ def resolve(records: DataFrame, save=lambda df, name: df) -> DataFrame:
     dev_name = vote(r.where("own_dev <> ''").withColumnRenamed("own_dev", "developer_key"), "developer_key", "developer_name", [F.col("id")], "developer")
     out = r.join(district, "compound_key", "left").join(developer, "compound_key", "left").join(name, "compound_key", "left")
     out = out.withColumns({"developer_key": F.coalesce(T.or_null(F.col("own_dev")), "c_dev", F.lit("")), "district": F.coalesce("c_district", "district")})
-    return out.join(dev_name, "developer_key", "left").drop("own_key", "own_dev", "target", "c_district", "c_dev")
+    out = out.join(dev_name, "developer_key", "left").drop("own_key", "own_dev", "target", "c_district", "c_dev")
+    # Names in Arabic come with aliases; a compound and a developer have the one that most of their records have.
+    for what in ("compound", "developer"):
+        if f"{what}_name_ar" in records.columns:
+            names = arabic_names(out, f"{what}_key", f"{what}_name_ar").withColumnRenamed("name_ar", f"{what}_ar")
+            out = out.join(names, f"{what}_key", "left")
+    return out
 
 
 def arabic_names(records: DataFrame, key: str, value: str) -> DataFrame:

@@ -8,6 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.places import numbered
+from ..plans.storage import saver
+
 # Fixed values of the model.
 SHRINK, SHRINK_EFFECT, CLIP, OUTLIER, ROUNDS, CALIBRATION = 4.0, 25.0, 0.6, math.log(2.5), 5, 50
 BAND, LEAST = (math.log(0.75), math.log(1.25)), math.log(1.10)
@@ -137,14 +140,15 @@ def naive(units: DataFrame) -> DataFrame:
     """Each unit's error against the median of the others of its class and district (five at least).
 
     The median without one member follows from the group's sorted prices and the member's
-    rank: only the two or three middle values are looked at.
+    rank: only the two or three middle values are looked at. Ranks come from places in the
+    whole table, so that a district of any size is not sorted in one task.
     """
-    from pyspark.sql import Window
-
-    g = Window.partitionBy("cls", F.lower("district"))
-    u = units.withColumns({"r": F.row_number().over(g.orderBy("y", "id")), "n": F.count(F.lit(1)).over(g)})
-    mid = u.where("abs(2 * r - n - 1) <= 3").groupBy("cls", F.lower("district").alias("dk")).agg(F.map_from_entries(F.collect_list(F.struct("r", "y"))).alias("m"))
-    j = u.withColumn("dk", F.lower("district")).join(mid, ["cls", "dk"]).where("n >= 6")
+    u = units.select("id", "cls", F.lower("district").alias("dk"), "y")
+    u = numbered(u, ["cls", "dk", "y", "id"], saver(units.sparkSession), "naive")
+    groups = u.groupBy("cls", "dk").agg(F.min("place").alias("first"), F.count(F.lit(1)).cast("int").alias("n")).where("n >= 6")
+    u = u.join(groups, ["cls", "dk"]).withColumn("r", (F.col("place") - F.col("first") + 1).cast("int"))
+    mid = u.where("abs(2 * r - n - 1) <= 3").groupBy("cls", "dk").agg(F.map_from_entries(F.collect_list(F.struct("r", "y"))).alias("m"))  # four at most
+    j = u.join(mid, ["cls", "dk"])
     at = lambda k: F.try_element_at("m", F.when(F.col("r") <= k, k + 1).otherwise(k).cast("int"))
     lo, hi = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") + 1) / 2).cast("int")
     return j.select("id", F.abs(F.exp(F.col("y") - (at(lo) + at(hi)) / 2) - 1).alias("naive_error"))

@@ -140,7 +140,7 @@ def best_of(items: DataFrame, key: str, values: list[str]) -> DataFrame:
 def compounds(resale: DataFrame, matched: DataFrame) -> DataFrame:
     """A row for each compound with resale units."""
     items = resale.where("compound_key <> ''")
-    head = best_of(items, "compound_key", ["compound", "district", "developer_key", "developer"])
+    head = best_of(items, "compound_key", ["compound", "district", "developer_key", "developer", *(c for c in ("compound_ar", "developer_ar") if c in items.columns)])
     prices = developer_prices(matched.where("compound_key IS NOT NULL"), items, ["compound_key"])
     return profile(items, ["compound_key"]).join(head, "compound_key").join(prices, "compound_key", "left").withColumn("district_key", T.slug(F.col("district")))
 
@@ -151,7 +151,7 @@ def developers(resale: DataFrame, matched: DataFrame, compound_rows: DataFrame)
     own = compound_rows.where("developer_key <> ''").select("compound_key", "developer_key")
     units = matched.where("compound_key IS NOT NULL").join(own, "compound_key")
     n = own.groupBy("developer_key").agg(F.count(F.lit(1)).alias("compound_count"))
-    head = best_of(items, "developer_key", ["developer"])
+    head = best_of(items, "developer_key", ["developer", *(c for c in ("developer_ar",) if c in items.columns)])
     prices = developer_prices(units, items, ["developer_key"])
     return profile(items, ["developer_key"]).join(head, "developer_key").join(n, "developer_key", "left").join(prices, "developer_key", "left").withColumn("compound_count", F.coalesce("compound_count", F.lit(0)))
 

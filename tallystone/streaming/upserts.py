@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import cdc
+from ..operators.publish import bounded
 
 #: Buckets of the state: a micro-batch rewrites only those that it touches.
 BUCKETS = 64
@@ -42,6 +43,27 @@ def state_of(spark: SparkSession, path: str, initial: DataFrame, before: int | N
     return spark.read.schema(schema).parquet(*parts).select(*initial.columns) if parts else initial.limit(0)
 
 
+def _parts(spark: SparkSession, path: str) -> list[int]:
+    """Buckets that have files below path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at) if s.isDirectory()]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("bucket="))
+
+
+def _touched(state: DataFrame, rows: DataFrame, ended: DataFrame | None, known: dict[int, int], buckets: int) -> list[int]:
+    """Buckets that a batch changes: those of its listings, and those where a scope that ended has something to remove.
+
+    To find the latter, four narrow columns of the state are read; the rest stays where it is.
+    """
+    if not known:
+        return list(range(buckets))
+    found = rows.select(_bucket(buckets).alias("b"))
+    if ended is not None:
+        unseen = state.where("status = 'active'").join(F.broadcast(bounded(ended)), ["source", "scope_key"]).where("last_seen_at < cutoff")
+        found = found.union(unseen.select(_bucket(buckets).alias("b")))
+    return sorted(r.b for r in found.distinct().collect())  # `buckets` numbers at most
+
+
 def fold(batch: DataFrame, epoch: int, path: str, initial: DataFrame, buckets: int = BUCKETS) -> None:
     """One micro-batch becomes new contents of the buckets that it touches, and versions.
 
@@ -58,27 +80,30 @@ def fold(batch: DataFrame, epoch: int, path: str, initial: DataFrame, buckets: i
     known = {}
     if before := [n for n in done if n < epoch]:
         known = {r.bucket: r.epoch for r in spark.read.parquet(f"{path}/commits/epoch={before[-1]}").collect()}
-    marks = batch.where("end_of_scope") if "end_of_scope" in batch.columns else None
-    rows = batch.where("NOT coalesce(end_of_scope, false)").drop("end_of_scope", "scope_started") if marks is not None else batch
-    now = batch.agg(F.max("observed_at")).first()[0]
-    if now is not None or not known:
-        state = state_of(spark, path, initial, epoch)
-        # Scopes lie across buckets; listings only in their own.
-        all_of = not known or (marks is not None and not marks.isEmpty())
-        touched = list(range(buckets)) if all_of else [r.b for r in rows.select(_bucket(buckets).alias("b")).distinct().collect()]
-        state = state.where(_bucket(buckets).isin(*touched))
-        versions = None
-        if now is not None:
-            at = F.lit(now).cast("timestamp")
-            state, versions = cdc.apply_upsert(state, cdc.last_in_batch(rows, "observed_at"), at)
-            if marks is not None:
-                cutoff = marks.groupBy("source", "scope_key").agg(F.max("scope_started").alias("cutoff"))
-                marked = cdc.mark_removals(state, cutoff, at)
-                versions, state = versions.unionByName(cdc.removal_versions(marked)), marked.drop("removed_now", "removed_at")
-            versions.write.mode("overwrite").parquet(f"{path}/versions/epoch={epoch}")
-        state.withColumn("bucket", _bucket(buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/state/epoch={epoch}")
-        written = {r.bucket for r in spark.read.parquet(f"{path}/state/epoch={epoch}").select("bucket").distinct().collect()} if not state.isEmpty() else set()
-        known = {b: e for b, e in known.items() if b not in touched} | {b: epoch for b in written}
+    batch = batch.persist()  # read several times below
+    try:
+        marks = batch.where("end_of_scope") if "end_of_scope" in batch.columns else None
+        rows = batch.where("NOT coalesce(end_of_scope, false)").drop("end_of_scope", "scope_started") if marks is not None else batch
+        now = batch.agg(F.max("observed_at")).first()[0]
+        if now is not None or not known:
+            state = state_of(spark, path, initial, epoch)
+            ended = None
+            if marks is not None and not marks.isEmpty():
+                ended = marks.groupBy("source", "scope_key").agg(F.max("scope_started").alias("cutoff"))
+            touched = _touched(state, rows, ended, known, buckets)
+            state = state.where(_bucket(buckets).isin(*touched))
+            if now is not None:
+                at = F.lit(now).cast("timestamp")
+                state, versions = cdc.apply_upsert(state, cdc.last_in_batch(rows, "observed_at"), at)
+                if ended is not None:
+                    marked = cdc.mark_removals(state, ended, at)
+                    versions, state = versions.unionByName(cdc.removal_versions(marked)), marked.drop("removed_now", "removed_at")
+                versions.write.mode("overwrite").parquet(f"{path}/versions/epoch={epoch}")
+            state.withColumn("bucket", _bucket(buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/state/epoch={epoch}")
+            written = _parts(spark, f"{path}/state/epoch={epoch}")
+            known = {b: e for b, e in known.items() if b not in touched} | {b: epoch for b in written}
+    finally:
+        batch.unpersist()
     commit = spark.createDataFrame(sorted(known.items()), "bucket int, epoch long")
     commit.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/epoch={epoch}")  # last: its _SUCCESS commits the batch
     # The commit before this one may still be read, or be the one to go back to.
