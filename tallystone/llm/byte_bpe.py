@@ -138,7 +138,7 @@ def encode_native(docs: DataFrame, path: str | None = None, pattern: str = publi
     ignored. A word of n bytes costs time in proportion to n squared.
     """
     codec = Codec(path or public_tokenizers.path(VOCABULARY))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known, ids, back = memo(rows, codec, pattern, memo_slots)
     code = lambda i, t: F.struct(i.alias("ids"), t.alias("text"))
 

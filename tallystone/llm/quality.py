@@ -88,6 +88,16 @@ class Machine:
         squares = np.bincount(row, (vx**2).sum(1), n)
         return self.bias + np.bincount(row, self.w[col] * x, n) + 0.5 * ((s**2).sum(1) - squares), s
 
+    def gradients(self, parts: list, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the mean weighted logistic loss, by the bias, the weights and the factors."""
+        row, col, x = self.rows(parts)
+        z, s = self.logits(row, col, x, len(parts))
+        g = (weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) / len(parts)).astype(np.float32)
+        gx = g[row] * x
+        inner = gx[:, None] * (s[row] - self.v[col] * x[:, None])
+        n = len(self.w)
+        return np.array([g.sum()]), np.bincount(col, gx, n), np.stack([np.bincount(col, inner[:, f], n) for f in range(self.v.shape[1])], 1)
+
     def scores(self, parts) -> np.ndarray:
         if not parts:
             return np.zeros(0)
@@ -112,15 +122,9 @@ def fit(parts: list, label: np.ndarray, rank: int = RANK, passes: int = PASSES,
         order = rng.permutation(len(parts))
         for at in range(0, len(order), 128):
             pick = order[at : at + 128]
-            row, col, x = m.rows([parts[i] for i in pick])
-            z, s = m.logits(row, col, x, len(pick))
-            g = (weight[pick] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[pick]) / len(pick)).astype(np.float32)
-            gx = g[row] * x
-            gw = np.bincount(col, gx, size)
-            inner = gx[:, None] * (s[row] - m.v[col] * x[:, None])
-            gv = np.stack([np.bincount(col, inner[:, f], size) for f in range(rank)], 1)
+            g, gw, gv = m.gradients([parts[i] for i in pick], label[pick], weight[pick])
             step += 1
-            for j, grad in enumerate((np.array([g.sum()]), gw + decay * m.w, gv + decay * m.v)):
+            for j, grad in enumerate((g, gw + decay * m.w, gv + decay * m.v)):
                 moment[j] += 0.1 * (grad - moment[j])
                 square[j] += 0.001 * (grad**2 - square[j])
                 theta[j] -= rate / (1 + epoch) * (moment[j] / (1 - 0.9**step)) / (np.sqrt(square[j] / (1 - 0.999**step)) + 1e-8)
