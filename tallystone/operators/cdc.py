@@ -28,7 +28,9 @@ def _plain(number: Column) -> Column:
 
 def _json(name: str, kind: str) -> Column:
     c = F.col(name)
-    quoted = lambda x: F.when(x.isNotNull(), F.regexp_extract(F.to_json(F.struct(x.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1))
+    # Most texts have nothing that JSON escapes, and are quoted as they are.
+    escaped = lambda x: F.regexp_extract(F.to_json(F.struct(x.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    quoted = lambda x: F.when(x.isNotNull(), F.when(x.rlike(r'["\\\\\x00-\x1f]'), escaped(x)).otherwise(F.concat(F.lit('"'), x, F.lit('"'))))
     if name == "images":
         items = F.from_json(c, "array<string>") if kind == "string" else c
         text = F.concat(F.lit("["), F.array_join(F.transform(items, quoted), ", "), F.lit("]"))
