@@ -107,6 +107,12 @@ def negotiable(text: Column) -> Column:
     return F.coalesce(text.rlike(r"(?i)قابل للتفاوض|negotiable|أو بأقرب|او بأقرب"), F.lit(False))
 
 
+def parse_price(text: Column) -> Column:
+    """price and negotiable of a text; null and false of an empty one."""
+    said = F.coalesce(text, F.lit("")) != ""
+    return F.struct(F.when(said, parse_number(text)).alias("price"), (said & negotiable(text)).alias("negotiable"))
+
+
 def parse_count(text: Column) -> Column:
     """A number of rooms: the first integer, an Arabic dual, or a number word."""
     t = western_digits(text)
@@ -137,6 +143,11 @@ def resale_evidence(text: Column) -> Column:
     return L.first_match(L.RESALE_PATTERNS, text, lower=False)
 
 
+def classify_resale(text: Column) -> Column:
+    """is_resale (true, or null where nothing tells) and its evidence."""
+    return let(resale_evidence(text), lambda e: F.struct(F.when(e.isNotNull(), True).alias("is_resale"), e.alias("evidence")))
+
+
 def governorate(text: Column) -> Column:
     return L.lookup(L.GOVERNORATES, F.trim(text))
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,7 +185,11 @@ def inventory_diff(inventory: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def renormalize(state: DataFrame, parse: Callable, schema: str) -> DataFrame:
-    """Stored payloads parsed again: parse maps a pandas frame of (source_listing_id, raw) to rows of schema; no versions."""
+    """Stored payloads parsed again, in place: no versions, and times stay. With changed, whether a row's content did.
+
+    parse maps a pandas frame of (source, source_listing_id, raw) to rows of schema, of which
+    those with another id than their payload's are left out.
+    """
     parsed = state.where("raw IS NOT NULL").select("source", "source_listing_id", "raw").mapInPandas(lambda it: (parse(p) for p in it), schema)
     fields = [c for c in parsed.columns if c in CONTENT]
     j = state.join(parsed.select(*KEY, F.struct(*fields).alias("p")), KEY, "left")
@@ -216,6 +221,23 @@ def backfill(state: DataFrame, facts: DataFrame) -> DataFrame:
     return j.withColumns({c: new(c) for c in fields}).drop("f")
 
 
+def backfill_extracted(state: DataFrame, extract: Callable[[pd.Series], pd.DataFrame], schema: str, column: str = "description") -> DataFrame:
+    """backfill with the facts that extract reads from a column: it maps a series of texts to a frame of schema, a row for each. With changed, whether a row took any."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def facts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = extract(f["text"].reset_index(drop=True))[names]
+            yield pd.concat([f[KEY].reset_index(drop=True), found.reset_index(drop=True)], axis=1)
+
+    texts = state.where(F.col(column).isNotNull()).select(*KEY, F.col(column).alias("text"))
+    found = texts.mapInPandas(facts, f"source string, source_listing_id string, {schema}")
+    own = [n for n in names if n in CONTENT and n in state.columns]
+    after = backfill(state, found).select(*state.columns)
+    was = state.select(*KEY, F.struct(*own).alias("_was"))
+    return after.join(was, KEY).withColumn("changed", ~F.struct(*own).eqNullSafe(F.col("_was"))).drop("_was")
+
+
 def run_status(runs: DataFrame) -> DataFrame:
     """completed, partial or failed: of seen, complete, n_errors and crashed."""
     ok = F.col("complete") & (F.col("n_errors") == 0)
