@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from .catalog import _PROFILE, _PROFILE_COLUMNS, _SLUG, COMPARED, ELIGIBLE, _aliases, _query, _snap
 from .functions import text as T
-from .operators import clean, compare, entities, publish, replay, resolution, rollup, survival, term_index, trends
+from .operators import cdc, clean, compare, entities, publish, replay, resolution, rollup, survival, term_index, trends
 from .plans import adapter, checkpoints, incremental
 from .plans.adapter import LATEST, LISTING_SQL, table
 from .plans.storage import folder, saver
-from .sources import paging
+from .sources import paging, runs
+from .sources.readers import Run
 
 _NOW = "2001-08-02"
 
@@ -121,6 +122,38 @@ _query("paged_runs", None, _RUNS)(
     lambda s, d: paging.closed(_attempts(s, d)).select("run_id", "pages_fetched", "seen", F.col("end").cast("long").alias("end"), "kind", "complete", F.array_join("errors", ", ").alias("errors"))
 )
 
+# ---- whole runs, payloads parsed again ---------------------------------------------------------------
+
+
+def _whole_run(s, d):
+    """A later crawl of one source: batches in order, what is present confirmed, scopes of one region ended."""
+    x = adapter.listings(s, d).where("source = 'portal'")
+    price = F.when(F.col("id") % 11 == 0, F.bround(F.col("price") * 0.95)).otherwise(F.col("price"))
+    rows = x.where("id % 13 <> 0").withColumn("price", price).withColumn("arrival", F.col("id")).drop("source", "status", "first_seen_at", "last_seen_at", "id")
+    scopes = tuple(r.scope_key for r in x.where("scope_key LIKE 'ASIA/%'").select("scope_key").distinct().collect())  # one for each kind of unit
+    present = x.where("id % 13 = 0 AND id % 2 = 0").select("source_listing_id")
+    run = Run(rows, True, scopes, present)
+    out = runs.run_source("portal", run, x.where("id % 17 <> 0").drop("id"), f"{_NOW} 00:00:00", f"{_NOW} 06:00:00", batch=50_000)
+    kinds = out.versions.groupBy("source_listing_id").agg(F.array_join(F.array_sort(F.collect_list("change_type")), ",").alias("versions"))
+    return out.state.join(kinds, "source_listing_id", "left").select(F.col("source_listing_id").cast("long").alias("id"), "status", "price", F.coalesce("versions", F.lit("")).alias("versions"))
+
+
+_query("whole_run", LISTING_SQL, """, w AS (SELECT *, id % 17 <> 0 AS known, id % 13 <> 0 AS crawled, CASE WHEN id % 13 <> 0 AND id % 11 = 0 THEN round_even(price * 0.95, 0) ELSE price END AS now_price,
+    status = 'active' AND scope_key LIKE 'ASIA/%' AND id % 13 = 0 AND id % 2 = 1 AS gone FROM listing WHERE source = 'portal')
+SELECT id, CASE WHEN crawled THEN 'active' WHEN gone THEN 'removed' ELSE status END AS status, now_price AS price,
+  CASE WHEN crawled AND NOT known THEN 'created' WHEN crawled AND status = 'removed' THEN 'relisted' WHEN crawled AND now_price <> price THEN 'updated' WHEN gone AND NOT crawled THEN 'removed' ELSE '' END AS versions FROM w WHERE known OR crawled""")(_whole_run)
+
+
+def _parsed_again(s, d):
+    def parse(frame):
+        return frame[["source", "source_listing_id"]].assign(title="parsed " + frame["raw"])
+
+    x = adapter.listings(s, d).withColumn("raw", F.when(F.col("id") % 2 == 0, F.col("source_listing_id")))
+    return cdc.renormalize(x, parse, "source string, source_listing_id string, title string").select("id", "title", "changed")
+
+
+_query("parsed_again", LISTING_SQL, "SELECT id, CASE WHEN id % 2 = 0 THEN 'parsed ' || id ELSE title END AS title, id % 2 = 0 AS changed FROM listing")(_parsed_again)
+
 # ---- names in Arabic -------------------------------------------------------------------------------
 
 

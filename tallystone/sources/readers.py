@@ -103,4 +103,25 @@ def _inventory(spark: SparkSession, path: str, details: str, budget: int = 200,
     return Run(offers(spark.read.parquet(details).join(ids, "source_listing_id", "left_semi")), present=entries.select(F.col("id").alias("source_listing_id")))
 
 
+@register("microdata")
+def _microdata(spark: SparkSession, path: str, details: str, **_) -> Run:
+    """Cards with microdata, and the structured data of each one's own page where that was read."""
+    from .cards import card_listings, cards, with_detail
+
+    return Run(with_detail(card_listings(cards(spark.read.parquet(path))), spark.read.parquet(details)))
+
+
+@register("hinted")
+def _hinted(spark: SparkSession, path: str, details: str, hub: str, budget: int = 200, least: int = 100, evidence: str = "listed on a resale page", **_) -> Run:
+    """A sitemap's newest entries with their pages; those that a hub page lists are resales, and every entry is present."""
+    from .cards import newest, offers, with_hints
+    from .pages import sitemap
+
+    entries = sitemap(spark.read.parquet(path), least)
+    ids = newest(entries, budget).select(F.col("id").alias("source_listing_id"))
+    rows = offers(spark.read.parquet(details).join(ids, "source_listing_id", "left_semi"))
+    rows = rows.withColumns({"is_resale": F.lit(None).cast("boolean"), "resale_evidence": F.lit(None).cast("string")})
+    return Run(with_hints(rows, spark.read.parquet(hub), evidence), present=entries.select(F.col("id").alias("source_listing_id")))
+
+
 from .stored import ListingSource  # noqa: E402, F401  (the stored-page format is part of this registry)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallystone.functions import text as T
 from tallystone.operators import cdc, publish
-from tallystone.sources import runs
+from tallystone.sources import readers, runs
 from tallystone.sources.readers import Run
 
 SCHEMA = "source string, source_listing_id string, title string, price double, scope_key string"
@@ -93,3 +93,19 @@ def test_prices_resales_and_digests(spark):
     a = spark.range(50).withColumn("x", F.col("id") % 3)
     d = lambda df: publish.fingerprint(df).first()
     assert d(a) == d(a.repartition(3)) and d(a) != d(a.union(a.limit(1))) and d(a.union(a.limit(1)).union(a.limit(1))) != d(a) and d(a.limit(0)).n == 0
+
+
+def test_readers_that_chain(spark, tmp_path):
+    xml = "".join(f"<url><loc>https://a.example.com/unit/{n}</loc></url>" for n in range(1, 6))
+    spark.createDataFrame([(xml,)], "xml string").write.parquet(f"{tmp_path}/map")
+    page = '<li class="product-offer-item"><strong>Area</strong><small>{} m2</small></li>'
+    spark.createDataFrame([(str(n), page.format(10 * n)) for n in range(1, 6)], "source_listing_id string, html string").write.parquet(f"{tmp_path}/pages")
+    spark.createDataFrame([("4",), ("1",)], "source_listing_id string").write.parquet(f"{tmp_path}/hub")
+    run = readers.read(spark, "hinted", path=f"{tmp_path}/map", details=f"{tmp_path}/pages", hub=f"{tmp_path}/hub", budget=3, least=1)
+    assert sorted((r.source_listing_id, r.area_m2, r.is_resale) for r in run.rows.collect()) == [("3", 30.0, None), ("4", 40.0, True), ("5", 50.0, None)]
+    assert run.present.count() == 5 and {"hinted", "microdata"} <= set(readers.names())
+    card = '<article class="card"><a class="card-link" href="https://a.example.com/unit/7">x</a><meta itemprop="price" content="900"></article>'
+    spark.createDataFrame([(1, card)], "page_id long, html string").write.parquet(f"{tmp_path}/cards")
+    spark.createDataFrame([("7", '<script type="application/ld+json">{"offers": {"price": "950", "seller": {"telephone": "010"}}}</script>')], "source_listing_id string, html string").write.parquet(f"{tmp_path}/ld")
+    r = readers.read(spark, "microdata", path=f"{tmp_path}/cards", details=f"{tmp_path}/ld").rows.first()
+    assert (r.source_listing_id, r.price, r.phone) == ("7", 950.0, "010")
