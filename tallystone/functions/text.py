@@ -25,7 +25,13 @@ _ARABIC_NOISE = (
     "(شركة|شركه|للتطوير|التطوير|العقاري|العقارية|العقارى|للتنمية|العمراني|العمرانية|جروب|مجموعة|"
     "القابضة|للاستثمار|للإسكان|والتعمير|ديفلوبمنتس|ديفيلوبمنتس|ايجيبت|إيجيبت)"
 )
+# Words for a compound; letters (and digits) that count as the same, in order; what says that a price is open;
+# the dual form of nouns; what stands for a value that is not there.
 _COMPOUND_WORDS = r"(?<![\p{L}\p{N}_])(compound|كمبوند|كومبوند|كمباوند|مشروع|project)(?![\p{L}\p{N}_])"
+_LETTERS, _AS_LETTERS = "أإآٱىةؤئ٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "اااايهوي01234567890123456789"
+_OPEN_PRICE = r"(?i)قابل للتفاوض|negotiable|أو بأقرب|او بأقرب"
+_DUAL = r"(\S+)ين(?![\p{L}\p{N}_])|غرفتين|حمامين|اثنين"
+_MISSING = ("", "-", "unknown", "n/a", "null")
 
 
 def squeeze(text: Column) -> Column:
@@ -104,7 +110,7 @@ def parse_number(text: Column) -> Column:
 
 
 def negotiable(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"(?i)قابل للتفاوض|negotiable|أو بأقرب|او بأقرب"), F.lit(False))
+    return F.coalesce(text.rlike(_OPEN_PRICE), F.lit(False))
 
 
 def parse_price(text: Column) -> Column:
@@ -117,7 +123,7 @@ def parse_count(text: Column) -> Column:
     """A number of rooms: the first integer, an Arabic dual, or a number word."""
     t = western_digits(text)
     digits = or_null(F.regexp_extract(t, r"[0-9]+", 0)).try_cast("int")
-    dual = F.when(t.rlike(r"(\S+)ين(?![\p{L}\p{N}_])|غرفتين|حمامين|اثنين"), F.lit(2))
+    dual = F.when(t.rlike(_DUAL), F.lit(2))
     words = F.coalesce(*(F.when(F.contains(t, F.lit(w)), F.lit(n)) for w, n in L.COUNT_WORDS.items()))
     return F.when(text != "", F.coalesce(digits, dual, words))
 
@@ -196,7 +202,7 @@ def developer_key(name: Column) -> Column:
 def fold(text: Column) -> Column:
     """A spelling without case, diacritics, letter variants and separators; empty for null."""
     t = F.regexp_replace(F.lower(text), r"[ً-ٰٟـ]", "")
-    t = F.translate(t, "أإآٱىةؤئ٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "اااايهوي01234567890123456789")
+    t = F.translate(t, _LETTERS, _AS_LETTERS)
     return F.coalesce(F.regexp_replace(F.regexp_replace(t, _COMPOUND_WORDS, " "), r"[^\p{L}\p{N}]+", ""), F.lit(""))
 
 
@@ -236,7 +242,7 @@ def matches(query: str, *values: Column) -> Column:
 
 
 def is_missing(value: Column) -> Column:
-    return value.isNull() | F.lower(F.trim(value.cast("string"))).isin("", "-", "unknown", "n/a", "null")
+    return value.isNull() | F.lower(F.trim(value.cast("string"))).isin(*_MISSING)
 
 
 def listing_text(title: Column, description: Column) -> Column:
