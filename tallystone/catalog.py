@@ -225,7 +225,18 @@ SELECT id, row_number() OVER (PARTITION BY id ORDER BY dist, other_id) AS positi
 _query("comparables_topk", COMPARED, _COMPARABLES)(lambda s, d: (lambda z: compare.comparables(z.resolved, z.default))(_snap(s, d)).select("id", F.col("position").cast("long").alias("position"), "other_id", "cash_ppm"))
 
 
-@_query("evaluate_batch")
+_KEYS = "keys AS (SELECT compound_key AS key, any_value(compound_display) AS name, count(*) AS n FROM res WHERE is_resale AND compound_key <> '' GROUP BY 1)"
+_ASKED = f"""{MATCHED}, {_KEYS},
+ask0 AS (SELECT id AS request_id, CASE property_type WHEN 'apartments' THEN 'apartment' ELSE property_type END AS kind, area_m2, price, down_payment, CAST(installment_months AS DOUBLE) AS m, lower(compound) AS wanted,
+    down_payment IS NOT NULL AND installment_months IS NOT NULL AS has_plan FROM listing WHERE area_m2 >= 20),
+asked AS (SELECT a.*, -request_id - 1 AS id, coalesce(k.key, v.key, '') AS compound_key, round_even(price / area_m2, 0) AS price_per_m2, 'finished' AS finishing_class, NULL::INTEGER AS contract_year,
+    CASE WHEN has_plan THEN round_even(down_payment + greatest(0.0, price - down_payment) * ({_Q} * (1 - pow({_Q}, {_N})) / (1 - {_Q}) / {_N}), 0) ELSE round_even(price, 0) END AS cash_equivalent
+  FROM ask0 a LEFT JOIN keys k ON k.key = {_SLUG.format("a.wanted")} LEFT JOIN (SELECT lower(name) AS name, arg_min(key, n) AS key FROM keys GROUP BY 1) v ON v.name = a.wanted),
+""" + COMPARED[COMPARED.index("pp AS (SELECT a.id") :].replace("FROM res a JOIN", "FROM asked a JOIN").replace("FROM res r LEFT JOIN peers", "FROM asked r LEFT JOIN peers")
+
+
+@_query("evaluate_batch", _ASKED[: _ASKED.rindex(",\nresale AS")], """SELECT request_id, CASE WHEN compound_key = '' THEN 'compound_not_found' ELSE 'compared' END AS status, compound_key, cash_equivalent, '1_2y' AS delivery_bucket, launch_gap, peer_gap, peer_count, level, score,
+    concat_ws(',', CASE WHEN dev THEN 'developer' END, CASE WHEN peer THEN 'peers' END) AS signals FROM units""")
 def _evaluate(s, d):
     z = _snap(s, d)
     o = adapter.listings(s, d)

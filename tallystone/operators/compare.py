@@ -195,5 +195,7 @@ def evaluate(requests: DataFrame, compounds: DataFrame, resale: DataFrame, match
     r = r.select("*", M.payment_terms(F.col("price"), F.col("down"), F.col("months"), F.when(plan, F.lit(True)), F.lit(True)).alias("payment")).select("*", "payment.*").drop("payment")
     date = F.when(F.col("delivery").rlike("^[0-9]{4}$"), F.concat("delivery", F.lit("-06-30"))).when(F.col("delivery").rlike("^[0-9]{4}-[0-9]{2}$"), F.concat("delivery", F.lit("-01")))
     r = r.withColumns({"id": -F.col("request_id") - 1, "price_per_m2": F.bround(F.col("price") / F.col("area_m2")), "finishing_class": T.finishing_class(F.col("finishing")), "contract_year": F.lit(None).cast("int"), "when": M.delivery(date, F.when(F.lower("delivery") == "ready", "ready"), today)})
+    # Saved: comparisons read the requests often, and their expressions would be compiled into each.
+    r = saver(requests.sparkSession)(r, "asked")
     out = compare(r, resale, matched, today).withColumn("status", F.when(F.col("compound_key") == "", "compound_not_found").otherwise("compared"))
     return out.select("request_id", "status", "compound_key", "cash_equivalent", F.col("when.bucket").alias("delivery_bucket"), "launch_gap", "peer_gap", "peer_count", "level", "score", "signals")
