@@ -3,9 +3,10 @@
 1. Documents with one set of shingles form a class; only its representative goes on.
 2. Each tree of the forest is a table of labels (MinHash values of a representative, in
    order): the sorted form of a prefix trie, in which the labels below a prefix stand
-   together. Whole labels are matched first, then ever shorter prefixes, until the recall
-   reaches its target: that of the worst link by its probability, and that of the links
-   found so far, by capture and recapture between the halves of the forest.
+   together. Whole labels and prefixes are matched together down to the depth at which the
+   worst link's probability reaches the target recall, then ever shorter prefixes, until
+   that of the links found so far does, by capture and recapture between the halves of the
+   forest.
 3. Below a prefix, every representative is compared exactly with the first one (a star,
    not all pairs). Members at similarity 0.6 or more belong to the first one's cluster: by
    the triangle inequality a link to a member linked to it cannot be further away. What
@@ -141,44 +142,40 @@ def forest_edges(keyed: DataFrame, reps: DataFrame, trees: int, label: int, reca
     # Sorted tables of labels are the tries; the parquet files keep the order.
     forest = saved(forest.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label"), f"{work}/forest")
 
-    def below(depth: int) -> DataFrame:
-        """key, node, v of the prefixes of a depth that have two members or more."""
-        g = forest.select(F.expr(f"concat(unhex(hex(tree)), substring(label, 1, {4 * depth}))").alias("key"), "node")
+    def below(*depths: int) -> DataFrame:
+        """key, node, v of the prefixes of some depths that have two members or more."""
+        prefixes = F.array(*(F.expr(f"concat(unhex(hex({d})), unhex(hex(tree)), substring(label, 1, {4 * d}))") for d in depths))
+        g = forest.select(F.explode(prefixes).alias("key"), "node")
         hubs = g.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        return _grouped(g, saved(hubs, f"{work}/hubs{depth}"))
+        return _grouped(g, saved(hubs, f"{work}/hubs{depths[0]}"))
 
     def sets_of(nodes: DataFrame, name: str) -> DataFrame:
         want = reps.hint("merge").join(nodes, "node", "left_semi").select("node", "id", "tag", "labels")
         # Merged by key at every size: members grow with the input, so that side is never broadcast.
         return saved(keyed.hint("merge").join(want, ["id", "tag"]).dropDuplicates(["id", "tag"]).select("node", "text", "labels").mapInArrow(_member_sets, "node long, shingles binary, labels array<binary>"), f"{work}/{name}")
 
-    depth, known, sets, found = label, None, None, 1.0
     least = label
     while least > 1 and chance(least, trees, NUM / DEN) < recall:
         least -= 1
-    while True:
-        groups = saved(below(depth), f"{work}/below{depth}")
-        if sets is None:
-            sets = sets_of((below(least) if least < depth else groups).select("node").distinct(), "sets")
-        elif depth < least:
-            more = groups.select("node").distinct().hint("merge").join(sets.select("node"), "node", "left_anti")
-            sets = sets.unionByName(sets_of(more, f"sets{depth}"))
-        new = _stars(groups)
-        new = new if known is None else new.hint("merge").join(known, ["u", "v"], "left_anti")
-        new = saved(_verified(new, sets), f"{work}/stars{depth}")
-        known = new if known is None else known.unionByName(new)
-        if depth <= least:
-            found = measured_recall(known, depth)
-        if depth == 1 or (depth <= least and found >= recall):
-            break
+    # The depths that the worst link needs in any case go together: they share their shuffles.
+    groups = saved(below(*range(least, label + 1)), f"{work}/below{least}")
+    sets = sets_of(groups.select("node").distinct(), "sets")
+    known = saved(_verified(_stars(groups), sets), f"{work}/stars{least}")
+    groups, depth = groups.where(f"substring(key, 1, 1) = unhex(hex({least}))"), least
+    while depth > 1 and measured_recall(known, depth) < recall:
         depth -= 1
+        groups = saved(below(depth), f"{work}/below{depth}")
+        more = groups.select("node").distinct().hint("merge").join(sets.select("node"), "node", "left_anti")
+        sets = sets.unionByName(sets_of(more, f"sets{depth}"))
+        new = _stars(groups).hint("merge").join(known, ["u", "v"], "left_anti")
+        known = known.unionByName(saved(_verified(new, sets), f"{work}/stars{depth}"))
     # What is not linked to a prefix's first member, where some of it is too far for its cluster.
-    known = saved(known, f"{work}/known")
     for k in range(PARTINGS):
         groups = saved(_left_over(groups, known, f"{work}/far{k}"), f"{work}/left{k}")
         if groups.isEmpty():
             break
-        known = saved(known.unionByName(_verified(_stars(groups).hint("merge").join(known, ["u", "v"], "left_anti"), sets)), f"{work}/known{k}")
+        new = _stars(groups).hint("merge").join(known, ["u", "v"], "left_anti")
+        known = known.unionByName(saved(_verified(new, sets), f"{work}/known{k}"))
     edges = known.where(_linked(2)).select("u", "v")
     rest = saved(_left_over(groups, known, f"{work}/far"), f"{work}/rest") if not groups.isEmpty() else groups
     return edges.unionByName(_stars(rest))

@@ -226,3 +226,15 @@ def test_empty(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
     assert substring_dedup.substring_dedup(empty).count() == 0
     assert jaccard_join.jaccard_join(empty).count() == 0
+
+
+def test_needed_depths_are_compared_together(spark, docs, monkeypatch):
+    """All depths of the forest down to the one that the worst link needs are one comparison; what was compared is not written again."""
+    compared, tables = [], []
+    verified, saved = jaccard_join._verified, jaccard_join.saved
+    monkeypatch.setattr(jaccard_join, "_verified", lambda e, s: compared.append(e) or verified(e, s))
+    monkeypatch.setattr(jaccard_join, "saved", lambda df, path: tables.append(path.rsplit("/", 1)[1]) or saved(df, path))
+    got = {r.doc_id: r.n_links for r in jaccard_join.jaccard_join(docs.where("doc_id IN (60, 61, 90, 91, 143, 144, 145)")).collect()}
+    assert got[143] == got[144] == 1 and got[145] == 0 and got[60] == got[61] >= 1
+    assert len(compared) <= 1 + jaccard_join.PARTINGS and tables.count("known") == 0
+    assert sum(t.startswith(("stars", "below")) for t in tables) == 2
