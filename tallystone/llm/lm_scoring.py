@@ -36,6 +36,15 @@ def shape_class(word: bytes) -> int:
     return WORDS + (min(len(word), 15) * 31 + (3 if word[:1].isupper() else 0) + word[-1] * 7) % MEMBERS
 
 
+def shape_classes(words: pa.Array) -> np.ndarray:
+    """shape_class of many words, from their lengths and their first and last bytes."""
+    words = words.cast(pa.large_binary())
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    first, last = data[at[:-1]], data[at[1:] - 1].astype(np.int64)
+    return WORDS + (np.minimum(np.diff(at), 15) * 31 + 3 * ((first >= 65) & (first <= 90)) + last * 7) % MEMBERS
+
+
 @dataclass
 class Network:
     """P(token) = P(class) P(member of class); both are softmaxes of a tanh layer over the context's embeddings."""
@@ -105,16 +114,15 @@ class Network:
         n, rows = len(target), np.arange(len(target))
         _, t, c, edges = self._by_class(target, context)
         h, m, small = self._hidden(c), t % MEMBERS, self._small()
-        d = _softmax(h @ self.top, small)
-        d[rows, t // MEMBERS] -= 1
-        d *= 1 / n
+        one = np.float32(1 / n) if h.dtype == np.float32 else 1 / n
+        d = _softmax(h @ self.top, small, one)
+        d[rows, t // MEMBERS] -= one
         g_top, g_h, g_low = h.T @ d, d @ self.top.T, {}
         for k in range(CLASSES):
             a, b = edges[k], edges[k + 1]
             if a < b:
-                e = _softmax(h[a:b] @ self.low[k], small)
-                e[rows[: b - a], m[a:b]] -= 1
-                e *= 1 / n
+                e = _softmax(h[a:b] @ self.low[k], small, one)
+                e[rows[: b - a], m[a:b]] -= one
                 g_low[k] = h[a:b].T @ e
                 g_h[a:b] += e @ self.low[k].T
         back = g_h[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
@@ -144,14 +152,20 @@ def _log_sum(z: np.ndarray, small: bool) -> np.ndarray:
     most = 0 if small else z.max(1)
     if not small:
         z -= most[:, None]
-    return most + np.log(np.exp(z, out=z).sum(1))
+    return most + np.log(_row_sums(np.exp(z, out=z)))
+
 
+def _row_sums(z: np.ndarray) -> np.ndarray:
+    """As a product, which is faster than a sum over short rows."""
+    return z @ np.ones(z.shape[1], z.dtype)
 
-def _softmax(z: np.ndarray, small: bool) -> np.ndarray:
+
+def _softmax(z: np.ndarray, small: bool, total: float) -> np.ndarray:
+    """Scaled so that each row adds up to total."""
     if not small:
         z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z *= 1 / z.sum(1, keepdims=True)
+    z *= (total / _row_sums(z))[:, None]
     return z
 
 
@@ -182,12 +196,29 @@ def vocabulary(counts: DataFrame) -> dict[bytes, int]:
     return {r.w.encode("utf-8", "surrogatepass"): k % (CLASSES - 1) * MEMBERS + k // (CLASSES - 1) for k, r in enumerate(top)}
 
 
-class _Symbols(dict):
+#: Words beyond the vocabulary that a task remembers.
+MEMO = 500_000
+
+
+class _Words(dict):
+    """The symbol of each word of the vocabulary; numbers from SYMBOLS on, in order of appearance, for other words."""
+
+    def __init__(self, words: dict):
+        super().__init__(words)
+        self.new: list[bytes] = []
+        self.shapes, self.hashes = np.zeros(0, np.uint16), np.zeros(0, np.int64)
+
     def __missing__(self, word: bytes) -> int:
-        s = shape_class(word)
-        if len(self) < 500_000:
-            self[word] = s
-        return s
+        at = self[word] = SYMBOLS + len(self.shapes) + len(self.new)
+        self.new.append(word)
+        return at
+
+    def looked_up(self) -> None:
+        """Shape classes and hashes of the new words: once a word, not once an occurrence."""
+        shapes = np.fromiter(map(shape_class, self.new), np.uint16, len(self.new))
+        self.shapes = np.concatenate([self.shapes, shapes])
+        self.hashes = np.concatenate([self.hashes, hash_words(self.new).view(np.int64)])
+        self.new = []
 
 
 _ENCODED = "at long, doc_id long, h long, n_tokens long, symbols binary, rare array<long>"
@@ -195,16 +226,24 @@ _ENCODED = "at long, doc_id long, h long, n_tokens long, symbols binary, rare ar
 
 def _encode(words: dict):
     def run(batches):
-        table = _Symbols(words)
+        table = _Words(words)
         for b in batches:
-            n, symbols, rare, ends = [], [], [], [0]
+            if len(table.shapes) > MEMO:
+                table = _Words(words)
+            ids = []
             for t in b["text"]:
                 w = words_of(t.as_py())
-                s = np.fromiter(map(table.__getitem__, w), np.uint16, len(w))
-                n.append(len(w)), symbols.append(s.tobytes())
-                rare.extend([w[k] for k in np.flatnonzero(s >= WORDS).tolist()])
-                ends.append(len(rare))
-            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hash_words(rare).view(np.int64), pa.int64()))
+                ids.append(np.fromiter(map(table.__getitem__, w), np.int32, len(w)))
+            table.looked_up()
+            n, symbols, rare = [], [], [np.zeros(0, np.int64)]
+            for k in ids:
+                beyond = k >= SYMBOLS
+                own = k[beyond] - SYMBOLS
+                s = k.astype(np.uint16)
+                s[beyond] = table.shapes[own]
+                n.append(len(k)), symbols.append(s.tobytes()), rare.append(table.hashes[own])
+            ends = np.cumsum([len(r) for r in rare])
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rare), pa.int64()))
             cols = [b["at"], b["doc_id"], b["h"], pa.array(n, pa.int64()), pa.array(symbols, pa.binary()), rare]
             yield pa.RecordBatch.from_arrays(cols, ["at", "doc_id", "h", "n_tokens", "symbols", "rare"])
 
@@ -317,13 +356,13 @@ class Model:
 
 def _shapes(batches):
     for b in batches:
-        shape = pa.array([shape_class(w.encode("utf-8", "surrogatepass")) for w in b["w"].to_pylist()], pa.int32())
-        yield pa.RecordBatch.from_arrays([b["n"], shape], ["n", "shape"])
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([b["n"], pa.array(shape_classes(b["w"]), pa.int32())], ["n", "shape"])
 
 
 def _word_hashes(batches):
     for b in batches:
-        h = hash_words([w.encode("utf-8", "surrogatepass") for w in b["w"].to_pylist()])
+        h = hash_words(b["w"].cast(pa.binary()).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64), pa.int64()), b["n"]], ["w", "n"])
 
 
@@ -357,10 +396,10 @@ def _score(network: Network, totals: dict[int, int]):
 def score_rows(rows: DataFrame, model: Model) -> DataFrame:
     """Scores of saved rows of encoded(). A word that the model's corpus lacks counts as one that occurs once."""
     out = rows.select("at", "doc_id", "n_tokens", "symbols").mapInArrow(_score(model.network, model.totals), "at long, doc_id long, n_tokens long, log_prob double")
-    # Merged by key at every size: the table of words grows with the corpus.
-    hashed = model.counts.mapInArrow(_word_hashes, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    rare = rows.select("at", F.explode("rare").alias("w")).hint("merge").join(hashed, "w", "left")
-    own = rare.groupBy("at").agg(F.sum(F.log(F.coalesce("n", F.lit(1)).cast("double"))).alias("own"))
+    # Merged by key at every size: the table of words grows with the corpus. A word that occurs once adds log 1, which is nothing.
+    hashed = model.counts.where("n > 1").mapInArrow(_word_hashes, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    rare = rows.select("at", F.explode("rare").alias("w")).hint("merge").join(hashed, "w")
+    own = rare.groupBy("at").agg(F.sum(F.log(F.col("n").cast("double"))).alias("own"))
     out = out.hint("merge").join(own, "at", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("own", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", "log_prob", F.expr("try_divide(log_prob, n_tokens)").alias("mean_log_prob"))
 

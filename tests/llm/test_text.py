@@ -156,6 +156,29 @@ def test_rare_words_have_their_own_probability(spark, monkeypatch):
     assert len(got) == 10 and s[5] == pytest.approx(s[8]) and s[5] - s[9] == pytest.approx(np.log(4), abs=1e-4)
 
 
+def test_encoding_looks_up_each_word_once(monkeypatch):
+    """Symbols and hashes of all occurrences, a hash worked out once a word; the memo ends at MEMO words and nothing changes."""
+    import pyarrow as pa
+
+    texts = ["one Zebra two Zebra one", None, "", "x Zebra ié two x ié", "y x one"] * 3
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, ids, pa.array(texts)], ["at", "doc_id", "h", "text"])
+    hashed, hash_words = [], lm_scoring.hash_words
+    monkeypatch.setattr(lm_scoring, "hash_words", lambda w: hashed.extend(w) or hash_words(w))
+    known = {b"one": 70, b"two": 5}
+    want = [[known[w] if w in known else lm_scoring.shape_class(w) for w in (t or "").encode().split()] for t in texts]
+    rare = [hash_words([w for w in (t or "").encode().split() if w not in known]).view(np.int64).tolist() for t in texts]
+    for memo in (500_000, 1):
+        monkeypatch.setattr(lm_scoring, "MEMO", memo, raising=False)
+        hashed.clear()
+        got = list(lm_scoring._encode(known)([batch.slice(0, 7), batch.slice(7)]))
+        assert [np.frombuffer(s, np.uint16).tolist() for b in got for s in b["symbols"].to_pylist()] == want
+        assert [r for b in got for r in b["rare"].to_pylist()] == rare and [n for b in got for n in b["n_tokens"].to_pylist()] == [len(w) for w in want]
+        assert len(hashed) == (4 if memo > 1 else 8)
+    words = pa.array(["", "A", "zz", "ié", "\N{CYRILLIC SMALL LETTER A}", "Z" * 40, "9x"])[1:]
+    assert lm_scoring.shape_classes(words).tolist() == [lm_scoring.shape_class(w.encode()) for w in words.to_pylist()]
+
+
 def test_gradient_by_differences():
     rng = np.random.default_rng(4)
     target, context = rng.integers(0, lm_scoring.SYMBOLS, 200), rng.integers(0, lm_scoring.SYMBOLS + 1, (4, 200))
