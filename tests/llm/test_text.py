@@ -309,6 +309,25 @@ def test_images_meet_all_of_a_bucket(spark, monkeypatch, block):
     assert len(links) > 60 and got == {i: (i % 3, sum(i in k for k in links)) for i in range(24)}
 
 
+def test_images_of_few_patches_meet_in_blocks(spark, monkeypatch, tmp_path):
+    """Mosaics, of which most descriptors are close: no pair of descriptors is written, and the links are those of the tables."""
+    rng = np.random.default_rng(11)
+    mosaic = lambda a: np.kron(a, np.ones((8, 8))).astype(np.uint8)
+    base = [mosaic(rng.integers(0, 255, (8, 8))) for _ in range(70)]
+    images = [(i, a) for i, a in enumerate(base)] + [(i + 100, np.ascontiguousarray(a[3:, 5:-2] * 0.9 + 20).astype(np.uint8)) for i, a in enumerate(base[:20])] + [(201, np.ascontiguousarray(np.rot90(base[21])))]
+    f = [(i, int(g), int(d["d0"]), int(d["d1"])) for i, a in images for d in [image_copies.describe(a)] for g, d in zip(image_copies.packed(d), d, strict=True)]
+    f = spark.createDataFrame(f, "id long, geo long, d0 long, d1 long").repartition(4).cache()
+    want = {tuple(r) for r in image_copies.linked(f, str(tmp_path / "tables")).collect()}
+    monkeypatch.setattr(image_copies, "MANY", 0)
+    met, block_links = [], image_copies._block_links
+    monkeypatch.setattr(image_copies, "_block_links", lambda t: met.append(t) or block_links(t))
+    for images_of_block in (4096, 9):
+        monkeypatch.setattr(image_copies, "IMAGES", images_of_block)
+        got = [tuple(r) for r in image_copies.linked(f, str(tmp_path / "blocks")).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and {(i, i + 100) for i in range(20)} <= want
+    assert len(met) == 2
+
+
 def test_images_strongly_edited(spark):
     """Crops to a third, noise and rescaling of large images: found as by brute force over all pairs of descriptors."""
     rng = np.random.default_rng(9)
