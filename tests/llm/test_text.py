@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -328,6 +329,31 @@ def test_images_of_few_patches_meet_in_blocks(spark, monkeypatch, tmp_path):
     assert len(met) == 2
 
 
+def test_classes_of_images_without_all_links(spark, monkeypatch):
+    """Where only classes are asked for, they are those of all links, though most images of a large class stop at their first link to it."""
+    rng = np.random.default_rng(12)
+    mosaic = lambda a: np.kron(a, np.ones((8, 8))).astype(np.uint8)
+    one = rng.integers(0, 255, (8, 8))
+    # Drawings of which many have parts in common, and others.
+    base = [mosaic(np.where(rng.random((8, 8)) < 0.4, rng.integers(0, 255, (8, 8)), one)) for _ in range(80)] + [mosaic(rng.integers(0, 255, (8, 8))) for _ in range(40)]
+    images = list(enumerate(base)) + [(i + 1000, np.ascontiguousarray(base[i][3:, 5:-2] * 0.9 + 20).astype(np.uint8)) for i in range(0, 120, 6)]
+    images += [(2000, base[7]), (None, base[8])]
+    df = spark.createDataFrame([(i, a.tobytes(), a.shape[1]) for i, a in images] + [(3000, None, 8)], "media_id long, pixels binary, width int").repartition(3).cache()
+    for name, value in (("MANY", 0), ("DENSE", 1 << 40), ("FIRST", 4), ("GROUPS", 6), ("WINDOW", 2)):
+        monkeypatch.setattr(image_copies, name, value)
+    asked, class_links = [], image_copies._class_links
+    monkeypatch.setattr(image_copies, "_class_links", lambda f, work: asked.append((f, class_links(f, work))) or asked[-1][1])
+    want = {r.media_id: r.class_id for r in image_copies.image_copies(df).collect()}
+    got = image_copies.image_copies(df, counted=False)
+    assert got.columns == ["media_id", "class_id"] and got.count() == len(images) + 1
+    assert {r.media_id: r.class_id for r in got.collect()} == want and len(asked) == 1
+    everything = {tuple(sorted(r)) for r in image_copies._block_links(asked[0][0]).collect()}
+    some = {tuple(sorted(r)) for r in asked[0][1].collect()}
+    sizes = sorted(Counter(want.values()).values())
+    assert some < everything and sizes[-1] > 50 and sizes[0] == 1 and 2 in sizes
+    assert image_copies.image_copies(df.limit(0), counted=False).count() == 0
+
+
 def test_images_strongly_edited(spark):
     """Crops to a third, noise and rescaling of large images: found as by brute force over all pairs of descriptors."""
     rng = np.random.default_rng(9)
