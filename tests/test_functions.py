@@ -2,9 +2,11 @@
 
 import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tallystone import catalog
 from tallystone.functions import money as M
 from tallystone.functions import text as T
 
@@ -47,6 +49,17 @@ def test_clean_text(spark):
     assert got == ["Tom & Ann", "call [contact withheld] now", None, None, "ab"]
 
 
+def test_texts_of_whole_pages(spark, tmp_path):
+    """A title cut inside an entity: browsers still read it, the SQL of clean_text does not. Nor are addresses mobile numbers there."""
+    texts = ["a &amp b &amp", "Tom &amp; Ann &ampx; &quot;q&quot; &middot; &#65;&#x42; &notit;", "a &amp;quot; b", "from 15.176.73.203 on"]
+    assert values(spark, T.clean_text, texts)[0] == "a & b &"
+    assert values(spark, lambda c: T.clean_text(c, closed=True), texts) == ["a &amp b &amp", 'Tom & Ann &ampx; "q" · AB &notit;', "a &quot; b", "from [contact withheld] on"]
+    spark.createDataFrame(list(enumerate(f"<title>{t}</title>" for t in (texts[0], *texts[2:]))), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in catalog.QUERIES["clean_text"](spark, str(tmp_path)).collect()}
+    sql = catalog.SQL["clean_text"].replace("FROM pages)", f"FROM '{tmp_path}/pages.parquet/*.parquet')")
+    assert got == dict(duckdb.sql(sql).fetchall())
+
+
 def test_urls(spark):
     assert values(spark, T.url_key, ["https://www.Example.com/A/b/?x=1", "nonsense", None]) == ["example.com/a/b", None, None]
     assert values(spark, T.safe_url, ["https://a.com/x", "ftp://a.com", "https://u:p@a.com", "javascript:1"]) == ["https://a.com/x", None, None, None]
