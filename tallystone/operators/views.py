@@ -33,14 +33,13 @@ def public_unit(records: DataFrame, full: bool = False) -> DataFrame:
 
 
 def details(records: DataFrame, listings: DataFrame, comparables: DataFrame) -> DataFrame:
-    """A row for each unit: all that is published, its description, and its comparables as ids with their prices.
+    """A row for each unit: all that is published, its description, and its comparables (comparable_lists) as ids with their prices.
 
     Descriptions are read and cleaned for these units only.
     """
     text = listings.select("id", "description").join(records.select("id"), "id", "left_semi")
     text = text.select("id", T.clean_text(F.col("description"), DESCRIPTION).alias("description"))
-    near = comparables.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("other_id").alias("id"), "cash_ppm"))).alias("comparables"))
-    return public_unit(records, full=True).join(text, "id", "left").join(near, "id", "left")
+    return public_unit(records, full=True).join(text, "id", "left").join(comparables, "id", "left")
 
 
 def rehydrated(detail: DataFrame, units: DataFrame) -> DataFrame:
