@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compare, publish, rollup
-from .storage import saver
+from .storage import saver, write
 
 BUCKETS = 64
+#: Ids of changes that are broadcast; beyond that they are joined by key.
+CHANGES = 1_000_000
 
 
 def _bucket(buckets: int, key: str = "compound_key", own: str | None = "id") -> Column:
@@ -51,7 +53,7 @@ def _next(spark: SparkSession, path: str) -> int:
 
 
 def _written(df: DataFrame, path: str, buckets: int, own: str | None) -> set[int]:
-    df.withColumn("bucket", _bucket(buckets, own=own)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    write(df.withColumn("bucket", _bucket(buckets, own=own)).repartition("bucket"), path, "bucket")
     return {r.bucket for r in df.sparkSession.read.parquet(path).select("bucket").distinct().collect()} if _has_parts(df.sparkSession, path) else set()
 
 
@@ -92,12 +94,21 @@ def sums(spark: SparkSession, path: str, version: str | None = None) -> dict[str
     return spark.read.parquet(f"{path}/version={version or publish.active_version(spark, path)}/sums").first()["sums"]
 
 
+def _compared(rows: DataFrame, matched: DataFrame, today: Column, save) -> DataFrame:
+    """rows with comparisons and level, saved: comparisons first, then whole rows by id, so that only one step's shuffle is on disk at a time."""
+    signals = compare.signals(rows, rows.where("is_resale"), matched, today, save)
+    out = save(rows.join(signals, "id", "left"), "compared")
+    save.drop("signals")
+    return out
+
+
 def build(resolved: DataFrame, matched: DataFrame, today: Column, path: str, buckets: int = BUCKETS) -> str:
     """The first version, or a new one made of everything."""
     spark = resolved.sparkSession
-    n = _next(spark, path)
-    records = compare.compare(resolved, resolved.where("is_resale"), matched, today)
+    save, n = saver(spark), _next(spark, path)
+    records = _compared(resolved, matched, today, save)
     parts = {("records", b): n for b in _written(records, f"{path}/records/epoch={n}", buckets, "id")}
+    save.drop("compared")
     records = spark.read.parquet(f"{path}/records/epoch={n}").drop("bucket")
     compounds = rollup.compounds(records.where("is_resale"), matched)
     parts |= {("compounds", b): n for b in _written(compounds, f"{path}/compounds/epoch={n}", buckets, None)}
@@ -124,19 +135,24 @@ def refresh(changes: DataFrame, matched: DataFrame, today: Column, path: str) ->
     # Where touched rows are or will be: buckets of the compounds, and of units outside any.
     places = keys.select(_bucket(buckets, own=None).alias("b")).union(stays.select(_bucket(buckets).alias("b"))).union(ch.where("old_key = ''").select(_bucket(buckets, "old_key").alias("b")))
     touched = sorted(r.b for r in places.distinct().collect())  # `buckets` numbers at most
-    old = read(spark, path, "records", active, touched)
-    kept = old.join(ch.select("id"), "id", "left_anti")
+    old, ids = read(spark, path, "records", active, touched), ch.select("id")
+    # Whole rows stay where they are.
+    ids = F.broadcast(ids) if ids.limit(CHANGES + 1).count() <= CHANGES else ids
+    kept = old.join(ids, "id", "left_anti")
     moving = kept.join(keys, "compound_key", "left_semi")
     again = save(moving.select(*resolved).unionByName(stays.select(*resolved)), "again")
     units = matched.join(keys, "compound_key", "left_semi")
-    now = save(compare.compare(again, again.where("is_resale"), units, today), "compared")
+    now = _compared(again, units, today, save)
+    save.drop("again")
     carried = kept.join(keys, "compound_key", "left_anti")
     new_parts = {("records", b): n for b in _written(carried.unionByName(now), f"{path}/records/epoch={n}", buckets, "id")}
     figures = read(spark, path, "compounds", active, touched).join(keys, "compound_key", "left_anti")
     figures = figures.unionByName(rollup.compounds(now.where("is_resale"), units))
     new_parts |= {("compounds", b): n for b in _written(figures, f"{path}/compounds/epoch={n}", buckets, None)}
-    gone = totals(old.join(keys, "compound_key", "left_semi").unionByName(old.where("coalesce(compound_key, '') = ''").join(ch.select("id"), "id", "left_semi"))).first().asDict()
+    gone = totals(old.join(keys, "compound_key", "left_semi").unionByName(old.where("coalesce(compound_key, '') = ''").join(ids, "id", "left_semi"))).first().asDict()
     came, before = totals(now).first().asDict(), sums(spark, path, active)
     after = {k: before[k] - gone[k] + came[k] for k in before}
     parts = {k: e for k, e in parts.items() if k[1] not in touched} | new_parts
-    return Refresh(_commit(spark, path, n, parts, after, buckets), len(touched), old.count(), now.count())
+    done = Refresh(_commit(spark, path, n, parts, after, buckets), len(touched), old.count(), now.count())
+    save.drop("changes", "keys", "compared")
+    return done
