@@ -58,7 +58,7 @@ SELECT o_orderkey, place // 1000 AS stretch, (place % 1000) // 24 AS batch FROM
 
 def _again_and_again(s, d):
     """Each listing four times: cheaper, cheaper still for some, back, and as it was."""
-    x = adapter.listings(s, d)
+    x = saver(s)(adapter.listings(s, d), "listings")  # read as state and as batch
     cheaper = F.bround(F.col("price") * 0.95)
     price = F.when(F.col("arrival") == 1, cheaper).when((F.col("arrival") == 2) & (F.col("id") % 2 == 0), F.bround(F.col("price") * 0.9)).when(F.col("arrival") == 2, cheaper).otherwise(F.col("price"))
     return x.where("id % 17 <> 0"), x.select("*", F.explode(F.array(*map(F.lit, range(4)))).alias("arrival")).withColumn("price", price)

@@ -91,3 +91,32 @@ def test_there_and_back_is_three_versions(spark):
     after, versions = replay.apply(state, spark.createDataFrame(rows, SCHEMA), F.lit("2026-02-01").cast("timestamp"))
     assert [(r.step, r.change_type) for r in versions.orderBy("step").collect()] == [("0", "created"), ("1", "updated"), ("2", "updated")]
     assert [(r.price, r.status) for r in after.collect()] == [(1.0, "active")]
+
+
+@pytest.mark.parametrize("hashed", [True, False])
+def test_listings_with_many_rows_are_folded_like_others(spark, hashed):
+    """Some listings along ranges, others brought together: the same steps, state and versions as with all of one kind."""
+    rng = random.Random(7)
+    keys = ["hot"] * 8 + ["warm"] * 4 + [f"k{i}" for i in range(12)]
+    batch = [("src", rng.choice(keys), rng.choice(["a", "b", None]), rng.choice([1.0, 2.0]), rng.choice([None, "s1", "s2"]), n) for n in range(400)]
+    frame = spark.createDataFrame(batch, SCHEMA).repartition(6)
+    state = spark.createDataFrame([("src", k, "a", 1.0, "old", s) for k, s in (("hot", "removed"), ("k1", "active"), ("k2", "removed"), ("away", "active"))], "source string, source_listing_id string, title string, price double, scope_key string, status string")
+    state = state.withColumns({"first_seen_at": F.lit("2026-01-01").cast("timestamp"), "last_seen_at": F.lit("2026-01-01").cast("timestamp")})
+    state = state.withColumn("content_hash", cdc.content_hash(state)) if hashed else state
+    plain_rows = lambda df: sorted(map(str, df.collect()))
+    got = []
+    for hot in (0, 50, 10_000):
+        after, versions = replay.apply(state, frame, F.lit("2026-02-01").cast("timestamp"), hot=hot)
+        got.append((plain_rows(after), plain_rows(versions), plain_rows(replay.steps(state, frame, hot=hot).drop("place"))))
+    assert got[0] == got[1] == got[2] and len(got[0][2]) == 400
+
+
+def test_steps_of_ordinary_listings_save_no_content(spark):
+    state = spark.createDataFrame([], "source string, source_listing_id string, title string, price double, scope_key string, status string, first_seen_at timestamp, last_seen_at timestamp")
+    batch = spark.createDataFrame([("s", str(n % 5), "t", float(n), None, n) for n in range(50)], SCHEMA)
+
+    def save(df, name):
+        assert name == "counts" and df.count() == 1
+        return df
+
+    assert replay.steps(state, batch, save=save).where("action = 'updated'").count() == 45
