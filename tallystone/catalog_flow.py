@@ -127,7 +127,7 @@ _query("paged_runs", None, _RUNS)(
 
 def _whole_run(s, d):
     """A later crawl of one source: batches in order, what is present confirmed, scopes of one region ended."""
-    x = adapter.listings(s, d).where("source = 'portal'")
+    x = saver(s)(adapter.listings(s, d).where("source = 'portal'"), "listings")  # read as state, as batch, for scopes and for what is present
     price = F.when(F.col("id") % 11 == 0, F.bround(F.col("price") * 0.95)).otherwise(F.col("price"))
     rows = x.where("id % 13 <> 0").withColumn("price", price).withColumn("arrival", F.col("id")).drop("source", "status", "first_seen_at", "last_seen_at", "id")
     scopes = tuple(r.scope_key for r in x.where("scope_key LIKE 'ASIA/%'").select("scope_key").distinct().collect())  # one for each kind of unit

@@ -52,24 +52,30 @@ def run_source(
     source: str, run: Run, state: DataFrame, started: str, now: str, *, order: str = "arrival", batch: int = BATCH, minutes: float | None = None,
     clock: Callable[[], float] = time.monotonic, save: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> Outcome:
-    """Writes what a source read into the state, batch after batch in order of arrival.
+    """Writes what a source read into the state, in order of arrival.
 
-    A batch is applied whole. When the budget is spent, the rest is left out and said so as
+    Without a budget of minutes all rows are folded at once, which leaves what batch after
+    batch would, and reads the state once. With one, a batch is applied whole. When the budget is spent, the rest is left out and said so as
     an error: a run that stopped early is partial and removes nothing. What the source
     calls present is confirmed before anything is removed, and only scopes that were read
     to their end, without errors, lose what was not seen.
     """
     spark = state.sparkSession
     save = save or saver(spark)
-    rows = numbered(run.rows.withColumn("source", F.lit(source)), [order, "source_listing_id"], save, "arrivals")
+    rows, at = run.rows.withColumn("source", F.lit(source)), F.lit(now).cast("timestamp")
+    # Places are needed only where batches are cut.
+    rows = save(rows, "arrivals").withColumn("place", F.lit(0)) if minutes is None else numbered(rows, [order, "source_listing_id"], save, "arrivals")
     total = rows.count()
+    batch = total if minutes is None else batch
     end = clock() + 60 * minutes if minutes is not None else None
-    errors, versions, taken, at = list(run.errors), None, 0, F.lit(now).cast("timestamp")
+    errors, versions, taken = list(run.errors), None, 0
     while taken < total:
         part = rows.where((F.col("place") >= taken) & (F.col("place") < taken + batch)).drop("place")
         taken = min(total, taken + batch)
-        state, new = replay.apply(state, part, at, order)
+        step = saver(spark)
+        state, new = replay.apply(state, part, at, order, save=step)
         state, new = save(state, f"state{taken}"), save(new, f"versions{taken}")
+        step.drop("done")
         versions = new if versions is None else versions.unionByName(new)
         if end is not None and clock() > end and taken < total:
             errors.append(f"time budget of {minutes:g} min reached")

@@ -109,3 +109,17 @@ def test_readers_that_chain(spark, tmp_path):
     spark.createDataFrame([("7", '<script type="application/ld+json">{"offers": {"price": "950", "seller": {"telephone": "010"}}}</script>')], "source_listing_id string, html string").write.parquet(f"{tmp_path}/ld")
     r = readers.read(spark, "microdata", path=f"{tmp_path}/cards", details=f"{tmp_path}/ld").rows.first()
     assert (r.source_listing_id, r.price, r.phone) == ("7", 950.0, "010")
+
+
+def test_a_run_without_a_budget_reads_the_state_once(spark, monkeypatch):
+    """Whatever the size of its batches: the same state and versions as with a budget that is never spent."""
+    state = stored(spark, [(str(k), "t", float(k), "removed" if k % 5 == 0 else "active") for k in range(20)])
+    rows = spark.createDataFrame([(str(n * 7 % 25), "t", float(n % 4), "a" if n % 3 else None, n) for n in range(60)], "source_listing_id string, title string, price double, scope_key string, arrival int")
+    calls, whole = [], runs.replay.apply
+    monkeypatch.setattr(runs.replay, "apply", lambda *a, **k: (calls.append(1), whole(*a, **k))[1])
+    out = []
+    for minutes in (None, 1000):
+        done = runs.run_source("s", Run(rows, True, ("a",)), state, START, NOW, batch=15, minutes=minutes)
+        out.append((sorted(map(str, done.state.collect())), sorted(map(str, done.versions.select("source_listing_id", "change_type", "step", "changed_fields").collect())), str(done.run.collect())))
+        calls.append("end")
+    assert out[0] == out[1] and calls == [1, "end", 1, 1, 1, 1, "end"]
