@@ -33,7 +33,7 @@ def public_unit(records: DataFrame, full: bool = False) -> DataFrame:
 
 
 def details(records: DataFrame, listings: DataFrame, comparables: DataFrame) -> DataFrame:
-    """A row for each unit: all that is published, its description, and its comparables (comparable_lists) as ids with their prices.
+    """A row for each unit: all that is published, its description, and its comparables: ids with their prices (comparable_lists), or what is made of them.
 
     Descriptions are read and cleaned for these units only.
     """

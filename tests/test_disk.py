@@ -36,7 +36,7 @@ def test_what_a_saved_table_shuffled_goes(spark):
     assert settled(spark, before) <= before
 
 
-@pytest.mark.parametrize("name, not_built", [("observation_window", ("signals", "records", "compounds")), ("delivery_changes", ("signals", "records", "compounds")), ("full_ranking", ("records", "compounds")), ("opportunity_levels", ("records", "compounds")), ("evaluate_batch", ("signals", "records", "compounds"))])
+@pytest.mark.parametrize("name, not_built", [("observation_window", ("signals", "records", "compounds")), ("delivery_changes", ("signals", "records", "compounds")), ("full_ranking", ("records", "compounds")), ("opportunity_levels", ("records", "compounds")), ("evaluate_batch", ("signals", "records", "compounds")), ("unit_details", ("records", "compounds"))])
 def test_only_what_is_asked_for_is_computed(spark, name, not_built):
     snapshot._served.clear()
     assert catalog.QUERIES[name](spark, SF).count() > 0
@@ -77,3 +77,14 @@ def test_levels_are_those_of_whole_records(spark):
     a = compare.compare(z.resolved, z.default, z.matched, z.today).select("id", "level", "score", "n_signals", "launch_gap", "peer_gap")
     b = z.signals.select(*a.columns)
     assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+
+
+def test_lists_of_comparables_are_not_collected(spark):
+    """Each unit's list comes whole from where it is made: no aggregation over the rows of lists but for units that are like no other."""
+    z = snapshot.cached(spark, SF)
+    lists = compare.comparable_lists(z.resolved, z.default)
+    rows = {r.id: [tuple(c) for c in r.comparables] for r in lists.collect()}
+    flat = compare.comparables(z.resolved, z.default).orderBy("id", "position").collect()
+    assert sum(map(len, rows.values())) == len(flat) and all((r.position, r.other_id, r.cash_ppm) == rows[r.id][r.position - 1] for r in flat)
+    detail = {r.id: (r.comparables, r.first_id) for r in catalog.QUERIES["unit_details"](spark, SF).collect()}
+    assert detail == {r.id: (len(rows.get(r.id, [])), rows[r.id][0][1] if r.id in rows else None) for r in z.resolved.select("id").collect()}
